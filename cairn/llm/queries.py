@@ -34,3 +34,28 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cairn.llm.exact_dedup import exact_groups
 
     return exact_groups(table(spark, sf_dir, "documents"), keep="max", with_sha256=True)
+
+
+@query("op1_token_output")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.runtime import scratch, tokenizer_path
+    from cairn.llm.token_output import read_tokens, write_tokens
+
+    out = scratch(spark, "op1-tokens")
+    write_tokens(table(spark, sf_dir, "documents"), out, tokenizer_path(), end_id=2)
+    return read_tokens(spark, out, with_ids=False)
+
+
+@query("op9_packing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.packing import pack
+    from cairn.llm.runtime import tokenizer_path
+
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=0, window=1024)
+
+
+@query("op10_minhash")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.minhash import near_duplicate_groups
+
+    return near_duplicate_groups(table(spark, sf_dir, "documents"))

@@ -1,6 +1,6 @@
 """Vectorised text work over Arrow string columns: whole blocks of documents at once.
 
-A block is a run of documents of about BLOCK_BYTES; a longer document is a block of
+A block is a run of at most BLOCK_ROWS documents of about BLOCK_BYTES; a longer document is a block of
 its own, so memory follows the longest document, not the batch.
 """
 
@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK_BYTES = 2 << 20
+BLOCK_ROWS = 4096
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _pow = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -47,7 +48,7 @@ def blocks(col: pa.Array, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[int,
     i = 0
     while i < len(col):
         base = ends[i - 1] if i else 0
-        j = max(i + 1, int(np.searchsorted(ends, base + block_bytes, "right")))
+        j = min(max(i + 1, int(np.searchsorted(ends, base + block_bytes, "right"))), i + BLOCK_ROWS)
         yield i, col.slice(i, j - i)
         i = j
 
@@ -126,3 +127,14 @@ def word_shingles(col: pa.Array, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     if not parts_h:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return np.concatenate(parts_h), np.concatenate(parts_d)
+
+
+def distinct(h: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different hashes of each document of a block, cut to 52 bits and sorted by document: hashes, documents, counts."""
+    key = np.sort((d.astype(np.uint64) << np.uint64(52)) | (h >> np.uint64(12)))
+    if not len(key):
+        return key, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    counts = np.diff(np.append(first, len(key)))
+    key = key[first]
+    return key & np.uint64((1 << 52) - 1), (key >> np.uint64(52)).astype(np.int64), counts
