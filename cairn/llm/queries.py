@@ -59,3 +59,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cairn.llm.minhash import near_duplicate_groups
 
     return near_duplicate_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op4_decontamination")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
