@@ -29,8 +29,9 @@ def encoder(path: str) -> Encoder:
 
 
 class Encoder:
-    MEMO_ENTRIES = 300_000
+    MEMO_ENTRIES = 350_000
     MEMO_CHARS = 64
+    JOIN = 4096
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -43,33 +44,53 @@ class Encoder:
         pre = spec.get("pre_tokenizer") or {}
         self.by_pieces = spec["model"]["type"] == "BPE" and not spec.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
         self.vocabulary = self.tokenizer.get_vocab_size()
-        self.first: dict[str, bytes] = {}  # pieces at the start of a text
-        self.later: dict[str, bytes] = {}  # pieces after the space they begin with
+        self.bytes_of = np.zeros(self.vocabulary, np.int64)  # byte-level: a character of a token stands for a byte
+        for token, i in self.tokenizer.get_vocab().items():
+            self.bytes_of[i] = len(token)
+        self.memo: dict[str, bytes] = {}  # pieces without the space that they begin with
+        self.older: dict[str, bytes] = {}  # the generation before, looked up when memo has no entry
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Pieces that follow a space, many of them as one text; their ids part where their bytes do."""
+        out: list[bytes] = []
+        for lo in range(0, len(pieces), self.JOIN):
+            some = pieces[lo : lo + self.JOIN]
+            joined = " " + " ".join(some)
+            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.cumsum(np.fromiter((len(p.encode()) + 1 for p in some), np.int64, len(some)))
+            at = np.cumsum(self.bytes_of[ids])
+            cut = np.searchsorted(at, ends)
+            if at[-1] != ends[-1] or (at[cut] != ends).any():
+                out += self._encode([" " + p for p in some])
+                continue
+            data, cut = ids.tobytes(), ((cut + 1) * 4).tolist()
+            out += [data[a:b] for a, b in zip([0, *cut], cut, strict=False)]
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
         if not self.by_pieces:
             return self._encode(texts)
         cut = [_CUT.split(t) if _AMBIGUOUS.search(t) else t.split(" ") for t in texts]
-        if len(self.first) + len(self.later) > self.MEMO_ENTRIES:
-            self.first.clear()
-            self.later.clear()
-        first = list({p[0] for p in cut}.difference(self.first))
-        self.first.update(zip(first, self._encode(first), strict=True))
+        first = self._encode([p[0] for p in cut])
         pieces: set[str] = set()
         for p in cut:
             pieces.update(p[1:])
-        later = list(pieces.difference(self.later))
-        self.later.update(zip(later, self._encode([" " + p for p in later]), strict=True))
-        get = self.later.__getitem__
-        out = [self.first[p[0]] + b"".join(map(get, p[1:])) for p in cut]
-        for memo, new in ((self.first, first), (self.later, later)):
-            for p in new:
-                if len(p) > self.MEMO_CHARS:
-                    del memo[p]
+        if len(self.memo) > self.MEMO_ENTRIES:
+            self.memo, self.older = {}, self.memo
+        new = pieces.difference(self.memo)
+        again = new.intersection(self.older)
+        self.memo.update((p, self.older[p]) for p in again)
+        fresh = list(new - again)
+        self.memo.update(zip(fresh, self._encode_pieces(fresh), strict=True))
+        get = self.memo.__getitem__
+        out = [a + b"".join(map(get, p[1:])) for a, p in zip(first, cut, strict=True)]
+        for p in fresh:
+            if len(p) > self.MEMO_CHARS:
+                del self.memo[p]
         return out
 
 
