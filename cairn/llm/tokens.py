@@ -11,13 +11,15 @@ from __future__ import annotations
 import json
 import os
 import re
+import string
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-_AMBIGUOUS = re.compile(r" (?:\s|$)")
 _CUT = re.compile(r" (?=\S)")
+_PUNCTUATION = string.punctuation
 _encoders: dict[str, Encoder] = {}
 
 
@@ -49,6 +51,9 @@ class Encoder:
             self.bytes_of[i] = len(token)
         self.memo: dict[str, bytes] = {}  # pieces without the space that they begin with
         self.older: dict[str, bytes] = {}  # the generation before, looked up when memo has no entry
+        self.bare: dict[str, bytes] = {}  # runs that follow a line end
+        self.tails: dict[str, bytes] = {"": b""}  # punctuation
+        self.line_end = self._encode(["\n"])[0]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -70,28 +75,114 @@ class Encoder:
             out += [data[a:b] for a, b in zip([0, *cut], cut, strict=False)]
         return out
 
+    def _runs(self, runs: list[str]) -> list[bytes]:
+        """Pieces that follow a space, from the memo where it has them."""
+        if len(self.memo) + len(self.bare) > self.MEMO_ENTRIES:
+            self.memo, self.older, self.bare = {}, self.memo, {}
+        out = list(map(self.memo.get, runs))
+        gone = [k for k, x in enumerate(out) if x is None]
+        fresh = []
+        for k in gone:
+            x = out[k] = self.older.get(runs[k])
+            if x is None:
+                fresh.append(k)
+            else:
+                self.memo[runs[k]] = x
+        for k, x in zip(fresh, self._encode_pieces([runs[k] for k in fresh]), strict=True):
+            out[k] = x
+            if len(runs[k]) <= self.MEMO_CHARS:
+                self.memo[runs[k]] = x
+        return out
+
+    def _lines(self, pieces: list[str]) -> list[bytes]:
+        """Pieces that follow a space and hold line ends or anything else. A run of letters or digits, the punctuation after it and a line end between two such are parted by the pattern anyway."""
+        parted, whole = [], []
+        for k, p in enumerate(pieces):
+            lines = [(x.rstrip(_PUNCTUATION), x) for x in p.split("\n")]
+            if all(core.isalpha() or core.isascii() and core.isdigit() for core, _ in lines):
+                parted.append((k, [(core, x[len(core) :]) for core, x in lines]))
+            else:
+                whole.append(k)
+        out: list[bytes] = [b""] * len(pieces)
+        for k, x in zip(whole, self._encode_pieces([pieces[k] for k in whole]), strict=True):
+            out[k] = x
+        heads = self._runs([x[0][0] for _, x in parted])
+        if len(self.tails) > 10_000:
+            self.tails = {"": b""}
+        for memo, new in ((self.bare, {c for _, x in parted for c, _ in x[1:]}), (self.tails, {t for _, x in parted for _, t in x})):
+            new = list(new.difference(memo))
+            memo.update(zip(new, self._encode(new), strict=True))
+        for head, (k, x) in zip(heads, parted, strict=True):
+            y = head + self.tails[x[0][1]]
+            for core, tail in x[1:]:
+                y += self.line_end + self.bare[core] + self.tails[tail]
+            out[k] = y
+        return out
+
+    def encode_block(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a column one after another, and the n + 1 offsets into them."""
+        n = len(col)
+        if not self.by_pieces or not n:
+            return _joined(self._encode(col.to_pylist()))
+        parts = pc.split_pattern(col, " ")
+        off = parts.offsets.to_numpy().astype(np.int64)
+        words = parts.values.slice(off[0], off[-1] - off[0]).dictionary_encode()
+        at, off, pieces = words.indices.to_numpy().astype(np.int64), off - off[0], words.dictionary
+        # A space before white space or the end is no place to cut: such texts are cut by the rule.
+        odd = pc.match_substring_regex(pieces, r"^(\s|\pZ|[\x1c-\x1f\x85]|$)").to_numpy(zero_copy_only=False)
+        hit = odd[at]
+        hit[off[:-1]] = False
+        odd_texts: dict[int, bytes] = {}
+        for d in np.unique(np.searchsorted(off, np.flatnonzero(hit), "right") - 1).tolist():
+            cut = _CUT.split(col[d].as_py())
+            odd_texts[d] = self._encode([cut[0]])[0] + b"".join(self._lines(cut[1:]))
+        # A piece is a run and the punctuation after it, or else looked at by itself.
+        core = pc.utf8_rtrim(pieces, _PUNCTUATION)
+        plain = pc.utf8_is_alpha(core).to_numpy(zero_copy_only=False)
+        runs = core.filter(pa.array(plain)).dictionary_encode()
+        tails = _after(pieces, core).filter(pa.array(plain)).dictionary_encode()
+        others = pieces.filter(pa.array(~plain))
+        entries = self._runs(runs.dictionary.to_pylist())
+        a = len(entries)
+        entries += self._encode(tails.dictionary.to_pylist()) + [b""]
+        b = len(entries)
+        entries += self._lines(others.to_pylist())
+        c = len(entries)
+        entries += self._encode(words.dictionary.take(pa.array(at[off[:-1]])).to_pylist())
+        ids, cut = _joined(entries)
+        first_of, second_of = np.empty(len(pieces), np.int64), np.full(len(pieces), b - 1)
+        first_of[plain], second_of[plain] = runs.indices.to_numpy(), a + tails.indices.to_numpy()
+        first_of[~plain] = b + np.arange(len(others))
+        where = np.empty((len(at), 2), np.int64)
+        where[:, 0], where[:, 1] = first_of[at], second_of[at]
+        where[off[:-1], 0], where[off[:-1], 1] = c + np.arange(n), b - 1
+        where = where.ravel()
+        size = np.diff(cut)[where]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        flat = ids[np.repeat(cut[:-1][where] - ends[:-1], size) + np.arange(ends[-1])]
+        ends = ends[2 * off]
+        if not odd_texts:
+            return flat, ends
+        return _joined([odd_texts[d] if d in odd_texts else flat[ends[d] : ends[d + 1]].tobytes() for d in range(n)])
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
-        if not self.by_pieces:
-            return self._encode(texts)
-        cut = [_CUT.split(t) if _AMBIGUOUS.search(t) else t.split(" ") for t in texts]
-        first = self._encode([p[0] for p in cut])
-        pieces: set[str] = set()
-        for p in cut:
-            pieces.update(p[1:])
-        if len(self.memo) > self.MEMO_ENTRIES:
-            self.memo, self.older = {}, self.memo
-        new = pieces.difference(self.memo)
-        again = new.intersection(self.older)
-        self.memo.update((p, self.older[p]) for p in again)
-        fresh = list(new - again)
-        self.memo.update(zip(fresh, self._encode_pieces(fresh), strict=True))
-        get = self.memo.__getitem__
-        out = [a + b"".join(map(get, p[1:])) for a, p in zip(first, cut, strict=True)]
-        for p in fresh:
-            if len(p) > self.MEMO_CHARS:
-                del self.memo[p]
-        return out
+        ids, ends = self.encode_block(pa.array(texts, pa.large_string()))
+        return [ids[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _after(whole: pa.Array, start: pa.Array) -> pa.Array:
+    """What follows `start` in each of `whole`, which begins with it; punctuation, so one byte a character."""
+    n = pc.subtract(pc.binary_length(whole), pc.binary_length(start)).to_numpy(zero_copy_only=False)
+    off = np.concatenate([[0], np.cumsum(n)])
+    ends = np.frombuffer(whole.buffers()[1], np.int64, len(whole) + 1, whole.offset * 8)[1:]
+    data = np.frombuffer(whole.buffers()[2], np.uint8) if off[-1] else np.zeros(0, np.uint8)
+    take = np.repeat(ends - n - off[:-1], n) + np.arange(off[-1])
+    return pa.LargeStringArray.from_buffers(len(whole), pa.py_buffer(off.astype(np.int64).tobytes()), pa.py_buffer(data[take].tobytes()))
+
+
+def _joined(each: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(each), "<u4"), np.concatenate([[0], np.cumsum([len(x) // 4 for x in each], dtype=np.int64)])
 
 
 def encoded(batches: Iterator[pa.RecordBatch], path: str, id_col: str, text_col: str, end_id: int) -> Iterator[tuple[list, list[bytes]]]:
@@ -101,5 +192,6 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str, id_col: str, text_col:
     enc, end = encoder(path), np.array([end_id], "<u4").tobytes()
     for batch in batches:
         keys = batch.column(batch.schema.get_field_index(id_col))
-        for i, block in vec.blocks(vec.text_column(batch, text_col)):
-            yield keys.slice(i, len(block)).to_pylist(), [x + end for x in enc.encode(block.to_pylist())]
+        for i, block in vec.blocks(vec.text_column(batch, text_col), 4 << 20):
+            ids, ends = enc.encode_block(block)
+            yield keys.slice(i, len(block)).to_pylist(), [ids[a:b].tobytes() + end for a, b in zip(ends[:-1], ends[1:], strict=True)]
