@@ -164,7 +164,8 @@ def near_duplicate_groups(docs: DataFrame, threshold: float = 0.8, k: int = 5, b
     floor = max(0.0, threshold - 8 * (threshold * (1 - threshold) / (bands * rows)) ** 0.5)
     near = runtime.written(near.select("a", "b", "lowa", "lowb").mapInArrow(_alike(floor), "a long, b long"), "near")
     ends = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = runtime.written(docs.join(ends, "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "sets")
+    # Texts are shuffled once, to a hash join: they needn't be sorted, whatever the number of linked documents.
+    sets = runtime.written(docs.join(ends.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "sets")
     side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"s{c}"))
     pairs = near.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb")
     verified = runtime.written(pairs.mapInArrow(_verify(threshold), "a long, b long, similarity double"), "links")
@@ -173,7 +174,7 @@ def near_duplicate_groups(docs: DataFrame, threshold: float = 0.8, k: int = 5, b
     everyone = member.select("doc_id", "rep").union(lone)
     classed = runtime.written(everyone.join(named.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("class_id")).distinct(), "classes")
     runtime.drop(sigs, reps, links, near, sets, verified)
-    sizes = classed.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
+    sizes = runtime.written(classed.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size")), "sizes")
     return classed.join(sizes, "class_id").select("doc_id", "class_id", "class_size", F.expr("doc_id = class_id").alias("kept"))
 
 
