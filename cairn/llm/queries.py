@@ -66,3 +66,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cairn.llm.decontaminate import contaminated
 
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op5_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.toxicity import label_categories, score, train
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(docs, table(spark, sf_dir, "labels"), label_categories()))
