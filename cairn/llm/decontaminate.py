@@ -100,14 +100,50 @@ class Index:
         # Places of different documents are moved apart, so that no band holds two of them.
         diagonal = at + doc[at] * self.reach - self.place[where] + self.reach
         band = diagonal // self.band[item]
-        key = np.sort(np.concatenate([item << 44 | band, item << 44 | (band - 1)]))
+        keys = np.concatenate([item << 44 | band, item << 44 | (band - 1)])
+        key = np.sort(keys)
         if not len(key):
             return key, key
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         count, key = np.diff(np.append(first, len(key))), key[first]
+        key = key[count >= self.least[key >> 44]]
+        # The lemma is about different q-grams of the item, and so about different places of the text.
+        for at_hit in (self.place[where], at):
+            k = np.minimum(np.searchsorted(key, keys), max(len(key) - 1, 0))
+            own = np.flatnonzero(key[k] == keys) if len(key) else np.zeros(0, np.int64)
+            pairs = np.unique(k[own] << 32 | at_hit[own % len(at_hit)])
+            key = key[np.bincount(pairs >> 32, minlength=len(key)) >= self.least[key >> 44]]
         item, band = key >> 44, key & ((1 << 44) - 1)
-        ok = count >= self.least[item]
-        return item[ok], band[ok] * self.band[item[ok]] - self.reach
+        return item, band * self.band[item] - self.reach
+
+
+def least_edits(items: list[np.ndarray], texts: list[np.ndarray], leads: list[int], width: int, most: np.ndarray) -> np.ndarray:
+    """Edits of the best occurrence of each item on `width` diagonals of its text, all pairs at once; more than `most` where there is none. Places outside a text match nothing."""
+    rows = max(map(len, items))
+    p = np.zeros((len(items), rows), np.uint32)
+    t = np.full((len(items), rows + width), 0xFFFFFFFF, np.uint32)
+    for i, (x, y, lead) in enumerate(zip(items, texts, leads, strict=True)):
+        p[i, : len(x)] = x
+        t[i, lead : lead + len(y)] = y[: rows + width - lead]
+    m = np.array([len(x) for x in items])
+    steps, out, live = np.arange(width, dtype=np.int16), np.full(len(items), 1 << 14), np.arange(len(items))
+    cost = np.zeros((len(items), width), np.int16)
+    for i in range(rows):
+        cell = cost + (t[:, i : i + width] != p[:, i : i + 1])
+        np.minimum(cell[:, :-1], cost[:, 1:] + 1, out=cell[:, :-1])
+        cell -= steps
+        np.minimum.accumulate(cell, axis=1, out=cell)
+        cost = cell + steps
+        done = m[live] == i + 1
+        if done.any() or i % 16 == 15:
+            best = cost.min(axis=1)
+            out[live[done]] = best[done]
+            keep = ~done & (best <= most[live])
+            if not keep.all():
+                live, cost, t, p = live[keep], cost[keep], t[keep], p[keep]
+                if not len(live):
+                    break
+    return out
 
 
 def banded_alignment(item: np.ndarray, text: np.ndarray, width: int, lead: int = 0) -> tuple[int, int, int]:
@@ -144,20 +180,37 @@ def scan(index: Index, chars: np.ndarray, off: np.ndarray) -> list[tuple[int, in
         hi = min(len(chars), lo + WINDOW + index.reach)
         base = int(doc[lo]) if hi > lo else 0
         local = doc[lo:hi] - base
+        near = []
         for item, diagonal in zip(*index.regions(chars[lo:hi], local), strict=True):
-            m, k, w = int(index.m[item]), int(index.edits[item]), int(index.band[item])
+            m, w = int(index.m[item]), int(index.band[item])
             # The diagonal still holds document * reach: the document is the one whose places fit.
             d = _document(int(diagonal), m + 2 * w, index.reach, off - lo, base)
-            if d is None:
-                continue
-            first = int(diagonal) - (d - base) * index.reach + lo
-            a, z = max(int(off[d]), first), min(int(off[d + 1]), first + m + 3 * w)
-            edits, s, e = banded_alignment(index.items[item][1], chars[a:z], 3 * w + 1, a - first)
-            if edits <= k:
-                found.append((d, index.items[item][0], a + s - int(off[d]), a + e - int(off[d]), edits))
+            if d is not None:
+                first = int(diagonal) - (d - base) * index.reach + lo
+                a, z = max(int(off[d]), first), min(int(off[d + 1]), first + m + 3 * w)
+                near.append((int(item), d, a, z, a - first, 3 * w + 1))
+        near.sort(key=lambda x: x[5])
+        for n in range(0, len(near), 512):
+            some = near[n : n + 512]
+            items, most = [index.items[x[0]][1] for x in some], np.array([index.edits[x[0]] for x in some])
+            edits = least_edits(items, [chars[x[2] : x[3]] for x in some], [x[4] for x in some], some[-1][5], most)
+            for k in np.flatnonzero(edits <= most):
+                item, d, a, z, lead, width = some[k]
+                e, s, t = (0, *_exact(items[k], chars[a:z])) if edits[k] == 0 else banded_alignment(items[k], chars[a:z], width, lead)
+                if e <= most[k]:
+                    found.append((d, index.items[item][0], a + s - int(off[d]), a + t - int(off[d]), e))
     return _merged(found)
 
 
+def _exact(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
+    """The first place of an item that text holds as it is."""
+    data, wanted = text.tobytes(), item.tobytes()
+    at = data.find(wanted)
+    while at % 4:
+        at = data.find(wanted, at + 1)
+    return at // 4, at // 4 + len(item)
+
+
 def _document(diagonal: int, length: int, reach: int, off: np.ndarray, base: int) -> int | None:
     """The document of a band: the only one whose shifted places meet it."""
     shifted = off[:-1] + (np.arange(len(off) - 1) - base) * reach
