@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cairn.llm.runtime import table
 
@@ -74,3 +75,39 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     return score(docs, train(docs, table(spark, sf_dir, "labels"), label_categories()))
+
+
+def _fold(id_col: str, n: int):
+    return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(n))
+
+
+@query("op3_quality")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.quality import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").filter(_fold("doc_id", 5) != 0)
+    scored = score(docs, train(docs, labels))
+    return scored.select("doc_id", (_fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op6_language")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.language import predict, train
+
+    docs = table(spark, sf_dir, "documents")
+    found = predict(docs, train(docs.filter(_fold("doc_id", 4) != 2)))
+    return found.select("doc_id", (_fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def _op7_sql() -> str:
+    from cairn.llm.licenses import oracle
+
+    return oracle()
+
+
+@query("op7_licenses", _op7_sql())
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.licenses import license_units
+
+    return license_units(table(spark, sf_dir, "documents"))
