@@ -14,6 +14,7 @@ repeated rows are scanned each; extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter
 
@@ -58,13 +59,13 @@ def template_bigrams(text: str) -> list[str]:
 
 def _templates(templates: list[tuple[str, str]]) -> Column:
     rows = sorted((name, template_bigrams(text)) for name, text in templates)
-    return F.array(*[F.struct(F.lit(n).alias("license"), F.lit(float(len(g))).alias("n"), F.array(*map(F.lit, g)).alias("grams")) for n, g in rows])
+    text = json.dumps([{"license": n, "n": float(len(g)), "grams": g} for n, g in rows])
+    return F.from_json(F.lit(text), "array<struct<license: string, n: double, grams: array<string>>>")
 
 
-def _numbered(words: Column) -> Column:
-    """Bigrams in order, equal ones numbered from 1."""
-    pairs = F.array_sort(F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1))))
-    return F.transform(pairs, lambda x, i: F.concat_ws(" ", x, (i + 2 - F.array_position(pairs, x)).cast("string")))
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once a row: a generated column isn't copied into the expressions that read it."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
 def license_units(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
@@ -78,17 +79,23 @@ def license_units(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id
     whole = F.array(F.struct(F.lit("text").alias("unit"), F.lit(0).alias("unit_no"), flat(F.col("low")).alias("words")))
     none = F.filter(whole, lambda x: F.lit(False))
     units = F.concat(lines, F.when(F.col("low").rlike(r"\n\s*\n"), paragraphs).otherwise(none), F.when(F.col("low").contains("\n"), whole).otherwise(none))
-    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("low")).select("doc_id", F.explode(units).alias("u")).select("doc_id", "u.*")
+    found = _once(docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t")), "low", F.col("t")).drop("t")
+    found = found.select("doc_id", F.explode(units).alias("u")).select("doc_id", "u.*")
     # The number of bigrams is that of the spaces between words.
-    found = found.withColumn("n", (F.length("words") - F.length(F.translate("words", " ", ""))).cast("double"))
+    found = _once(found, "n", (F.octet_length("words") - F.octet_length(F.replace("words", F.lit(" "), F.lit("")))).cast("double"))
     near = [F.col("n").between(s * bound - 1e-9, s / bound + 1e-9) for s in sorted(set(sizes))]
     fits = near[0]
     for x in near[1:]:
         fits = fits | x
-    found = found.filter((F.col("n") > 0) & fits).withColumn("grams", _numbered(F.split("words", " ")))
+    found = found.filter((F.col("n") > 0) & fits)
+    found = _once(found, "w", F.split("words", " "))
+    pairs = F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+    found = _once(found, "pairs", F.array_sort(pairs))
+    # Equal bigrams stand together and are numbered from 1.
+    found = _once(found, "grams", F.transform("pairs", lambda x, i: F.concat(x, F.lit(" "), (i + 2 - F.array_position("pairs", x)).cast("string"))))
     inside = F.filter(_templates(templates), lambda t: (F.least(t["n"], F.col("n")) >= bound * F.greatest(t["n"], F.col("n")) - 1e-9))
     scored = F.transform(inside, lambda t: F.struct((-2.0 * F.size(F.array_intersect(F.col("grams"), t["grams"])) / (t["n"] + F.col("n"))).alias("less"), t["license"].alias("license")))
-    best = found.withColumn("best", F.array_min(scored)).withColumn("dice", F.round(-F.col("best.less"), 6))
+    best = _once(found, "best", F.array_min(scored)).withColumn("dice", F.round(-F.col("best.less"), 6))
     return best.filter(F.col("dice") >= threshold).select("doc_id", "unit", "unit_no", F.col("best.license").alias("license"), "dice")
 
 
