@@ -111,3 +111,23 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cairn.llm.licenses import license_units
 
     return license_units(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op2_warc",
+    """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n FROM pages),
+    m AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS first_id FROM p)
+    SELECT page_id, n AS payload_bytes, sha1(h) AS payload_digest,
+           CASE WHEN n >= 1000 AND first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN n >= 1000 AND first_id <> page_id THEN first_id END AS refers_to
+    FROM m
+    """,
+)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.runtime import scratch
+    from cairn.llm.warc import read_warc, write_warc
+
+    out = scratch(spark, "op2-warc")
+    write_warc(table(spark, sf_dir, "pages"), out)
+    return read_warc(spark, out)
