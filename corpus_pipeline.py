@@ -1,5 +1,51 @@
 """The corpus pipeline: toxicity, exact dedup, near dedup, decontamination, packing."""
-STAGES = []
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from cairn.llm.decontaminate import decontaminate
+from cairn.llm.exact_dedup import exact_dedup
+from cairn.llm.minhash import near_dedup
+from cairn.llm.packing import pack
+from cairn.llm.runtime import table, tokenizer_path, written
+from cairn.llm.toxicity import drop_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain doesn't reject."""
+    return drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text: that with the smallest id."""
+    return exact_dedup(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: that with the smallest id."""
+    return near_dedup(docs)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed windows."""
+    return pack(docs, tokenizer_path(), end_id=0, window=1024)
+
+
+STAGES = [("op5_toxicity", toxicity), ("op8_exact_dedup", exact), ("op10_minhash", near), ("op4_decontamination", benchmark), ("op9_packing", packing)]
+
+# Trained models and signatures are beyond SQL: tests hold the stages against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written before the next reads it."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
