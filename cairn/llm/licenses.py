@@ -4,7 +4,8 @@ Units are the lines of a text, its paragraphs of several lines (between blank li
 the whole text if it has several lines. Units and templates are normalised to lower-case
 words of a-z and 0-9; a bigram that repeats counts as often as it occurs in both. A
 coefficient of t needs sizes within a factor of t / (2 - t), so a unit meets only the
-templates within that bound, and most units meet none. All of it is one expression a
+templates within that bound. As a match also shares that part of the unit's bigrams, a
+unit with too few words of any template goes before its bigrams are made. All of it is one expression a
 row, with no join or shuffle; the templates are a literal of fixed size.
 
 Defined results: null and empty texts and units of fewer than two words match nothing;
@@ -74,12 +75,15 @@ def license_units(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id
     bound = threshold / (2 - threshold)
     text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
     flat = lambda x: F.trim(F.regexp_replace(x, "[^a-z0-9]+", " "))
-    lines = F.transform(F.split("low", "\n"), lambda x, i: F.struct(F.lit("line").alias("unit"), i.alias("unit_no"), flat(x).alias("words")))
-    paragraphs = F.filter(F.transform(F.split("low", r"\n\s*\n"), lambda x, i: F.struct(F.lit("paragraph").alias("unit"), i.alias("unit_no"), F.when(F.trim(x).contains("\n"), flat(x)).otherwise("").alias("words"))), lambda x: x["words"] != "")
-    whole = F.array(F.struct(F.lit("text").alias("unit"), F.lit(0).alias("unit_no"), flat(F.col("low")).alias("words")))
-    none = F.filter(whole, lambda x: F.lit(False))
-    units = F.concat(lines, F.when(F.col("low").rlike(r"\n\s*\n"), paragraphs).otherwise(none), F.when(F.col("low").contains("\n"), whole).otherwise(none))
     found = _once(docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t")), "low", F.col("t")).drop("t")
+    found = _once(found, "lines", F.transform(F.split("low", "\n"), flat))
+    unit = lambda kind, no, words: F.struct(F.lit(kind).alias("unit"), no.alias("unit_no"), words.alias("words"))
+    lines = F.transform("lines", lambda x, i: unit("line", i, x))
+    # Line ends part words as other separators do: the text's words are its lines' words.
+    whole = F.array(unit("text", F.lit(0), F.array_join(F.array_remove("lines", ""), " ")))
+    paragraphs = F.filter(F.transform(F.split("low", r"\n\s*\n"), lambda x, i: unit("paragraph", i, F.when(F.trim(x).contains("\n"), flat(x)).otherwise(""))), lambda x: x["words"] != "")
+    none = F.filter(whole, lambda x: F.lit(False))
+    units = F.concat(lines, F.when(F.col("low").rlike(r"\n\s*\n"), paragraphs).otherwise(none), F.when(F.size("lines") > 1, whole).otherwise(none))
     found = found.select("doc_id", F.explode(units).alias("u")).select("doc_id", "u.*")
     # The number of bigrams is that of the spaces between words.
     found = _once(found, "n", (F.octet_length("words") - F.octet_length(F.replace("words", F.lit(" "), F.lit("")))).cast("double"))
@@ -89,6 +93,9 @@ def license_units(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id
         fits = fits | x
     found = found.filter((F.col("n") > 0) & fits)
     found = _once(found, "w", F.split("words", " "))
+    # A shared bigram begins with a word of a template, and a match shares at least `bound` of the unit's bigrams.
+    vocabulary = sorted({g.split(" ")[0] for _, t in templates for g in template_bigrams(t)})
+    found = found.filter(F.size(F.filter("w", lambda x: x.isin(vocabulary))) >= bound * F.col("n") - 1e-9)
     pairs = F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat(a, F.lit(" "), b))
     found = _once(found, "pairs", F.array_sort(pairs))
     # Equal bigrams stand together and are numbered from 1.
