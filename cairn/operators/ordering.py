@@ -89,3 +89,23 @@ def merged_buckets(counts: Column, least: int) -> Column:
     )
     zero = F.struct(F.lit(0).cast("long").alias("held"), F.lit(0).alias("bucket"), F.array().cast("array<int>").alias("out"))
     return F.aggregate(counts, zero, step, lambda s: s["out"])
+
+
+def running_sum(df: DataFrame, order: list[Column], values: list[str], partitions: int | None = None) -> DataFrame:
+    """df with `<value>_before` for each value: its sum over all rows earlier in a total order, by ranges and one sum a range."""
+    from pyspark import StorageLevel
+
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    sums = sorted(tuple(r) for r in placed.groupBy("__part").agg(*[F.sum(F.col(v).cast("double")).alias(v) for v in values]).collect())
+    bases, held = [], [0.0] * len(values)
+    for part, *add in sums:
+        bases.append((part, *held))
+        held = [a + b for a, b in zip(held, add, strict=True)]
+    base = spark.createDataFrame(bases, "__part int, " + ", ".join(f"`__{v}` double" for v in values))
+    w = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = placed.join(F.broadcast(base), "__part")
+    for v in values:
+        out = out.withColumn(f"{v}_before", F.coalesce(F.sum(F.col(v).cast("double")).over(w), F.lit(0.0)) + F.col(f"__{v}"))
+    return out.drop("__part", *[f"__{v}" for v in values])
