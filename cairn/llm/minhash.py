@@ -154,7 +154,8 @@ def near_duplicate_groups(docs: DataFrame, threshold: float = 0.8, k: int = 5, b
     runtime.ship(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter(F.col(id_col).isNotNull())
     sigs = runtime.written(docs.mapInArrow(_signatures(k, bands, rows), "doc_id long, size int, d1 long, d2 long, bands array<long>, low binary"), "signatures")
-    folded = sigs.filter("size > 0").groupBy("d1", "d2", "size").agg(F.min("doc_id").alias("rep"))
+    # Written, so that the join below is one of two plain exchanges, whose hot keys Spark splits over tasks.
+    folded = runtime.written(sigs.filter("size > 0").groupBy("d1", "d2", "size").agg(F.min("doc_id").alias("rep")), "folded")
     member = sigs.filter("size > 0").join(folded, ["d1", "d2", "size"])
     reps = runtime.written(member.filter("doc_id = rep").select("doc_id", "size", "bands", "low").dropDuplicates(["doc_id"]), "reps")
     links = candidate_links(reps, bands)
@@ -173,7 +174,7 @@ def near_duplicate_groups(docs: DataFrame, threshold: float = 0.8, k: int = 5, b
     lone = sigs.filter("size = 0").select("doc_id", F.col("doc_id").alias("rep"))
     everyone = member.select("doc_id", "rep").union(lone)
     classed = runtime.written(everyone.join(named.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("class_id")).distinct(), "classes")
-    runtime.drop(sigs, reps, links, near, sets, verified)
+    runtime.drop(sigs, folded, reps, links, near, sets, verified)
     sizes = runtime.written(classed.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size")), "sizes")
     return classed.join(sizes, "class_id").select("doc_id", "class_id", "class_size", F.expr("doc_id = class_id").alias("kept"))
 
