@@ -183,7 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     """A model from at most sample_rows labelled documents. Hold rows out by filtering labels."""
     runtime.ship(docs.sparkSession)
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(label_col).cast("int").alias("y"))
-    picked = known.withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(sample_rows).select("id", "y")
+    picked = runtime.hash_sample(known, "id", sample_rows)
     # At most sample_rows rows are broadcast.
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "id").dropDuplicates(["id"])
 

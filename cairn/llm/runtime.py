@@ -15,6 +15,7 @@ from pathlib import Path
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = Path(__file__).resolve().parents[2]
 
@@ -71,6 +72,15 @@ def drop(*tables: DataFrame) -> None:
         remove(t.sparkSession, t._cairn_path)
 
 
+def hash_sample(df: DataFrame, id_col: str, n: int) -> DataFrame:
+    """At most n rows, those of the smallest id hashes. Rows are thinned to about twice as many before they are sorted, so that what tasks send doesn't grow with their number."""
+    count = df.count()
+    h = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 31))
+    if count > 2 * n:
+        df = df.filter(h < int((1 << 31) * 2 * n / count))
+    return df.orderBy(h, id_col).limit(n)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -43,8 +43,7 @@ INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("offset", pa.
 
 def train_dictionary(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, sample_docs: int, sample_chars: int, dictionary_bytes: int, dtype: str) -> bytes:
     """A dictionary from at most sample_docs documents, those of the smallest id hashes, and sample_chars of each; empty if they are too few to train on."""
-    hashed = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col)).alias("h"))
-    ids = [r["id"] for r in hashed.orderBy("h").limit(sample_docs).collect()]
+    ids = [r["id"] for r in runtime.hash_sample(docs.select(F.col(id_col).alias("id")), "id", sample_docs).collect()]
     rows = docs.filter(F.col(id_col).isin(ids)).select(F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, sample_chars).alias("t")).limit(2 * sample_docs).collect() if ids else []
     samples = [np.frombuffer(x, "<u4").astype(dtype).tobytes() for x in encoder(tokenizer).encode([r["t"] for r in rows])]
     try:

@@ -148,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[tuple[str, Column
     last = f"c{len(names) - 1}"
     picked = []
     for value, n in ((1, sample_rows // 2), (0, sample_rows - sample_rows // 2)):
-        picked += known.filter(F.col(last) == value).withColumn("h", F.xxhash64("id")).orderBy("h").limit(n).collect()
+        picked += runtime.hash_sample(known.filter(F.col(last) == value), "id", n).collect()
     wanted = docs.sparkSession.createDataFrame([(r["id"], [r[f"c{i}"] for i in range(len(names))]) for r in picked], "id long, y array<int>")
     # At most sample_rows rows are broadcast.
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(wanted), "id").dropDuplicates(["id"])
