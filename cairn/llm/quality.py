@@ -71,7 +71,7 @@ def features(col: pa.Array) -> np.ndarray:
     return np.column_stack(
         [
             np.log1p(words), mean, spread, share(_UPPER), share(_DIGIT), share(_SYMBOL), share(_class_table(b"!")), share(_class_table(b"|")), share(_STOP), share(_class_table(bytes(range(128, 256)))),
-            np.bincount(d, same, n) / some, distinct / some, 1 - np.minimum(different / lines, 1), np.log1p(np.diff(off) / lines), np.bincount(d, length <= 2, n) / some, np.bincount(d, ends_in_symbol, n) / some,
+            np.bincount(d, same, n) / some, distinct / some, np.maximum(np.bincount(ld, minlength=n) - different, 0) / lines, np.log1p(np.diff(off) / lines), np.bincount(d, length <= 2, n) / some, np.bincount(d, ends_in_symbol, n) / some,
         ]
     )
 
