@@ -109,3 +109,19 @@ def running_sum(df: DataFrame, order: list[Column], values: list[str], partition
     for v in values:
         out = out.withColumn(f"{v}_before", F.coalesce(F.sum(F.col(v).cast("double")).over(w), F.lit(0.0)) + F.col(f"__{v}"))
     return out.drop("__part", *[f"__{v}" for v in values])
+
+
+def weighted_pick(rows: DataFrame, id_col: str, items: DataFrame, item: str, weight: str, seed: int = 0, slots: int = 1024) -> DataFrame:
+    """rows with an item each, drawn with probability in proportion to a non-negative integer weight.
+
+    Items lie one after another on a line, each as long as its weight; a row's draw is a
+    point on it. Line and points are cut into slots, so the range join is one on slots.
+    """
+    line = running_sum(items.filter(F.col(weight) > 0), [F.col(item)], [weight]).withColumn("__hi", F.col(f"{weight}_before") + F.col(weight))
+    total = items.agg(F.sum(weight).cast("double").alias("__total"))
+    at = lambda x: F.least(F.floor(x * slots / F.col("__total")), F.lit(slots - 1))
+    line = line.join(F.broadcast(total)).withColumn("__slot", F.explode(F.sequence(at(F.col(f"{weight}_before")), at(F.col("__hi")))))
+    point = F.floor((draw(F.col(id_col), seed) * F.col("__total")) / F.lit(1_000_003))
+    placed = rows.join(F.broadcast(total)).withColumn("__x", point).withColumn("__slot", at(F.col("__x")))
+    hit = placed.join(line.select("__slot", F.col(item).alias("__item"), F.col(f"{weight}_before").alias("__lo"), "__hi"), "__slot").filter("__x >= __lo AND __x < __hi")
+    return hit.select(*rows.columns, F.col("__item").alias(item))
