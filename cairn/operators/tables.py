@@ -167,3 +167,26 @@ def publish(table: Table, df: DataFrame, expected_rows: int | None = None, **fie
     card = {"rows": rows, "columns": df.columns, "version": table.version(), **fields}
     table._put("card.json", json.dumps(card | {"sha256": hashlib.sha256(json.dumps(card, sort_keys=True).encode()).hexdigest()}))
     return card
+
+
+def check_card(table: Table, columns: list[str]) -> DataFrame:
+    """The published version, after its card was found to fit: the columns asked for, the version, and the row count."""
+    card = json.loads("\n".join(r["value"] for r in table.spark.read.text(f"{table.path}/card.json").collect()))
+    digest = card.pop("sha256")
+    if digest != hashlib.sha256(json.dumps(card, sort_keys=True).encode()).hexdigest():
+        raise ValueError("the card was changed")
+    missing = set(columns) - set(card["columns"])
+    if missing:
+        raise ValueError(f"columns {sorted(missing)} aren't published")
+    df = table.read(card["version"])
+    if df.count() != card["rows"]:
+        raise ValueError("rows differ from the card")
+    return df.select(*columns)
+
+
+def cached(spark: SparkSession, path: str, key: str, build, refresh: bool = False) -> DataFrame:
+    """A result kept as a table by key, built when it isn't there or is to be refreshed."""
+    table = Table(spark, f"{path.rstrip('/')}/{key}")
+    if refresh or not table.exists():
+        table.overwrite(build())
+    return table.read()

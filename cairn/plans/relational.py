@@ -15,7 +15,7 @@ from cairn.sources.tables import read, read_sampled
 S = SparkSession
 
 
-@query("interactions_asof", "J01 J02 J03 H01 H02 H03 A03 A04 W07 W08 U01 U02 Z01 S03", M.with_model("""
+@query("interactions_asof", "S04 J01 J02 J03 H01 H02 H03 A03 A04 W07 W08 U01 U02 Z01 S03", M.with_model("""
 SELECT l.review_id, l.user_id, l.game_id, l.is_positive, f.positives, f.negatives, round(f.ratio, 6) AS ratio
 FROM (SELECT *, reviewed_at - INTERVAL 1 MICROSECOND AS before FROM ledger) l ASOF LEFT JOIN features f ON l.game_id = f.game_id AND l.before >= f.ts"""))
 def interactions_asof(spark: S, d: str) -> DataFrame:
@@ -50,7 +50,7 @@ def staging_reviews(spark: S, d: str) -> DataFrame:
     )
 
 
-@query("staging_games", "P03 P08 P11 P12 P15 P17 P18 P20 P23 F03 R01 R02 R03 R06 R08 R09 X01 X08", """
+@query("staging_games", "P04 P03 P08 P11 P12 P15 P17 P18 P20 P23 F03 R01 R02 R03 R06 R08 R09 X01 X08", """
 WITH g AS (SELECT p_partkey AS game_id, nullif(trim(p_name), '') AS name, p_brand, p_type, p_size, p_retailprice, string_split(p_name, ' ') AS words FROM part)
 SELECT game_id, name, array_to_string(list_distinct_ordered, '|') AS tags, len(list_distinct_ordered) AS n_tags, coalesce(words[1], '?') AS first_tag,
        array_to_string([x || ':' || CAST(i * 10 AS VARCHAR) FOR x, i IN list_distinct_ordered], '|') AS weighted,
@@ -204,7 +204,7 @@ def weekly_popularity(spark: S, d: str) -> DataFrame:
     return M.weekly(M.ledger(spark, d))
 
 
-@query("popularity_before_week", "W25 W26 H18 H21 V05 V10 V23", M.with_model("""
+@query("popularity_before_week", "Z14 W25 W26 H18 H21 V05 V10 V23", M.with_model("""
 SELECT game_id, week_start, CAST(coalesce(sum(reviews) OVER four, 0) AS BIGINT) AS last4, CAST(coalesce(sum(reviews) OVER thirteen, 0) AS BIGINT) AS last13, CAST(coalesce(sum(positives) OVER past, 0) AS BIGINT) AS positives_before,
        round((coalesce(sum(positives) OVER past, 0) + 1.0) / (coalesce(sum(reviews) OVER past, 0) + 2.0), 6) AS ratio, round(ln(1 + coalesce(sum(reviews) OVER four, 0)) * 0.1, 6) AS recency
 FROM (SELECT *, datediff('day', DATE '1969-12-29', week_start) // 7 AS week FROM weekly)
@@ -341,7 +341,7 @@ def binned_mean(spark: S, d: str) -> DataFrame:
     return bins.groupBy("bin").agg(F.sum("n").alias("n"), F.round(F.sum("s") / F.sum("n"), 6).alias("mean"))
 
 
-@query("partial_sums", "A15 A16 A17 A18 A19 A20 A21 A24 A39 A40 S17 S18 S26", M.with_model("""
+@query("partial_sums", "G06 A15 A16 A17 A18 A19 A20 A21 A24 A39 A40 S17 S18 S26", M.with_model("""
 SELECT game_id, count(*) AS n, CAST(count_if(is_positive) AS BIGINT) AS p, max(reviewed_at) AS newest, round(ln(count(*) / sum(count(*)) OVER ()), 6) AS log_share, CAST(count_if(reviewed_at > (SELECT max(reviewed_at) FROM ledger) - INTERVAL 400 DAY) AS BIGINT) AS recent,
        CAST(min(review_id) AS BIGINT) AS best_rank FROM ledger GROUP BY game_id"""))
 def partial_sums(spark: S, d: str) -> DataFrame:

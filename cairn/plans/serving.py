@@ -151,3 +151,17 @@ def recency_columns(spark: S, d: str) -> DataFrame:
     g = e.join(F.broadcast(e.agg(F.max("reviewed_at").alias("t")))).groupBy("game_id").agg(F.count_if(F.col("reviewed_at") > F.col("t") - F.expr("interval 90 days")).alias("last90"), F.min("reviewed_at").alias("first_at"), F.max("t").alias("t"))
     dropped = N.draw(F.col("game_id"), 6) < 100_000
     return g.select("game_id", F.when(dropped, 0.0).otherwise(F.round(F.log1p("last90") * 0.1, 6)).alias("recent"), F.round(F.log1p(F.datediff("t", "first_at")) * 0.1, 6).alias("age"))
+
+
+@query("published_catalog", "K20 K21 K22 K05 S05 S11 O09 V27 K09", """
+SELECT p_partkey AS row_id, octet_length(encode(p_name)) AS bytes, CAST(coalesce(sum(octet_length(encode(p_name))) OVER (ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_offset FROM part WHERE p_size <= 45""")
+def published_catalog(spark: S, d: str) -> DataFrame:
+    """The items to serve with the places of their names in one run of bytes, published with a card and checked against it when read."""
+    from cairn.operators.tables import Table, check_card, publish
+    from cairn.plans.streams import shared
+
+    names = read(spark, d, "part").filter("p_size <= 45").select(F.col("p_partkey").alias("row_id"), F.octet_length("p_name").cast("long").alias("bytes"))
+    placed = ordering.running_sum(names, [F.col("row_id")], ["bytes"]).select("row_id", "bytes", F.col("bytes_before").cast("long").alias("byte_offset"))
+    table = Table(spark, shared(spark, "catalog"))
+    publish(table, placed, title="catalog")
+    return check_card(table, ["row_id", "bytes", "byte_offset"])

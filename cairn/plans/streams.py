@@ -64,7 +64,7 @@ def stream_running_counts(spark: SparkSession, d: str) -> DataFrame:
     return table.read().select("user_id", "good", "n")
 
 
-@query("merged_table", "K01 K03 K06 K07 K08 K12 I10 I11 S05", """
+@query("merged_table", "K05 K01 K03 K06 K07 K08 K12 I10 I11 S05", """
 SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS v, CASE WHEN c_custkey % 3 = 0 THEN 'new' END AS note FROM customer""")
 def merged_table(spark: SparkSession, d: str) -> DataFrame:
     """A table written, merged with new columns, compacted, and read at its last version."""

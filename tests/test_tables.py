@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.operators.tables import SchemaChanged, Table, assign_ids, changed_only, extend_dictionary, gone_keys, publish
+from cairn.operators.tables import SchemaChanged, Table, assign_ids, cached, changed_only, check_card, extend_dictionary, gone_keys, publish
 from cairn.sources.tables import Snapshot, find_files, read_declared, run_sql, vocabulary_size
 from cairn.streaming import incremental as I
 
@@ -50,8 +50,19 @@ def test_change_only_publication(spark, tmp_path):
     assert rows(changed_only(items, stored, "k", "h")) == [(2, "other"), (4, "w")] and rows(gone_keys(items, stored, "k")) == [(3,)]
     t = Table(spark, f"file://{tmp_path}/p")
     assert publish(t, items, expected_rows=3, title="lists")["rows"] == 3
-    with pytest.raises(ValueError):
-        publish(t, items, expected_rows=4)
+    assert rows(check_card(t, ["k", "h"])) == rows(items)
+    for bad in (lambda: publish(t, items, expected_rows=4), lambda: check_card(t, ["other"])):
+        with pytest.raises(ValueError):
+            bad()
+    t.append(items)
+    assert check_card(t, ["k"]).count() == 3
+
+
+def test_cached_results(spark, tmp_path):
+    built = []
+    build = lambda: built.append(1) or spark.range(len(built))
+    count = lambda **k: cached(spark, f"file://{tmp_path}/c", "x", build, **k).count()
+    assert [count(), count(), count(refresh=True)] == [1, 1, 2]
 
 
 def test_sources(spark, tmp_path):
