@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PADDING, UNSEEN, FIRST_ID = 0, 1, 2
@@ -24,11 +24,18 @@ def share(part: Column, whole: Column) -> Column:
     return F.try_divide(part.cast("double"), whole.cast("double"))
 
 
-def zscore(c: Column, by: list[Column] | None = None) -> Column:
-    w = Window.partitionBy(*(by or [F.lit(0)]))
+def zscore(c: Column, by: list[Column]) -> Column:
+    """Standardised within groups; for whole tables see with_zscore()."""
+    w = Window.partitionBy(*by)
     return (c - F.avg(c).over(w)) / F.greatest(F.stddev_pop(c).over(w), F.lit(1e-9))
 
 
+def with_zscore(df: DataFrame, column: str, out: str) -> DataFrame:
+    """Standardised over the whole table: two scalars are broadcast, no row moves."""
+    stats = df.agg(F.avg(column).alias("__mean"), F.greatest(F.stddev_pop(column), F.lit(1e-9)).alias("__sd"))
+    return df.join(F.broadcast(stats)).withColumn(out, (F.col(column) - F.col("__mean")) / F.col("__sd")).drop("__mean", "__sd")
+
+
 def clamp(c: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(c, F.lit(low)), F.lit(high))
 

@@ -139,8 +139,8 @@ SELECT p_partkey, round((p_size + 8.0) / (p_size + 20 + 10), 6) AS bayes, round(
        greatest(0, least(10, 40 - p_size)) AS budget, p_size >= 40 - greatest(1, 2) AS exhausted, CASE WHEN p_size < 45 THEN p_size END AS not_sentinel, p_size IS NOT NULL AS known, greatest(p_size - 25, 0) AS relu FROM part""")
 def arithmetic(spark: S, d: str) -> DataFrame:
     s = F.col("p_size")
-    return read(spark, d, "part").select(
-        "p_partkey", F.round(N.prior_ratio(s, s + 20), 6).alias("bayes"), F.round(F.log1p(s), 6).alias("log1p"), F.round(F.log2(s + 1), 6).alias("log2"), F.round(F.col("p_retailprice") / 7, 4).alias("rounded"), F.round(N.zscore(s), 6).alias("z"),
+    return N.with_zscore(read(spark, d, "part"), "p_size", "z").select(
+        "p_partkey", F.round(N.prior_ratio(s, s + 20), 6).alias("bayes"), F.round(F.log1p(s), 6).alias("log1p"), F.round(F.log2(s + 1), 6).alias("log2"), F.round(F.col("p_retailprice") / 7, 4).alias("rounded"), F.round("z", 6).alias("z"),
         F.greatest(F.lit(0), F.least(F.lit(10), 40 - s)).alias("budget"), (s >= 40 - F.greatest(F.lit(1), F.lit(2))).alias("exhausted"), F.when(s < 45, s).alias("not_sentinel"), s.isNotNull().alias("known"), F.greatest(s - 25, F.lit(0)).alias("relu"),
     )
 
@@ -348,7 +348,8 @@ def partial_sums(spark: S, d: str) -> DataFrame:
     e = M.ledger(spark, d)
     top = e.agg(F.max("reviewed_at").alias("top"))
     g = e.join(F.broadcast(top)).groupBy("game_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_positive").alias("p"), F.max("reviewed_at").alias("newest"), F.count_if(F.col("reviewed_at") > F.col("top") - F.expr("interval 400 days")).alias("recent"), F.min("review_id").alias("best_rank"))
-    return g.withColumn("log_share", F.round(F.log(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0)))), 6))
+    total = g.agg(F.sum("n").alias("total"))
+    return g.join(F.broadcast(total)).withColumn("log_share", F.round(F.log(F.col("n") / F.col("total")), 6)).drop("total")
 
 
 @query("hash_sample_users", "T15 T16 T17 T18 S09 S10 Y13", """
