@@ -31,7 +31,7 @@ def encoder(path: str) -> Encoder:
 
 
 class Encoder:
-    MEMO_ENTRIES = 350_000
+    MEMO_ENTRIES = 600_000
     MEMO_CHARS = 64
     JOIN = 4096
 
@@ -127,7 +127,7 @@ class Encoder:
         parts = pc.split_pattern(col, " ")
         off = parts.offsets.to_numpy().astype(np.int64)
         words = parts.values.slice(off[0], off[-1] - off[0]).dictionary_encode()
-        at, off, pieces = words.indices.to_numpy().astype(np.int64), off - off[0], words.dictionary
+        at, off, pieces = words.indices.to_numpy(), off - off[0], words.dictionary
         # A space before white space or the end is no place to cut: such texts are cut by the rule.
         odd = pc.match_substring_regex(pieces, r"^(\s|\pZ|[\x1c-\x1f\x85]|$)").to_numpy(zero_copy_only=False)
         hit = odd[at]
@@ -150,16 +150,17 @@ class Encoder:
         c = len(entries)
         entries += self._encode(words.dictionary.take(pa.array(at[off[:-1]])).to_pylist())
         ids, cut = _joined(entries)
-        first_of, second_of = np.empty(len(pieces), np.int64), np.full(len(pieces), b - 1)
+        # A block's ids are counted in 32 bits: it has fewer characters than that.
+        first_of, second_of = np.empty(len(pieces), np.int32), np.full(len(pieces), b - 1, np.int32)
         first_of[plain], second_of[plain] = runs.indices.to_numpy(), a + tails.indices.to_numpy()
         first_of[~plain] = b + np.arange(len(others))
-        where = np.empty((len(at), 2), np.int64)
+        where = np.empty((len(at), 2), np.int32)
         where[:, 0], where[:, 1] = first_of[at], second_of[at]
         where[off[:-1], 0], where[off[:-1], 1] = c + np.arange(n), b - 1
         where = where.ravel()
-        size = np.diff(cut)[where]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        flat = ids[np.repeat(cut[:-1][where] - ends[:-1], size) + np.arange(ends[-1])]
+        size = np.diff(cut).astype(np.int32)[where]
+        ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        flat = ids[np.repeat((cut[:-1][where] - ends[:-1]).astype(np.int32), size) + np.arange(ends[-1], dtype=np.int32)]
         ends = ends[2 * off]
         if not odd_texts:
             return flat, ends
@@ -192,6 +193,6 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str, id_col: str, text_col:
     enc, end = encoder(path), np.array([end_id], "<u4").tobytes()
     for batch in batches:
         keys = batch.column(batch.schema.get_field_index(id_col))
-        for i, block in vec.blocks(vec.text_column(batch, text_col), 4 << 20):
+        for i, block in vec.blocks(vec.text_column(batch, text_col), 8 << 20):
             ids, ends = enc.encode_block(block)
             yield keys.slice(i, len(block)).to_pylist(), [ids[a:b].tobytes() + end for a, b in zip(ends[:-1], ends[1:], strict=True)]
