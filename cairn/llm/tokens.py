@@ -129,7 +129,7 @@ class Encoder:
         words = parts.values.slice(off[0], off[-1] - off[0]).dictionary_encode()
         at, off, pieces = words.indices.to_numpy(), off - off[0], words.dictionary
         # A space before white space or the end is no place to cut: such texts are cut by the rule.
-        odd = pc.match_substring_regex(pieces, r"^(\s|\pZ|[\x1c-\x1f\x85]|$)").to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(pieces, r"^(\s|\pZ|[\x0b\x0c\x1c-\x1f\x85]|$)").to_numpy(zero_copy_only=False)
         hit = odd[at]
         hit[off[:-1]] = False
         odd_texts: dict[int, bytes] = {}

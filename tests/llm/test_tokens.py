@@ -24,7 +24,7 @@ def plain(texts):
 
 
 @settings(deadline=None, max_examples=300)
-@given(st.lists(st.text(st.sampled_from(" \t\n\r\x1c\x85 　a'sB9é<|>endoftext.ßا"), max_size=40), max_size=5))
+@given(st.lists(st.text(st.sampled_from(" \t\n\r\x0b\x0c\x1c\x85 　a'sB9é<|>endoftext.ßا"), max_size=40), max_size=5))
 def test_pieces_encode_as_whole_texts(texts):
     assert encoder(PATH).encode(texts) == [x.tobytes() for x in plain(texts)]
 
