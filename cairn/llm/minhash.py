@@ -17,8 +17,10 @@ Copies with the same shingle set are folded into their least document first, so
 of copies of any size is one member of its buckets.
 
 Defined results: texts without words (null and empty among them) are groups of their
-own; texts of fewer than k words have one shingle, the whole text; repeated ids are
-folded into one row; a table without rows gives none; extra columns are ignored.
+own; texts of fewer than k words have one shingle, the whole text; an id that repeats
+gives one row, and if its texts differ it is in the group with the smallest name of
+theirs; rows without an id are left out; a table without rows gives none; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -152,7 +154,7 @@ def candidate_links(reps: DataFrame, bands: int) -> DataFrame:
 def near_duplicate_groups(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, class_id (the least id of its group), class_size, kept (is it that least one?)."""
     runtime.ship(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter(F.col(id_col).isNotNull())
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id IS NOT NULL")
     sigs = runtime.written(docs.mapInArrow(_signatures(k, bands, rows), "doc_id long, size int, d1 long, d2 long, bands array<long>, low binary"), "signatures")
     # Written, so that the join below is one of two plain exchanges, whose hot keys Spark splits over tasks.
     folded = runtime.written(sigs.filter("size > 0").groupBy("d1", "d2", "size").agg(F.min("doc_id").alias("rep")), "folded")
@@ -173,7 +175,7 @@ def near_duplicate_groups(docs: DataFrame, threshold: float = 0.8, k: int = 5, b
     named = components(verified)
     lone = sigs.filter("size = 0").select("doc_id", F.col("doc_id").alias("rep"))
     everyone = member.select("doc_id", "rep").union(lone)
-    classed = runtime.written(everyone.join(named.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("class_id")).distinct(), "classes")
+    classed = runtime.written(everyone.join(named.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("class_id")), "classes")
     runtime.drop(sigs, folded, reps, links, near, sets, verified)
     sizes = runtime.written(classed.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size")), "sizes")
     return classed.join(sizes, "class_id").select("doc_id", "class_id", "class_size", F.expr("doc_id = class_id").alias("kept"))

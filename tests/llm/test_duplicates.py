@@ -104,8 +104,8 @@ def test_large_bucket_keeps_all_links(spark):
 def test_near_duplicates_of_nothing(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert near_duplicate_groups(none).count() == 0
-    odd = spark.createDataFrame([(1, None), (2, ""), (3, "?!"), (4, "one two"), (4, "one two"), (5, "one, TWO")], "doc_id long, text string")
-    assert sorted((r["doc_id"], r["class_id"]) for r in near_duplicate_groups(odd).collect()) == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 4)]
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "?!"), (4, "one two"), (4, "one two"), (5, "one, TWO"), (None, "one two"), (6, "other"), (6, "one two")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["class_id"]) for r in near_duplicate_groups(odd).collect()) == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 4), (6, 4)]
 
 
 def test_probminhash_estimates_probability_jaccard():
