@@ -7,11 +7,15 @@ its earliest point, and a process ends as soon as its next point is later than e
 register (early termination). Two signatures agree in a register with the probability
 Jaccard similarity of the documents. Bands of the signature are the buckets.
 
-No bucket is expanded into all pairs. Its members are linked to its least member; up to
-SMALL members are also compared among themselves; a larger bucket is split by further
-bands, up to REFINE times, and its parts are linked in the same way. Links are filtered
-by their whole signatures and then verified exactly: the shingle sets' Jaccard
-similarity must reach the threshold. Groups are the connected components of the links.
+Every pair of a bucket is covered. Members are linked to the bucket's least member, and
+up to SMALL members are compared among themselves. Links are filtered by their whole
+signatures and then verified exactly: the shingle sets' Jaccard similarity must reach
+the threshold. Of a larger bucket, pairs that these links already connect need nothing
+more; if its members are in several components, it is cut into blocks of bounded rows and
+bytes, and each block meets each other one in a task of its own, which verifies the pairs
+of different components and returns at most the links that join them. A pair that
+shares several buckets is compared in the first. Groups are the connected components of
+all links.
 
 Copies with the same shingle set are folded into their least document first, so a group
 of copies of any size is one member of its buckets.
@@ -36,7 +40,9 @@ from cairn.llm import runtime, vec
 from cairn.llm.components import components
 
 BANDS, ROWS = 20, 4
-SMALL, REFINE = 8, 2
+SMALL = 8
+# Blocks of a large bucket: 16 of at least LEAST rows, more where they would exceed MOST rows or BLOCK_BYTES of shingles.
+LEAST, MOST, BLOCK_BYTES = 256, 4096, 16 << 20
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -125,30 +131,78 @@ def _verify(threshold: float):
     return run
 
 
-def candidate_links(reps: DataFrame, bands: int) -> DataFrame:
-    """Links (a, b), a < b, between documents that share buckets: see the head of the module."""
-    spark = reps.sparkSession
+def candidate_links(reps: DataFrame, bands: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b), a < b, within buckets (all pairs of small ones, stars of large ones), and the members of large buckets: key, band, doc_id."""
     buckets = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
-    found, held = [], []
-    for level in range(REFINE + 1):
-        stars = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")).filter("n > 1")
-        shared = runtime.written(buckets.join(stars, "key"), "shared")
-        held.append(shared)
-        found.append(shared.filter("doc_id != least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")))
-        few = shared.filter(F.col("n").between(3, SMALL)).select("key", "doc_id")
-        found.append(few.select("key", F.col("doc_id").alias("a")).join(few.select("key", F.col("doc_id").alias("b")), "key").filter("a < b").select("a", "b"))
-        if level == REFINE:
-            break
-        many = shared.filter(F.col("n") > SMALL).select("key", "band", "doc_id").join(reps.select("doc_id", "bands"), "doc_id")
-        step = level * 3
-        finer = F.array(*[F.struct(F.pmod(F.col("band") + j, F.lit(bands)).alias("band"), F.lit(j).alias("j")) for j in range(1 + step, 4 + step)])
-        buckets = many.withColumn("x", F.explode(finer)).select("doc_id", "band", F.xxhash64("key", "x.j", F.element_at("bands", F.col("x.band") + 1)).alias("key"))
-    links = found[0]
-    for x in found[1:]:
-        links = links.union(x)
-    links = runtime.written(links.distinct(), "candidates")
-    runtime.drop(*held)
-    return links
+    stars = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")).filter("n > 1")
+    shared = runtime.written(buckets.join(stars, "key"), "shared")
+    few = shared.filter(F.col("n").between(3, SMALL)).select("key", "doc_id")
+    pairs = few.select("key", F.col("doc_id").alias("a")).join(few.select("key", F.col("doc_id").alias("b")), "key").filter("a < b").select("a", "b")
+    links = runtime.written(shared.filter("doc_id != least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).union(pairs).distinct(), "candidates")
+    large = runtime.written(shared.filter(F.col("n") > SMALL).select("key", "band", "doc_id"), "large")
+    runtime.drop(shared)
+    return links, large
+
+
+def _joining(threshold: float, floor: float):
+    """Links that join different components within a pair of blocks (or one block); see the head of the module."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks().sort_by("doc_id")
+        n, band = group.num_rows, group.column("band")[0].as_py()
+        ids, block, comp = (group.column(c).to_numpy() for c in ("doc_id", "block", "component"))
+        out_a, out_b = [], []
+        own = np.unique(comp, return_inverse=True)[1]
+        if own.max() > 0:
+            cells = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
+            size = np.array([len(x) for x in cells])
+            cut = np.concatenate([[0], np.cumsum(size)])
+            names, flat = np.unique(np.concatenate(cells), return_inverse=True)
+            held = np.zeros(len(names), bool)
+            low = np.frombuffer(b"".join(group.column("low").to_pylist()), np.uint8).reshape(n, -1)
+            earlier = np.array(group.column("bands").to_pylist(), np.int64)[:, :band]
+            one = block.min() == block.max()
+            for i in range(n - 1):
+                j = np.arange(i + 1, n)
+                j = j[(own[j] != own[i]) & (one | (block[j] != block[i]))]
+                j = j[np.minimum(size[j], size[i]) >= threshold * np.maximum(size[j], size[i])]
+                j = j[~(earlier[j] == earlier[i]).any(1)]
+                j = j[(low[j] == low[i]).mean(1) >= floor]
+                if not len(j):
+                    continue
+                mine = flat[cut[i] : cut[i + 1]]
+                held[mine] = True
+                if 2 * len(j) > n:
+                    both = np.add.reduceat(held[flat], cut[:-1], dtype=np.int64)[j]
+                else:
+                    both = np.array([np.count_nonzero(held[flat[cut[x] : cut[x + 1]]]) for x in j])
+                held[mine] = False
+                for x in j[both / (size[j] + size[i] - both) >= threshold]:
+                    if own[x] != own[i]:
+                        out_a.append(ids[i])
+                        out_b.append(ids[x])
+                        own[own == own[x]] = own[i]
+        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+    return run
+
+
+def joining_links(large: DataFrame, named: DataFrame, reps: DataFrame, sets: DataFrame, threshold: float, floor: float) -> DataFrame:
+    """Verified links (a, b) between members of large buckets that `named` (node, component) leaves in different components."""
+    # Written, so that Spark splits the hot keys of the joins.
+    at = large.join(reps.select("doc_id", "size"), "doc_id").join(named.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    at = runtime.written(at.select("key", "band", "doc_id", "size", F.coalesce("component", "doc_id").alias("component")), "placed")
+    open_ = at.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high")
+    rows = F.least(F.greatest(F.col("n") / 16, F.lit(LEAST)), F.lit(MOST))
+    cuts = F.greatest(F.ceil(F.col("n") / rows), F.ceil(F.col("total") * 8 / BLOCK_BYTES)).cast("int")
+    dealt = at.join(open_.select("key", cuts.alias("cuts")), "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("cuts")).cast("int"))
+    dealt = runtime.written(dealt.select("key", "band", "doc_id", "component", "block", "cuts"), "dealt")
+    full = dealt.join(reps.select("doc_id", "low", "bands"), "doc_id").join(sets, "doc_id")
+    met = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    found = met.select("key", "i", "j", "band", "doc_id", "component", "block", "low", "bands", "shingles").groupBy("key", "i", "j").applyInArrow(_joining(threshold, floor), "a long, b long")
+    found = runtime.written(found.distinct(), "joining")
+    runtime.drop(at, dealt)
+    return found
 
 
 def near_duplicate_groups(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -160,23 +214,26 @@ def near_duplicate_groups(docs: DataFrame, threshold: float = 0.8, k: int = 5, b
     folded = runtime.written(sigs.filter("size > 0").groupBy("d1", "d2", "size").agg(F.min("doc_id").alias("rep")), "folded")
     member = sigs.filter("size > 0").join(folded, ["d1", "d2", "size"])
     reps = runtime.written(member.filter("doc_id = rep").select("doc_id", "size", "bands", "low").dropDuplicates(["doc_id"]), "reps")
-    links = candidate_links(reps, bands)
+    links, large = candidate_links(reps, bands)
     side = lambda c: reps.select(F.col("doc_id").alias(c), F.col("size").alias(f"n{c}"), F.col("low").alias(f"low{c}"))
     near = links.join(side("a"), "a").join(side("b"), "b").filter(F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
     # 4 standard deviations of an estimate from all registers, and as much again for weights that differ between copies.
     floor = max(0.0, threshold - 8 * (threshold * (1 - threshold) / (bands * rows)) ** 0.5)
     near = runtime.written(near.select("a", "b", "lowa", "lowb").mapInArrow(_alike(floor), "a long, b long"), "near")
-    ends = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ends = near.select(F.explode(F.array("a", "b")).alias("doc_id")).union(large.select("doc_id")).distinct()
     # Texts are shuffled once, to a hash join: they needn't be sorted, whatever the number of linked documents.
     sets = runtime.written(docs.join(ends.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "sets")
     side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"s{c}"))
     pairs = near.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb")
     verified = runtime.written(pairs.mapInArrow(_verify(threshold), "a long, b long, similarity double"), "links")
-    named = components(verified)
+    first = runtime.written(components(verified), "components")
+    joining = joining_links(large, first, reps, sets, threshold, floor)
+    # Stars of the components stand for the links that made them.
+    named = components(first.select(F.col("component").alias("a"), F.col("node").alias("b")).union(joining)) if joining.head(1) else first
     lone = sigs.filter("size = 0").select("doc_id", F.col("doc_id").alias("rep"))
     everyone = member.select("doc_id", "rep").union(lone)
     classed = runtime.written(everyone.join(named.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("class_id")), "classes")
-    runtime.drop(sigs, folded, reps, links, near, sets, verified)
+    runtime.drop(sigs, folded, reps, links, large, near, sets, verified, first, joining)
     sizes = runtime.written(classed.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size")), "sizes")
     return classed.join(sizes, "class_id").select("doc_id", "class_id", "class_size", F.expr("doc_id = class_id").alias("kept"))
 

@@ -101,6 +101,21 @@ def test_large_bucket_keeps_all_links(spark):
     assert {r["doc_id"]: r["class_id"] for r in near_duplicate_groups(docs).collect()} == classes_by_hand(texts)
 
 
+def test_pairs_in_a_large_family_just_below_the_threshold(spark):
+    """1,040 texts on one template, 0.777 alike, each with a partner at 0.825: the star to the least member verifies for one of them."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    core, texts = [word() for _ in range(150)], {}
+    for i in range(520):
+        own = [word() for _ in range(5)]
+        for j in (i, 5000 + i):
+            texts[j] = " ".join(core + own + [word() for _ in range(16)])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = classes_by_hand(texts)
+    assert want == {j: j % 5000 for j in texts}
+    assert {r["doc_id"]: r["class_id"] for r in near_duplicate_groups(docs).collect()} == want
+
+
 def test_near_duplicates_of_nothing(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert near_duplicate_groups(none).count() == 0
