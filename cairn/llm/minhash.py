@@ -1,11 +1,12 @@
-"""Near-duplicate groups by ProbMinHash over weighted word shingles.
+"""Near-duplicate groups by ProbMinHash over word shingles.
 
-Each document is the set of its five-word shingles, weighted 1 + ln(count). ProbMinHash
+Each document is the set of its five-word shingles, all of weight 1. ProbMinHash
 gives each shingle a Poisson process whose rate is its weight: its points arrive at
 exponential distances and fall on random registers, each register keeps the shingle of
 its earliest point, and a process ends as soon as its next point is later than every
 register (early termination). Two signatures agree in a register with the probability
-Jaccard similarity of the documents. Bands of the signature are the buckets.
+Jaccard similarity of the documents, which at equal weights is the sets' Jaccard
+similarity: the measure that links are verified by. Bands of the signature are the buckets.
 
 Every pair of a bucket is covered. Members are linked to the bucket's least member, and
 up to SMALL members are compared among themselves. Links are filtered by their whole
@@ -72,8 +73,8 @@ def _signatures(k: int, bands: int, rows: int):
             ids = batch.column(0)
             for i, col in vec.blocks(vec.text_column(batch)):
                 n = len(col)
-                h, d, c = vec.distinct(*vec.word_shingles(col, k))
-                sig = probminhash(h, d, 1.0 + np.log(c), n, m)
+                h, d, _ = vec.distinct(*vec.word_shingles(col, k))
+                sig = probminhash(h, d, np.ones(len(h)), n, m)
                 size = np.bincount(d, minlength=n)
                 digest = []
                 for salt in (1, 2):
@@ -217,7 +218,7 @@ def near_duplicate_groups(docs: DataFrame, threshold: float = 0.8, k: int = 5, b
     links, large = candidate_links(reps, bands)
     side = lambda c: reps.select(F.col("doc_id").alias(c), F.col("size").alias(f"n{c}"), F.col("low").alias(f"low{c}"))
     near = links.join(side("a"), "a").join(side("b"), "b").filter(F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
-    # 4 standard deviations of an estimate from all registers, and as much again for weights that differ between copies.
+    # 8 standard deviations of an estimate from all registers.
     floor = max(0.0, threshold - 8 * (threshold * (1 - threshold) / (bands * rows)) ** 0.5)
     near = runtime.written(near.select("a", "b", "lowa", "lowb").mapInArrow(_alike(floor), "a long, b long"), "near")
     ends = near.select(F.explode(F.array("a", "b")).alias("doc_id")).union(large.select("doc_id")).distinct()

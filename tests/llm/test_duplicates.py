@@ -116,6 +116,21 @@ def test_pairs_in_a_large_family_just_below_the_threshold(spark):
     assert {r["doc_id"]: r["class_id"] for r in near_duplicate_groups(docs).collect()} == want
 
 
+def test_repeat_counts_that_differ_hide_no_pair(spark):
+    """Pairs whose sets are 0.8 or more alike, one text repeating lines 100 times and the other once."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts = {}
+    for i in range(120):
+        body, line, more = ([word() for _ in range(n)] for n in (84, 20, 16))
+        texts[2 * i] = " ".join(body + line * 100)
+        texts[2 * i + 1] = " ".join(body + line + line[:4] + more)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = classes_by_hand(texts)
+    assert want == {j: j - j % 2 for j in texts}
+    assert {r["doc_id"]: r["class_id"] for r in near_duplicate_groups(docs).collect()} == want
+
+
 def test_near_duplicates_of_nothing(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert near_duplicate_groups(none).count() == 0
