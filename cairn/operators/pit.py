@@ -80,14 +80,43 @@ def history(rows: DataFrame, events: DataFrame, by: str, ts: str, item: str, n:
     return found.select("__row.*", F.concat(h, F.array_repeat(F.lit(0).cast("long"), n - F.size(h))).alias(out))
 
 
+def _line_of_firsts(rows: DataFrame, events: DataFrame, by: str, ts: str, item: str, target: str | None, after: bool) -> tuple[DataFrame, Window]:
+    """A timeline of rows (__o = 0) and of each item's first event of a key (its last if after), and the window up to a row; rows come first at equal times."""
+    row = F.struct(*rows.columns)
+    end = F.max(ts) if after else F.min(ts)
+    e = events.select(by, ts, item).dropna().groupBy(F.col(by).alias("__k"), F.col(item).alias("__i")).agg(end.alias("__t"))
+    r = rows.filter(F.col(by).isNotNull() & F.col(ts).isNotNull()).select(F.col(by).alias("__k"), F.col(ts).alias("__t"), F.lit(0).alias("__o"), F.lit(None).cast(e.schema["__i"].dataType).alias("__i"), row.alias("__row"), *([F.col(target).alias("__x")] if target else []))
+    line = r.unionByName(e.select("__k", "__t", F.lit(1).alias("__o"), "__i"), allowMissingColumns=True)
+    return line, Window.partitionBy("__k").orderBy(F.col("__t").desc() if after else F.col("__t"), "__o").rowsBetween(Window.unboundedPreceding, 0)
+
+
 def events_before(rows: DataFrame, events: DataFrame, by: str, ts: str, item: str, row_id: str, target: str | None = None, after: bool = False, out: str = "items") -> DataFrame:
-    """(row_id, sorted distinct items of the key's events strictly before the row, or strictly after), the row's target left out."""
-    r = rows.select(F.col(row_id), F.col(by).alias("__k"), F.col(ts).alias("__t"), *([F.col(target).alias("__x")] if target else []))
-    e = events.select(F.col(by).alias("__ek"), F.col(ts).alias("__et"), F.col(item).alias("__i"))
-    when = e["__et"] > r["__t"] if after else e["__et"] < r["__t"]
-    pairs = r.join(e, (r["__k"] == e["__ek"]) & when)
+    """(row_id, sorted distinct items of the key's events strictly before the row, or strictly after), the row's target left out.
+
+    A running list over the first (last) events of a key's items, not a join of its rows
+    with its events; only the lists that are returned grow with a key's past.
+    """
+    line, upto = _line_of_firsts(rows, events, by, ts, item, target, after)
+    items = F.collect_list("__i").over(upto)
+    seen = line.withColumn("__items", items).filter("__o = 0")
+    kept = F.filter("__items", lambda x: x != F.col("__x")) if target else F.col("__items")
+    lists = seen.select(F.col("__row")[row_id].alias(row_id), F.sort_array(kept).alias(out))
+    untimed = rows.filter(F.col(by).isNull() | F.col(ts).isNull())
+    return lists.unionByName(untimed.select(row_id, F.array().cast(lists.schema[out].dataType).alias(out)))
+
+
+def totals_before(rows: DataFrame, events: DataFrame, by: str, ts: str, item: str, row_id: str, target: str | None = None, after: bool = False) -> DataFrame:
+    """(row_id, n, total): number and sum of the items of events_before, by running sums instead of lists."""
+    line, upto = _line_of_firsts(rows, events, by, ts, item, target, after)
+    seen = line.withColumns({"__n": F.count("__i").over(upto), "__s": F.coalesce(F.sum("__i").over(upto), F.lit(0).cast("long"))}).filter("__o = 0")
+    n, s = F.col("__n"), F.col("__s")
     if target:
-        pairs = pairs.filter("__i <> __x")
-    lists = pairs.groupBy(row_id).agg(F.sort_array(F.collect_set("__i")).alias(out))
-    empty = F.array().cast(lists.schema[out].dataType)
-    return rows.select(row_id).join(lists, row_id, "left").withColumn(out, F.coalesce(out, empty))
+        # The target's own first event counts where it lies before the row; a null target leaves everything out.
+        firsts = events.select(by, ts, item).dropna().groupBy(F.col(by).alias("__ek"), F.col(item).alias("__ei")).agg((F.max(ts) if after else F.min(ts)).alias("__et"))
+        seen = seen.join(firsts, (F.col("__k") == F.col("__ek")) & (F.col("__x") == F.col("__ei")), "left")
+        own = F.coalesce(F.col("__et") > F.col("__t") if after else F.col("__et") < F.col("__t"), F.lit(False))
+        n = F.when(F.col("__x").isNull(), 0).otherwise(n - own.cast("long"))
+        s = F.when(F.col("__x").isNull(), 0).otherwise(s - F.when(own, F.col("__x")).otherwise(0))
+    totals = seen.select(F.col("__row")[row_id].alias(row_id), n.cast("long").alias("n"), s.cast("long").alias("total"))
+    untimed = rows.filter(F.col(by).isNull() | F.col(ts).isNull())
+    return totals.unionByName(untimed.select(row_id, F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("total")))

@@ -34,6 +34,26 @@ def test_events_after_leave_the_target_out(spark):
     assert got == {1: [6, 7], 2: [7], 3: []}
 
 
+@pytest.mark.parametrize("after", [False, True])
+def test_events_before_and_totals_against_pairs(spark, after):
+    import random
+
+    rng = random.Random(3)
+    some = lambda n: rng.choice([None, *range(n)])
+    events = [(some(4), some(9), some(6)) for _ in range(150)] + [(7, t, t % 50) for t in range(300)]
+    rows = [(i, some(4), some(9), rng.randrange(6)) for i in range(80)] + [(100 + t, 7, t, t % 50) for t in range(0, 300, 7)] + [(99, 0, 4, None)]
+    df = lambda x, cols: spark.createDataFrame(x, ", ".join(f"{c} long" for c in cols))
+    r, e = df(rows, "rutg"), df(events, "utg")
+    want = {}
+    for i, u, t, g in rows:
+        timed = [x for k, s, x in events if None not in (k, s, x, u, t, g) and k == u and (s > t if after else s < t)]
+        want[i] = sorted({x for x in timed if x != g})
+    got = pit.events_before(r, e, "u", "t", "g", "r", target="g", after=after)
+    assert {x["r"]: x["items"] for x in got.collect()} == want
+    totals = pit.totals_before(r, e, "u", "t", "g", "r", target="g", after=after)
+    assert {x["r"]: (x["n"], x["total"]) for x in totals.collect()} == {i: (len(v), sum(v)) for i, v in want.items()}
+
+
 @pytest.mark.parametrize("slice_seconds", [None, 40])
 def test_asof_is_strictly_before(spark, slice_seconds):
     rng = random.Random(3)
