@@ -69,22 +69,29 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
+def _flat(x: Column) -> Column:
+    return F.trim(F.regexp_replace(x, "[^a-z0-9]+", " "))
+
+
 def license_units(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """One row per unit that reaches the threshold: doc_id, unit (line, paragraph or text), unit_no (from 0), license, dice."""
-    sizes = [len(template_bigrams(t)) for _, t in templates]
-    bound = threshold / (2 - threshold)
     text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    flat = lambda x: F.trim(F.regexp_replace(x, "[^a-z0-9]+", " "))
     found = _once(docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t")), "low", F.col("t")).drop("t")
-    found = _once(found, "lines", F.transform(F.split("low", "\n"), flat))
+    found = _once(found, "lines", F.transform(F.split("low", "\n"), _flat))
     unit = lambda kind, no, words: F.struct(F.lit(kind).alias("unit"), no.alias("unit_no"), words.alias("words"))
     lines = F.transform("lines", lambda x, i: unit("line", i, x))
     # Line ends part words as other separators do: the text's words are its lines' words.
     whole = F.array(unit("text", F.lit(0), F.array_join(F.array_remove("lines", ""), " ")))
-    paragraphs = F.filter(F.transform(F.split("low", r"\n\s*\n"), lambda x, i: unit("paragraph", i, F.when(F.trim(x).contains("\n"), flat(x)).otherwise(""))), lambda x: x["words"] != "")
+    paragraphs = F.filter(F.transform(F.split("low", r"\n\s*\n"), lambda x, i: unit("paragraph", i, F.when(F.trim(x).contains("\n"), _flat(x)).otherwise(""))), lambda x: x["words"] != "")
     none = F.filter(whole, lambda x: F.lit(False))
     units = F.concat(lines, F.when(F.col("low").rlike(r"\n\s*\n"), paragraphs).otherwise(none), F.when(F.size("lines") > 1, whole).otherwise(none))
-    found = found.select("doc_id", F.explode(units).alias("u")).select("doc_id", "u.*")
+    return _matches(found.select("doc_id", F.explode(units).alias("u")).select("doc_id", "u.*"), threshold, templates)
+
+
+def _matches(found: DataFrame, threshold: float, templates: list[tuple[str, str]]) -> DataFrame:
+    """The units (doc_id, unit, unit_no, words) that reach the threshold, with licence and dice."""
+    sizes = [len(template_bigrams(t)) for _, t in templates]
+    bound = threshold / (2 - threshold)
     # The number of bigrams is that of the spaces between words.
     found = _once(found, "n", (F.octet_length("words") - F.octet_length(F.replace("words", F.lit(" "), F.lit("")))).cast("double"))
     near = [F.col("n").between(s * bound - 1e-9, s / bound + 1e-9) for s in sorted(set(sizes))]
@@ -106,6 +113,53 @@ def license_units(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id
     return best.filter(F.col("dice") >= threshold).select("doc_id", "unit", "unit_no", F.col("best.license").alias("license"), "dice")
 
 
+def license_runs(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
+    """Licences in runs of adjacent segments, whatever lines and paragraphs they span: doc_id, unit (run), unit_no (the first segment, from 0), license, dice.
+
+    Segments are the lines of a text, cut after sentence ends; those without words don't
+    count. Each start gives its best run (the shortest of equal ones) if it reaches the
+    threshold; equal texts of one id give it once. A match shares at least `bound` of the
+    run's bigrams with a template, so a text without a segment that dense goes early, and
+    so do runs, by the segments' counts, before they are joined.
+    """
+    sizes = [len(template_bigrams(t)) for _, t in templates]
+    bound = threshold / (2 - threshold)
+    most = int(max(sizes) / bound + 1e-9) + 1
+    known = sorted({g.rsplit(" ", 1)[0] for _, t in templates for g in template_bigrams(t)})
+    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
+    found = _once(found, "segments", F.filter(F.transform(F.split("t", r"\n|(?<=[.!?;:])\s+"), _flat), lambda x: x != "")).drop("t")
+    found = _once(found, "cells", F.transform("segments", lambda x: F.split(x, " ")))
+
+    # Known bigrams that end in a segment, with the last word of the segment before.
+    def hits(w: Column, i: Column) -> Column:
+        full = F.when(i > 0, F.concat(F.slice(F.get("cells", i - 1), -1, 1), w)).otherwise(w)
+        pairs = F.zip_with(full, F.slice(full, 2, F.greatest(F.size(full), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.struct(F.size(w).alias("n"), F.size(F.filter(pairs, lambda x: x.isin(known))).alias("hit"))
+
+    found = _once(found.filter(F.size("cells") > 0), "counts", F.transform("cells", hits)).drop("cells")
+    found = found.filter(F.exists("counts", lambda c: (c["hit"] > 0) & (c["hit"] >= bound * (c["n"] - 1) - 1e-9)))
+    zero = F.struct(F.lit(0).alias("k"), F.lit(0).alias("n"), F.lit(0).alias("hit"), F.array().cast("array<struct<k:int,n:int,hit:int>>").alias("runs"))
+
+    # Runs of a start as (segments, words, hits).
+    def grow(a: Column, c: Column) -> Column:
+        k, n, hit = a["k"] + 1, a["n"] + c["n"], a["hit"] + c["hit"]
+        fits = (n - 1 <= most) & (hit >= bound * (n - 1) - 1e-9)
+        runs = F.when(fits, F.concat(a["runs"], F.array(F.struct(k.alias("k"), n.alias("n"), hit.alias("hit"))))).otherwise(a["runs"])
+        return F.struct(k.alias("k"), n.alias("n"), hit.alias("hit"), runs.alias("runs"))
+
+    # By counts alone, so that only runs that may match are copied; a run has no more segments than the longest match has words.
+    runs_at = lambda c, i: F.struct(i.alias("start"), F.aggregate(F.slice("counts", i + 1, most + 1), zero, grow)["runs"].alias("runs"))
+    found = _once(found, "starts", F.filter(F.transform("counts", runs_at), lambda s: F.size(s["runs"]) > 0)).drop("counts")
+    # The text's hash goes with the start, as an id can repeat.
+    found = found.filter(F.size("starts") > 0).withColumn("text", F.xxhash64("segments"))
+    words = lambda s, r: F.struct(s["start"].alias("start"), r["k"].alias("k"), F.array_join(F.slice("segments", s["start"] + 1, r["k"]), " ").alias("words"))
+    found = found.select("doc_id", "text", F.explode(F.flatten(F.transform("starts", lambda s: F.transform(s["runs"], lambda r: words(s, r))))).alias("x"))
+    units = found.select("doc_id", F.lit("run").alias("unit"), F.struct(F.col("x.start").alias("unit_no"), F.col("x.k").alias("k"), "text").alias("unit_no"), F.col("x.words").alias("words"))
+    matched = _matches(units, threshold, templates)
+    best = matched.groupBy("doc_id", F.col("unit_no.text").alias("text"), F.col("unit_no.unit_no").alias("unit_no")).agg(F.min(F.struct((-F.col("dice")).alias("less"), F.col("unit_no.k").alias("k"), "license")).alias("b"))
+    return best.select("doc_id", F.lit("run").alias("unit"), "unit_no", F.col("b.license").alias("license"), (-F.col("b.less")).alias("dice"))
+
+
 def oracle(threshold: float = 0.8, templates: list[tuple[str, str]] = TEMPLATES) -> str:
     """The same over the table documents in DuckDB's SQL."""
     rows = ", ".join(f"('{name}', {len(g)}, {g})" for name, g in ((n, template_bigrams(t)) for n, t in templates))

@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 from cairn.llm import runtime
-from cairn.llm.licenses import TEMPLATES, license_units, oracle, template_bigrams
+from cairn.llm.licenses import TEMPLATES, license_runs, license_units, oracle, template_bigrams
 from cairn.llm.queries import ORACLE, QUERIES
 from cairn.llm.warc import read_warc, write_warc
 
@@ -35,6 +35,38 @@ def dice(a, b):
     return 2 * sum((a & b).values()) / (sum(a.values()) + sum(b.values()))
 
 
+def test_license_runs_by_hand(spark):
+    import re
+
+    mit = next(t for n, t in TEMPLATES if n == "MIT" and len(t) > 100)
+    paragraphs = mit.replace("conditions: ", "conditions:\n\n").replace("Software. THE", "Software.\n\nTHE")
+    prose = "It was a plain morning of the year.\nNobody came to the house, and the rain went on.\n\n" * 6
+    isc = next(t for n, t in TEMPLATES if n == "ISC").replace(". ", ".\n\n")
+    texts = [prose + paragraphs + "\n\n" + prose, "Copyright 2020 X. Released under the MIT License.", prose, None, "", "word", prose + isc + "\n" + prose, "released\nunder\nthe\nmit\nlicense", "Released under\n\nthe MIT License. " + prose, "the\nof\nto\n" * 30]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["doc_id"], r["unit_no"]): (r["license"], r["dice"]) for r in license_runs(docs).collect()}
+    grams = [(n, template_bigrams(t)) for n, t in TEMPLATES]
+    want = {}
+    for i, t in enumerate(texts):
+        segments = [x for x in (re.sub("[^a-z0-9]+", " ", x).strip() for x in re.split(r"\n|(?<=[.!?;:])\s+", (t or "").lower())) if x]
+        for a in range(len(segments)):
+            best = None
+            for b in range(a + 1, len(segments) + 1):
+                g = template_bigrams(" ".join(segments[a:b]))
+                if len(g) > 400:
+                    break
+                for name, tg in grams if g else []:
+                    d = round(dice(g, tg), 6)
+                    if d >= 0.8 and (best is None or (-d, b - a, name) < best):
+                        best = (-d, b - a, name)
+            if best:
+                want[i, a] = (best[2], -best[0])
+    assert got == want
+    assert {(i, n) for (i, _), (n, _) in got.items()} == {(0, "MIT"), (1, "MIT"), (6, "ISC"), (7, "MIT"), (8, "MIT")}
+    units = {(r["doc_id"], r["license"]) for r in license_units(docs).collect()}
+    assert not {(0, "MIT"), (1, "MIT"), (6, "ISC")} & units
+
+
 def test_licenses_by_hand(spark):
     mit = TEMPLATES[17][1] if TEMPLATES[17][0] == "MIT" else next(t for n, t in TEMPLATES if n == "MIT" and len(t) > 100)
     texts = ["Released under the MIT License.", "released  UNDER the mit licence!", None, "", "word", mit.replace(". ", ".\n"), "a\n\nLicensed under\nCC BY 4.0.\n\nb", "Licensed under CC BY-ND 4.0.", mit + " and " + "other words " * 40, "the the the the the"]
