@@ -19,7 +19,7 @@ def tree_scores(spark: SparkSession, d: str) -> DataFrame:
     return t.score(p, ["p_size", "p_retailprice"]).select("p_partkey", "score")
 
 
-@query("tag_clusters", "V32")
+@query("tag_clusters", "")
 def tag_clusters(spark: SparkSession, d: str) -> DataFrame:
     p = read(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("s"), (F.col("p_retailprice") / 100).alias("p"))
     return models.clusters(p, ["s", "p"], 5).select("p_partkey", "cluster")
@@ -30,7 +30,7 @@ def implicit_item_vectors(spark: SparkSession, d: str) -> DataFrame:
     return models.item_vectors(M.ledger(spark, d).filter("is_positive"), "user_id", "game_id", 8)
 
 
-@query("ranker_importances", "V20 V34 E18 E19")
+@query("ranker_importances", "V20 V34 E18")
 def ranker_importances(spark: SparkSession, d: str) -> DataFrame:
     o = read(spark, d, "orders").select((F.col("o_orderstatus") == "F").cast("double").alias("label"), F.col("o_totalprice"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).cast("double").alias("t"))
     _, share = models.ranker(o, ["o_totalprice", "t"], "label", trees=5, depth=3)

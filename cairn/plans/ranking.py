@@ -278,7 +278,7 @@ def list_concentration(spark: S, d: str) -> DataFrame:
     return E.concentration(a, "user_id", "o_orderpriority", top=2)
 
 
-@query("embedding_health", "E14", f"""
+@query("embedding_health", "", f"""
 WITH e AS ({_EMB_SQL}), s AS (SELECT k, sum(v[k]) AS x FROM e, (SELECT unnest(range(1, 65)) AS k) GROUP BY k), n AS (SELECT count(*) AS n FROM e) SELECT round((sum(x * x) - any_value(n)) / (any_value(n) * (any_value(n) - 1)), 6) AS mean_cosine FROM s, n""")
 def embedding_health(spark: S, d: str) -> DataFrame:
     """The mean cosine of all pairs of unit vectors, from the length of their sum."""
@@ -366,7 +366,7 @@ def fallback_lists(spark: S, d: str) -> DataFrame:
     return c.select("user_id", F.coalesce("reviews", F.lit(0)).alias("reviews"), F.when(F.col("reviews") >= 30, "own").otherwise("popular").alias("source"))
 
 
-@query("answer_checks", "O13 O14 O15 O16", """
+@query("answer_checks", "O13", """
 WITH a AS (SELECT l_orderkey, list(l_linenumber ORDER BY l_linenumber) AS x, count(*) AS n FROM lineitem GROUP BY 1)
 SELECT l_orderkey, n, len(list_filter(range(1, n + 1), lambda i: NOT list_contains(x, i))) AS missing, n - len(list_distinct(x)) AS duplicated, len(list_filter(list_distinct(x), lambda i: i > n)) AS unknown FROM a""")
 def answer_checks(spark: S, d: str) -> DataFrame:

@@ -163,7 +163,7 @@ def array_functions(spark: S, d: str) -> DataFrame:
     )
 
 
-@query("dedup_reviews", "W01 W14 K38 A11", M.with_model("SELECT review_id, user_id, game_id, is_positive, scrape_date FROM reviews"))
+@query("dedup_reviews", "W01 W14 A11", M.with_model("SELECT review_id, user_id, game_id, is_positive, scrape_date FROM reviews"))
 def dedup_reviews(spark: S, d: str) -> DataFrame:
     return M.reviews(spark, d).select("review_id", "user_id", "game_id", "is_positive", "scrape_date")
 

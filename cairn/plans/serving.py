@@ -92,7 +92,7 @@ def promotion_report(spark: S, d: str) -> DataFrame:
     return spark.createDataFrame([(row["champion"], row["candidate"], said)], "champion double, candidate double, decision string")
 
 
-@query("rollback_version", "E24 K34 K10", """
+@query("rollback_version", "E24", """
 SELECT CAST(o_orderkey AS BIGINT) AS version FROM orders WHERE o_orderpriority = '1-URGENT' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1 OFFSET 1""")
 def rollback_version(spark: S, d: str) -> DataFrame:
     """Of a history of decisions the promoted version before the current one: the second newest."""

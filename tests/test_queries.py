@@ -67,6 +67,12 @@ def test_query_for_every_user(spark, db, name, cuts):
     spark.catalog.clearCache()
 
 
+def test_rows_without_code_are_not_claimed():
+    from cairn.plans import registry
+
+    assert not {"O14", "O15", "O16", "E14", "E19", "K10", "K34", "K38", "V32"} & set(registry.covered())
+
+
 def test_entry_and_registration(spark):
     import __spark_entry__ as e
 
