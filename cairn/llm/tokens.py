@@ -4,6 +4,10 @@ A byte-level BPE with the usual splitting pattern never merges across a space th
 non-space character follows, so a text's ids are those of its pieces, cut there. Each
 different piece goes through the library once a block and is then looked up. For any
 other tokenizer whole texts are encoded.
+
+Ids are those of the library's defaults: the string of an added token (such as
+<|endoftext|>) that stands in a text becomes that token's id. Texts are cut around such
+strings, and what lies between them is encoded as texts of its own, as the library does.
 """
 
 from __future__ import annotations
@@ -40,11 +44,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        pre = spec.get("pre_tokenizer") or {}
-        self.by_pieces = spec["model"]["type"] == "BPE" and not spec.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        pre, added = spec.get("pre_tokenizer") or {}, spec.get("added_tokens") or []
+        # Texts can be cut around an added token only if it takes nothing of its neighbours, and pieces that are joined by spaces never make one.
+        plain = not any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] or re.search(r"\s", t["content"]) for t in added)
+        self.by_pieces = plain and spec["model"]["type"] == "BPE" and not spec.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        self.added = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in added}
+        self.added_pattern = "|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True))
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.bytes_of = np.zeros(self.vocabulary, np.int64)  # byte-level: a character of a token stands for a byte
         for token, i in self.tokenizer.get_vocab().items():
@@ -121,9 +128,22 @@ class Encoder:
 
     def encode_block(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a column one after another, and the n + 1 offsets into them."""
-        n = len(col)
-        if not self.by_pieces or not n:
+        if not self.by_pieces or not len(col):
             return _joined(self._encode(col.to_pylist()))
+        holds = np.zeros(len(col), bool)
+        for x in self.added:
+            holds |= pc.match_substring(col, x).to_numpy(zero_copy_only=False)
+        if not holds.any():
+            return self._encode_plain(col)
+        # Parts of a text alternate: what lies between added tokens, and these.
+        texts = [re.split(f"({self.added_pattern})", t) if h else [t] for t, h in zip(col.to_pylist(), holds.tolist(), strict=True)]
+        ids, cut = self._encode_plain(pa.array([x for t in texts for x in t[::2]], pa.large_string()))
+        between = (ids[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True))
+        return _joined([b"".join(next(between) if k % 2 == 0 else self.added[x] for k, x in enumerate(t)) for t in texts])
+
+    def _encode_plain(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts without added tokens."""
+        n = len(col)
         parts = pc.split_pattern(col, " ")
         off = parts.offsets.to_numpy().astype(np.int64)
         words = parts.values.slice(off[0], off[-1] - off[0]).dictionary_encode()

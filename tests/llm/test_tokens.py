@@ -19,7 +19,6 @@ def plain(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return [np.array(e.ids, "<u4") for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -29,6 +28,19 @@ def test_pieces_encode_as_whole_texts(texts):
     assert encoder(PATH).encode(texts) == [x.tobytes() for x in plain(texts)]
 
 
+def test_special_strings_are_the_tokens_of_the_library():
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x <|endoftext|><|endoftext|>", " \n<|endoftext|> \n y", "<|endoftext|", ""]
+    got = encoder(PATH).encode(texts)
+    assert got == [x.tobytes() for x in plain(texts)]
+    assert np.frombuffer(got[0], "<u4").tolist() == [64, 220, 50256, 275]
+
+
+@settings(deadline=None, max_examples=200)
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", " ", "\n", "word", "'s", "é", "<|", "7"]), max_size=12).map("".join), max_size=4))
+def test_texts_with_special_strings(texts):
+    assert encoder(PATH).encode(texts) == [x.tobytes() for x in plain(texts)]
+
+
 def rows_of(docs):
     return sorted((r["doc_id"], r["text"] or "") for r in docs.select("doc_id", "text").collect())
 
