@@ -2,16 +2,20 @@
 
 Layout below the output folder:
 
-* ``dictionary-<hash>.zdict``: trained on serialised id arrays of a bounded sample;
-* ``shard-NNNNN.ctok``: frames in ascending document order, then the index (an Arrow
-  stream of doc_id, start, offset, size, n_tokens), then a JSON trailer with the
+* ``dictionary-<hash>.zdict``: trained on chunks of serialised id arrays, picked by hash
+  from all positions of a bounded sample of documents; empty where the sample is too
+  small to train on, which the manifest says (``dictionary_trained``);
+* ``shard-PPPPPPP-NNNN.ctok``: frames in ascending document order, then the index (an
+  Arrow stream of doc_id, start, offset, size, n_tokens), then a JSON trailer with the
   dictionary hash, the id width and the index place, its length, and a magic word;
-* ``manifest.json``: the shards in order with the number of tokens before each. It is
-  written last, so a folder without it is not a corpus.
+* ``manifest.json``: the shards in order with the number of tokens before each and the
+  first and last id. It is written last, so a folder without it is not a corpus.
 
 Each frame decodes alone: a document is read with the trailer, the index and one range.
-Shards are written under temporary names and renamed; a task that runs again after a
-lost executor writes the same file again.
+Tasks take ranges of ids whose number follows the bytes of all texts, and close a shard
+at ROLL_BYTES of frames or ROLL_DOCS documents, so an index in memory is bounded. Shards
+are written under temporary names and renamed; a task that runs again after a lost
+executor writes the same files again.
 
 Defined results: null text is empty and gives the end id alone; a null id sorts first;
 repeated ids are kept, next to each other, in the order of a hash of their texts; a
@@ -20,6 +24,7 @@ table without rows gives a manifest without shards; extra columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import json
 import struct
@@ -34,18 +39,32 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import runtime
+from cairn.llm import runtime, vec
 from cairn.llm.tokens import encoded, encoder
 
 MAGIC = b"CTOK0001"
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("offset", pa.int64()), ("size", pa.int64()), ("n_tokens", pa.int64())])
 
 
-def train_dictionary(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, sample_docs: int, sample_chars: int, dictionary_bytes: int, dtype: str) -> bytes:
-    """A dictionary from at most sample_docs documents, those of the smallest id hashes, and sample_chars of each; empty if they are too few to train on."""
-    ids = [r["id"] for r in runtime.hash_sample(docs.select(F.col(id_col).alias("id")), "id", sample_docs).collect()]
-    rows = docs.filter(F.col(id_col).isin(ids)).select(F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, sample_chars).alias("t")).limit(2 * sample_docs).collect() if ids else []
-    samples = [np.frombuffer(x, "<u4").astype(dtype).tobytes() for x in encoder(tokenizer).encode([r["t"] for r in rows])]
+RANGE_BYTES = 64 << 20
+ROLL_BYTES, ROLL_DOCS = 64 << 20, 250_000
+
+
+def train_dictionary(docs: DataFrame, tokenizer: str, sample_docs: int, sample_chunks: int, chunk_bytes: int, dictionary_bytes: int, dtype: str) -> bytes:
+    """A dictionary from docs (doc_id, text): the documents of the smallest id hashes are encoded whole, and of their ids' chunks those of the smallest hashes train it; empty if they are too few."""
+    some = runtime.hash_sample(docs.select("doc_id").distinct(), "doc_id", sample_docs)
+    # At most sample_docs ids are broadcast; of an id that repeats one text counts.
+    picked = docs.join(F.broadcast(some), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, col in vec.blocks(vec.text_column(batch)):
+                for key, x in zip(batch.column(0).slice(i, len(col)).to_pylist(), encoder(tokenizer).encode(col.to_pylist()), strict=True):
+                    data = np.frombuffer(x, "<u4").astype(dtype).tobytes()
+                    chunks = [data[a : a + chunk_bytes] for a in range(0, len(data), chunk_bytes)]
+                    yield pa.record_batch([pa.array([zlib.crc32(f"{key}:{n}".encode()) for n in range(len(chunks))], pa.int64()), pa.array(chunks, pa.binary())], names=["h", "chunk"])
+
+    samples = [bytes(r["chunk"]) for r in picked.mapInArrow(cut, "h long, chunk binary").orderBy("h", "chunk").limit(sample_chunks).collect()]
     try:
         return zstandard.train_dictionary(dictionary_bytes, samples).as_bytes()
     except zstandard.ZstdError:
@@ -59,50 +78,75 @@ def _compressor(dictionary: bytes, level: int) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=True)
 
 
-def write_tokens(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None, level: int = 3, sample_docs: int = 1000, sample_chars: int = 4000, dictionary_bytes: int = 65536) -> dict:
-    """Writes all documents in ascending id order and returns the manifest. shards: at most so many files; by default the session's shuffle partitions."""
+class _Writer:
+    """One shard under a temporary name."""
+
+    def __init__(self, out_dir: str, file: str, compressor: zstandard.ZstdCompressor, head: dict):
+        self.fs, self.path = runtime.open_fs(f"{out_dir}/{file}")
+        self.tmp = f"{self.path}.{uuid.uuid4().hex}.tmp"
+        self.out = self.fs.open_output_stream(self.tmp)
+        self.file, self.compressor, self.head = file, compressor, head
+        self.meta: tuple[list, ...] = ([], [], [], [], [])
+        self.at = self.tokens = 0
+
+    def put(self, key: int | None, ids: bytes) -> None:
+        n = len(ids) // 4
+        frame = self.compressor.compress(np.frombuffer(ids, "<u4").astype(self.head["dtype"]).tobytes())
+        self.out.write(frame)
+        for column, x in zip(self.meta, (key, self.tokens, self.at, len(frame), n), strict=True):
+            column.append(x)
+        self.at, self.tokens = self.at + len(frame), self.tokens + n
+
+    def full(self, roll_bytes: int, roll_docs: int) -> bool:
+        return self.at >= roll_bytes or len(self.meta[0]) >= roll_docs
+
+    def close(self) -> dict:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, INDEX) as w:
+            w.write_batch(pa.record_batch([pa.array(c, t) for c, t in zip(self.meta, INDEX.types, strict=True)], schema=INDEX))
+        index = sink.getvalue().to_pybytes()
+        trailer = json.dumps(self.head | {"index_offset": self.at, "index_bytes": len(index), "docs": len(self.meta[0]), "tokens": self.tokens}).encode()
+        self.out.write(index + trailer + struct.pack("<Q", len(trailer)) + MAGIC)
+        self.out.close()
+        self.fs.move(self.tmp, self.path)
+        return {"file": self.file, "docs": len(self.meta[0]), "tokens": self.tokens, "frame_bytes": self.at, "first": self.meta[0][0], "last": self.meta[0][-1]}
+
+
+def write_tokens(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", level: int = 3, sample_docs: int = 1000, sample_chunks: int = 2000, chunk_bytes: int = 4096, dictionary_bytes: int = 65536, range_bytes: int = RANGE_BYTES, roll_bytes: int = ROLL_BYTES, roll_docs: int = ROLL_DOCS) -> dict:
+    """Writes all documents in ascending id order and returns the manifest. range_bytes: texts of one task, about; the session's shuffle partitions are the least number of tasks."""
     spark = docs.sparkSession
     runtime.ship(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     dtype = "<u2" if max(encoder(tokenizer).vocabulary, end_id + 1) <= 1 << 16 else "<u4"
-    dictionary = train_dictionary(docs, tokenizer, "doc_id", "text", sample_docs, sample_chars, dictionary_bytes, dtype)
+    dictionary = train_dictionary(docs, tokenizer, sample_docs, sample_chunks, chunk_bytes, dictionary_bytes, dtype)
     digest = hashlib.sha256(dictionary).hexdigest()
     name = f"dictionary-{digest[:16]}.zdict"
     runtime.write_file(f"{out_dir}/{name}", dictionary)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        compressor, meta, at, tokens = _compressor(dictionary, level), [], 0, 0
-        file = f"shard-{part:05d}.ctok"
-        fs, path = runtime.open_fs(f"{out_dir}/{file}")
-        tmp = f"{path}.{uuid.uuid4().hex}.tmp"
+        part, compressor, head = TaskContext.get().partitionId(), _compressor(dictionary, level), {"dictionary": digest, "dtype": dtype}
+        done: list[dict] = []
         out = None
         for keys, ids in encoded(batches, tokenizer, "doc_id", "text", end_id):
-            out = out or fs.open_output_stream(tmp)
             for key, x in zip(keys, ids, strict=True):
-                frame = compressor.compress(np.frombuffer(x, "<u4").astype(dtype).tobytes())
-                out.write(frame)
-                meta.append((key, tokens, at, len(frame), len(x) // 4))
-                at, tokens = at + len(frame), tokens + len(x) // 4
-        if out is None:
-            return
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, INDEX) as w:
-            w.write_batch(pa.record_batch([pa.array(c, t) for c, t in zip(zip(*meta, strict=True), INDEX.types, strict=True)], schema=INDEX))
-        index = sink.getvalue().to_pybytes()
-        trailer = json.dumps({"dictionary": digest, "dtype": dtype, "index_offset": at, "index_bytes": len(index), "docs": len(meta), "tokens": tokens}).encode()
-        out.write(index + trailer + struct.pack("<Q", len(trailer)) + MAGIC)
-        out.close()
-        fs.move(tmp, path)
-        yield pa.record_batch([pa.array([part]), pa.array([file]), pa.array([len(meta)]), pa.array([tokens]), pa.array([at])], names=["shard", "file", "docs", "tokens", "frame_bytes"])
-
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+                if out is not None and out.full(roll_bytes, roll_docs):
+                    done.append(out.close())
+                    out = None
+                out = out or _Writer(out_dir, f"shard-{part:07d}-{len(done):04d}.ctok", compressor, head)
+                out.put(key, x)
+        if out is not None:
+            done.append(out.close())
+        if done:
+            yield pa.RecordBatch.from_pylist(done, schema=pa.schema([("file", pa.string()), *((c, pa.int64()) for c in ("docs", "tokens", "frame_bytes", "first", "last"))]))
+
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // range_bytes))
     order = ["doc_id", F.xxhash64("text")]
-    found = docs.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(write, "shard long, file string, docs long, tokens long, frame_bytes long").collect()
-    manifest = {"dictionary": name, "dictionary_sha256": digest, "end_id": end_id, "dtype": dtype, "shards": []}
+    found = docs.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(write, "file string, docs long, tokens long, frame_bytes long, first long, last long").collect()
+    manifest = {"dictionary": name, "dictionary_sha256": digest, "dictionary_trained": bool(dictionary), "end_id": end_id, "dtype": dtype, "shards": []}
     base = 0
-    for r in sorted(found, key=lambda r: r["shard"]):
-        manifest["shards"].append({"file": r["file"], "docs": r["docs"], "tokens": r["tokens"], "start": base, "frame_bytes": r["frame_bytes"]})
+    for r in sorted(found, key=lambda r: r["file"]):
+        manifest["shards"].append(r.asDict() | {"start": base})
         base += r["tokens"]
     runtime.write_file(f"{out_dir}/manifest.json", json.dumps(manifest).encode())
     return manifest
@@ -130,11 +174,12 @@ class Shard:
 
     def document(self, doc_id: int) -> np.ndarray:
         """The ids of one document, by one range read."""
-        keys = self.index["doc_id"].to_numpy()
+        keys = self.index["doc_id"]
+        without, keys = keys.null_count, keys.drop_null().to_numpy()
         i = int(np.searchsorted(keys, doc_id))
         if i == len(keys) or keys[i] != doc_id:
             raise KeyError(doc_id)
-        row = self.index.slice(i, 1).to_pylist()[0]
+        row = self.index.slice(without + i, 1).to_pylist()[0]
         return self.ids(self.file.read_at(row["size"], row["offset"]))
 
     def documents(self, rows: int = 1000) -> Iterator[tuple[dict, np.ndarray]]:
@@ -179,12 +224,12 @@ def read_tokens(spark: SparkSession, out_dir: str, with_ids: bool = True) -> Dat
 
 
 def read_document(out_dir: str, doc_id: int) -> np.ndarray:
-    """One document by its id, without Spark."""
+    """One document by its id, without Spark; the first of those that share the id."""
     manifest = json.loads(runtime.read_file(f"{out_dir}/manifest.json"))
     dictionary = runtime.read_file(f"{out_dir}/{manifest['dictionary']}")
-    for s in manifest["shards"]:
-        try:
-            return Shard(out_dir, s["file"], dictionary).document(doc_id)
-        except KeyError:
-            continue
-    raise KeyError(doc_id)
+    # The shards are in order, and all that hold a null id only have no last one.
+    known = [s for s in manifest["shards"] if s["last"] is not None]
+    i = bisect.bisect_left([s["last"] for s in known], doc_id)
+    if i == len(known):
+        raise KeyError(doc_id)
+    return Shard(out_dir, known[i]["file"], dictionary).document(doc_id)

@@ -54,7 +54,7 @@ def test_token_files_round_trip(spark, small_docs):
     got = sorted(read_tokens(spark, out).collect(), key=lambda r: r["start"])
     assert [(r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in got] == [(k, s, len(x), zlib.crc32(x.tobytes())) for (k, _), s, x in zip(rows, start, want, strict=False)]
     assert all(r["ids"] == x.tolist() for r, x in zip(got, want, strict=True))
-    assert read_document(out, rows[7][0]).tolist() == want[7].tolist()
+    assert all(read_document(out, rows[k][0]).tolist() == want[k].tolist() for k in (0, 7, len(rows) - 1))
     with pytest.raises(KeyError):
         read_document(out, -5)
 
@@ -70,6 +70,21 @@ def test_token_files_of_no_documents_and_of_repeated_ids(spark):
     got = sorted(read_tokens(spark, out).collect(), key=lambda r: r["start"])
     assert [r["doc_id"] for r in got] == [None, 1, 1, 1]
     assert json.loads(runtime.read_file(f"{out}/manifest.json"))["end_id"] == 2
+    assert len(read_document(out, 1)) in (2, 3)
+
+
+@pytest.mark.parametrize("n", [4, 400])
+def test_dictionary_and_rolled_shards(spark, n):
+    """Too few documents train no dictionary, which the manifest says; shards close at a number of documents."""
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 60 + id % 50), x -> concat('word', (x * id) % 97))) AS text")
+    out = runtime.scratch(spark, "tokens")
+    manifest = write_tokens(docs, out, PATH, end_id=2, roll_docs=30)
+    assert manifest["dictionary_trained"] == (n > 100) == (len(runtime.read_file(f"{out}/{manifest['dictionary']}")) > 0)
+    assert all(s["docs"] <= 30 for s in manifest["shards"]) and (len(manifest["shards"]) >= n / 30)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = {r["doc_id"]: r["ids"] for r in read_tokens(spark, out).collect()}
+    assert got == {k: [*x.tolist(), 2] for k, x in zip(texts, plain(list(texts.values())), strict=True)}
+    assert read_document(out, n - 1).tolist() == got[n - 1]
 
 
 def best_fit_by_hand(counts, window):
