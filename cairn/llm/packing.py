@@ -5,12 +5,14 @@ Only lengths matter to the packing, and there are at most `window` different one
 the exact global best-fit-decreasing plan is made from the histogram of lengths: a
 segment tree over remaining capacity finds the tightest open window for each length,
 and equal windows are kept as runs. The plan's size depends on `window`, not on the
-data. Pieces then get their places by their rank within their length, which is counted
-in salted parts so that a length that most pieces share is ranked by many tasks.
+data. Pieces then get their places by their rank within their length. A length is ranked
+in parts of about PART pieces, as many as its count needs, so that a length that most
+pieces share (the full windows, as a rule) is ranked by as many tasks; a piece's part
+comes from its document and its place, so one very long document is in many parts.
 
 Defined results: null and empty texts hold the end id alone; a table without rows gives
 no pieces; repeated ids are packed as often as they come; equal lengths are placed in
-order of (salt of the id, id, start); extra columns are ignored.
+order of (part, id, start); extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from cairn.llm import runtime
 from cairn.llm.tokens import encoded
 
-SALTS = 64
+PART = 250_000
 
 
 class CapacityTree:
@@ -114,23 +116,29 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int, id_c
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(cut, schema)
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = 1024, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def _ranks_before(counted: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(length, part, pieces of the length in earlier parts) from (length, part, pieces)."""
+    out, at = [], {}
+    for length, part, n in sorted(counted):
+        out.append((length, part, at.get(length, 0)))
+        at[length] = at.get(length, 0) + n
+    return out
+
+
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = 1024, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, part: int = PART) -> DataFrame:
     """One row per piece: the columns of token_pieces(), sequence_id, and the offset there."""
     spark = docs.sparkSession
     pieces = runtime.written(token_pieces(docs, tokenizer, end_id, window, id_col, text_col, with_ids), "pieces")
-    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    # At most window x SALTS rows, whatever the data.
-    counted = sorted((r["length"], r["salt"], r["n"]) for r in pieces.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).collect())
-    counts: dict[int, int] = {}
-    befores = []
-    for length, salt, n in counted:
-        befores.append((length, salt, counts.get(length, 0)))
-        counts[length] = counts.get(length, 0) + n
-    before = spark.createDataFrame(befores, "length long, salt int, ranks_before long")
+    # At most `window` rows.
+    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    parts = spark.createDataFrame([(k, -(-n // part)) for k, n in counts.items()], "length long, parts long")
+    pieces = pieces.join(F.broadcast(parts), "length").withColumn("part", F.pmod(F.xxhash64("doc_id", "start"), F.col("parts"))).drop("parts")
+    # A row for about `part` pieces, and `window` more.
+    before = spark.createDataFrame(_ranks_before([tuple(r) for r in pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")).collect()]), "length long, part long, ranks_before long")
     plan = spark.createDataFrame(best_fit_decreasing(counts, window), "length long, first_rank long, pieces long, first_window long, fit long, base long")
     order = [F.col("doc_id"), F.col("start"), *([] if with_ids else [F.col("ids_crc32")])]
-    ranked = pieces.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy(*order)) - 1)
-    ranked = ranked.join(F.broadcast(before), ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("ranks_before"))
+    ranked = pieces.withColumn("rank", F.row_number().over(Window.partitionBy("length", "part").orderBy(*order)) - 1)
+    ranked = ranked.join(F.broadcast(before), ["length", "part"]).withColumn("rank", F.col("rank") + F.col("ranks_before"))
     j = F.col("rank") - F.col("first_rank")
     placed = ranked.join(F.broadcast(plan), "length").filter((j >= 0) & (j < F.col("pieces")))
     kept = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids]

@@ -128,8 +128,9 @@ def test_capacity_tree_against_a_scan():
         assert tree.tightest(q) == min((x for x in state if x >= q), default=None)
 
 
-def test_packing_holds_every_id_once(spark, small_docs):
-    rows = pack(small_docs, PATH, with_ids=True)
+@pytest.mark.parametrize("part", [250_000, 3])
+def test_packing_holds_every_id_once(spark, small_docs, part):
+    rows = pack(small_docs, PATH, with_ids=True, part=part)
     got = rows.collect()
     docs = defaultdict(list)
     for r in got:
@@ -151,5 +152,13 @@ def test_packing_holds_every_id_once(spark, small_docs):
     assert all(len(r["ids"]) == 1024 or len(r["ids"]) == r["n_tokens"] and r["n_tokens"] & (r["n_tokens"] - 1) == 0 for r in built.values())
 
 
+def test_packing_of_repeated_rows_ties_and_nulls(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, "c"), (None, None), (2, ""), (3, "wort " * 9000)], "doc_id long, text string").selectExpr("*", "7 AS length", "8 AS part")
+    got = pack(docs, PATH, window=64).collect()
+    assert sorted((r["doc_id"] or 0, r["doc_tokens"]) for r in got if r["start"] == 0 and r["doc_id"] != 3) == [(0, 1), (1, 2), (1, 3), (1, 3), (2, 1)]
+    assert len({(r["sequence_id"], r["offset"]) for r in got}) == len(got)
+    assert sum(r["length"] for r in got if r["doc_id"] == 3) == max(r["doc_tokens"] for r in got)
+
+
 def test_packing_of_no_documents(spark):
     assert pack(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
