@@ -1,13 +1,18 @@
 """A deterministic sharded WARC writer, and its reader.
 
-Records are range-sorted by page id and written by one task a range. A file is closed
-when its compressed size reaches `roll_bytes`; each record is a gzip member of its own,
-without times. Headers, lengths and digests are made anew from the payload. Of equal
-payloads of at least `revisit_bytes` the page with the largest id is the response and
-the others are revisits that name it; which is decided on digests, before the payloads
-move, so the payloads of revisits aren't shuffled. A task writes under temporary names
-and renames at the end; ``manifest.json`` lists the files with their digests, is written
-last, and is all that readers go by.
+Records are range-sorted by page id. The bounds of the ranges are exact: payload bytes
+are counted on a grid of ids that is refined where a cell holds more than a range may,
+and neighbouring cells are put together up to RANGE_BYTES. So bounds, and with them all
+files, depend on the pages alone, not on how the input lies in files or tasks. Rows that
+share one id (or have none) and hold more than a range may are cut by their digests. A file
+holds records of one range and is closed when its compressed size reaches `roll_bytes`;
+each record is a gzip member of its own, without times. Headers, lengths and digests are
+made anew from the payload. Of equal payloads of at least `revisit_bytes` the page with
+the largest id is the response and the others are revisits that name it. Which they are
+is decided on ids and digests; the payloads move once, to their range, where the marks of
+revisits meet them. A task writes under temporary names and renames at the end;
+``manifest.json`` lists the files with their digests, is written last, and is all that
+readers go by.
 
 Defined results: null html is an empty payload; a null url leaves its header out;
 control characters in a url are percent-encoded; a null id sorts first and is never a
@@ -24,16 +29,19 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from decimal import Decimal
+from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import runtime
 
 VERSION = b"WARC/1.1\r\n"
 DATE = "1970-01-01T00:00:00Z"
+# Of at most MOST_RANGES ranges, each of at least RANGE_BYTES payload bytes; GRID cells are counted at a time.
+RANGE_BYTES, MOST_RANGES, GRID = 64 << 20, 16_384, 1 << 14
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -72,29 +80,106 @@ def _member(data: bytes, level: int) -> bytes:
     return c.compress(data) + c.flush()
 
 
-def plan_records(pages: DataFrame, id_col: str, url_col: str, html_col: str, revisit_bytes: int) -> DataFrame:
-    """page_id, url, payload (null for revisits), size, sha1, refers_to."""
+class Cell(NamedTuple):
+    """Ids from first to last: cell number (first - low) div width of a grid that begins at low. bytes: what its payloads hold; a cell that is refined has the grid of the next level instead."""
+
+    first: int
+    last: int
+    level: int
+    low: int
+    width: int
+    bytes: int
+    finer: int | None = None
+
+    @property
+    def number(self) -> int:
+        return (self.first - self.low) // self.width
+
+
+def _number(low: Column, width: Column) -> Column:
+    big = lambda c: c.cast("decimal(38,0)")
+    return F.call_function("div", big(F.col("page_id")) - big(low), big(width))
+
+
+def id_cells(heads: DataFrame, range_bytes: int, grid: int = GRID) -> list[Cell]:
+    """The cells that hold any of heads (page_id, size), in order: a grid over all ids, refined until no cell of several ids holds more than range_bytes."""
+    r = heads.agg(F.min("page_id").alias("low"), F.max("page_id").alias("high")).first()
+    if r["low"] is None:
+        return []
+    out: list[Cell] = []
+    todo = [(0, r["low"], r["high"])]
+    # One pass for each heavy cell: few, as each holds more bytes than a range.
+    while todo:
+        level, low, high = todo.pop()
+        width = (high - low) // grid + 1
+        rows = heads.filter(F.col("page_id").between(low, high)).groupBy(_number(F.lit(low), F.lit(width)).alias("c")).agg(F.sum("size").alias("n")).collect()
+        for c, n in map(tuple, rows):
+            a, z = low + c * width, min(high, low + (c + 1) * width - 1)
+            heavy = n > range_bytes and z > a
+            out.append(Cell(a, z, level, low, width, n, (z - a) // grid + 1 if heavy else None))
+            if heavy:
+                todo.append((level + 1, a, z))
+    return sorted(out)
+
+
+def id_ranges(cells: list[Cell], range_bytes: int) -> list[list[Cell]]:
+    """The cells of each range: neighbours together up to range_bytes."""
+    out: list[list[Cell]] = []
+    held = 0
+    for x in cells:
+        if x.finer is None:
+            if not out or held + x.bytes > range_bytes:
+                out.append([])
+                held = 0
+            out[-1].append(x)
+            held += x.bytes
+    return out
+
+
+def with_range(rows: DataFrame, cells: list[Cell], ranges: list[list[Cell]], range_bytes: int, without_id: int = 0) -> tuple[DataFrame, int]:
+    """rows with range, the number of their page_id's range from 1 (0 without an id), by a look-up a level of the grid, and slice, the part of an id that holds more than a range; and how many there are of both. without_id: bytes of rows without an id."""
+    spark, number = rows.sparkSession, {x: k for k, own in enumerate(ranges, 1) for x in own}
+    parts = lambda n: max(1, -(-n // range_bytes))
+    top = next((x for x in cells if x.level == 0), Cell(0, 0, 0, 0, 1, 0))
+    out = rows.withColumns({"__low": F.lit(top.low).cast("long"), "__width": F.lit(top.width).cast("decimal(38,0)"), "range": F.lit(None).cast("long"), "__parts": F.lit(None).cast("long")})
+    for level in range(max((x.level for x in cells), default=-1) + 1):
+        # A row for each cell: bounded by the grid and the number of ranges.
+        of = [(x.low, x.number, number.get(x), parts(x.bytes) if x.first == x.last else 1, x.first, None if x.finer is None else Decimal(x.finer)) for x in cells if x.level == level]
+        table = spark.createDataFrame(of, "__a long, __c long, __r long, __p long, __b long, __w decimal(38,0)")
+        found = out.withColumn("__n", F.when(F.col("range").isNull(), _number(F.col("__low"), F.col("__width")))).join(F.broadcast(table), (F.col("__low") == F.col("__a")) & (F.col("__n") == F.col("__c")), "left")
+        out = found.select(*rows.columns, F.coalesce("__b", "__low").alias("__low"), F.coalesce("__w", "__width").alias("__width"), F.coalesce("range", "__r").alias("range"), F.coalesce("__p", "__parts").alias("__parts"))
+    head = F.conv(F.substring("sha1", 1, 8), 16, 10).cast("long")
+    cut = F.shiftright(head * F.coalesce("__parts", F.lit(parts(without_id))), 32)
+    many = sum(parts(x.bytes) - 1 for x in cells if x.first == x.last) + parts(without_id) + len(ranges)
+    return out.select(*rows.columns, F.coalesce("range", F.lit(0)).alias("range"), cut.alias("slice")), many
+
+
+def plan_records(pages: DataFrame, id_col: str, url_col: str, html_col: str, revisit_bytes: int, range_bytes: int) -> tuple[DataFrame, int]:
+    """page_id, sha1, mark, url, payload, size, refers_to, range, slice: the records (mark 1), and before each revisit its mark (0) with refers_to; and the number of ranges."""
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("size", F.octet_length("payload").cast("long")).withColumn("sha1", F.sha1("payload"))
-    large = rows.filter(F.col("size") >= revisit_bytes).select("page_id", "sha1", "size")
+    heads = runtime.written(rows.select("page_id", "size", "sha1"), "heads")
+    large = heads.filter(F.col("size") >= revisit_bytes)
     groups = large.groupBy("sha1", "size").agg(F.max("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).filter("copies > 1 AND first_id IS NOT NULL")
-    revisits = large.join(groups, ["sha1", "size"]).filter(~F.col("page_id").eqNullSafe(F.col("first_id"))).select("page_id", "sha1", F.col("first_id").alias("refers_to")).distinct()
-    revisits = runtime.written(revisits, "revisits")
-    same = rows["page_id"].eqNullSafe(revisits["page_id"]) & (rows["sha1"] == revisits["sha1"])
-    out = rows.join(revisits, same, "left").select(rows["page_id"], "url", "payload", "size", rows["sha1"], "refers_to")
-    return out.withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")))
+    marks = large.join(groups, ["sha1", "size"]).filter(~F.col("page_id").eqNullSafe(F.col("first_id"))).select("page_id", "sha1", F.lit(0).alias("mark"), F.col("first_id").alias("refers_to")).distinct()
+    total, without_id = (x or 0 for x in heads.agg(F.sum("size"), F.sum(F.when(F.col("page_id").isNull(), F.col("size")))).first())
+    range_bytes = max(range_bytes, -(-total // MOST_RANGES))
+    cells = id_cells(heads, range_bytes)
+    records = rows.select("page_id", "sha1", F.lit(1).alias("mark"), "url", "payload", "size")
+    return with_range(records.unionByName(marks, allowMissingColumns=True), cells, id_ranges(cells, range_bytes), range_bytes, without_id)
 
 
-def write_warc(pages: DataFrame, out_dir: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_bytes: int = 1000, roll_bytes: int = 64 << 20, shards: int | None = None, level: int = 6, date: str = DATE, software: str = "cairn") -> dict:
-    """Writes all pages and returns the manifest. shards: at most so many ranges; by default the session's shuffle partitions."""
+def write_warc(pages: DataFrame, out_dir: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_bytes: int = 1000, roll_bytes: int = 64 << 20, range_bytes: int = RANGE_BYTES, level: int = 6, date: str = DATE, software: str = "cairn") -> dict:
+    """Writes all pages and returns the manifest. range_bytes: payload bytes of a range, at least."""
     spark = pages.sparkSession
     runtime.ship(spark)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, fs, root = TaskContext.get().partitionId(), *runtime.open_fs(out_dir)
+        fs, root = runtime.open_fs(out_dir)
         fs.create_dir(root, recursive=True)
-        done, out, info = [], None, {}
+        done, out, info, files = [], None, {}, 0
+        marked: tuple = ()
 
         def close() -> None:
             out.close()
@@ -107,16 +192,21 @@ def write_warc(pages: DataFrame, out_dir: str, id_col: str = "page_id", url_col:
 
         for batch in batches:
             for r in batch.to_pylist():
-                if out is None or info["bytes"] >= roll_bytes:
+                if r["mark"] == 0:
+                    marked = (r["page_id"], r["sha1"], r["refers_to"])
+                    continue
+                refers_to = marked[2] if marked[:2] == (r["page_id"], r["sha1"]) else None
+                if out is None or info["bytes"] >= roll_bytes or info["range"] != (r["range"], r["slice"]):
+                    files = files + 1 if out is not None and info["range"] == (r["range"], r["slice"]) else 0
                     if out is not None:
                         close()
-                    name = f"part-{part:05d}-{len(done):05d}.warc.gz"
-                    info = {"file": name, "tmp": f"{root}/{name}.{uuid.uuid4().hex}.tmp", "bytes": 0, "records": 0, "sha256": hashlib.sha256(), "first": r["page_id"]}
+                    name = f"part-{r['range']:05d}-{r['slice']:05d}-{files:05d}.warc.gz"
+                    info = {"file": name, "range": (r["range"], r["slice"]), "tmp": f"{root}/{name}.{uuid.uuid4().hex}.tmp", "bytes": 0, "records": 0, "sha256": hashlib.sha256(), "first": r["page_id"]}
                     out = fs.open_output_stream(info["tmp"], compression=None)
                     about = f"software: {software}\r\nformat: WARC File Format 1.1\r\n".encode()
                     put(_member(_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<{uuid.uuid5(uuid.NAMESPACE_URL, name).urn}>"), ("WARC-Date", date), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")], about), level))
-                payload = None if r["refers_to"] is not None else r["payload"].encode()
-                put(_member(page_record(r["page_id"], r["url"], payload, r["size"], r["sha1"], r["refers_to"], date), level))
+                payload = None if refers_to is not None else r["payload"].encode()
+                put(_member(page_record(r["page_id"], r["url"], payload, r["size"], r["sha1"], refers_to, date), level))
                 info["records"] += 1
                 info["last"] = r["page_id"]
         if out is not None:
@@ -128,10 +218,10 @@ def write_warc(pages: DataFrame, out_dir: str, id_col: str = "page_id", url_col:
             types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
             yield pa.record_batch([pa.array([x[n] for x in done], t) for n, t in zip(names, types, strict=True)], names=names)
 
-    order = ["page_id", F.xxhash64("url", "sha1")]
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = plan_records(pages, id_col, url_col, html_col, revisit_bytes)
-    made = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(write, "file string, records long, bytes long, sha256 string, first long, last long")
+    rows, ranges = plan_records(pages, id_col, url_col, html_col, revisit_bytes, range_bytes)
+    # Files are named by range, so it doesn't matter which task writes which.
+    placed = rows.repartitionByRange(ranges, "range", "slice").sortWithinPartitions("range", "slice", "page_id", "sha1", "mark", "url")
+    made = placed.mapInArrow(write, "file string, records long, bytes long, sha256 string, first long, last long")
     manifest = {"files": sorted((r.asDict() for r in made.collect()), key=lambda r: r["file"])}
     runtime.write_file(f"{out_dir}/manifest.json", json.dumps(manifest).encode())
     return manifest

@@ -10,7 +10,7 @@ import pytest
 from cairn.llm import runtime
 from cairn.llm.licenses import TEMPLATES, license_runs, license_units, oracle, template_bigrams
 from cairn.llm.queries import ORACLE, QUERIES
-from cairn.llm.warc import read_warc, write_warc
+from cairn.llm.warc import id_cells, id_ranges, read_warc, with_range, write_warc
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -93,7 +93,7 @@ PAGES = [(1, "http://a/x y", "p" * 1500), (2, None, "p" * 1500), (3, "http://b\r
 def test_warc_round_trip(spark, tmp_path):
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string").selectExpr("*", "1 AS size", "2 AS payload")
     out = f"file://{tmp_path}/warc"
-    manifest = write_warc(pages, out, roll_bytes=700, shards=3)
+    manifest = write_warc(pages, out, roll_bytes=700, range_bytes=2000)
     got = {r["page_id"]: r for r in read_warc(spark, out, with_payload=True).collect()}
     for page_id, url, html in PAGES:
         r, body = got[page_id], (html or "").encode()
@@ -107,10 +107,45 @@ def test_warc_round_trip(spark, tmp_path):
         data = (tmp_path / "warc" / f["file"]).read_bytes()
         assert hashlib.sha256(data).hexdigest() == f["sha256"] and len(data) == f["bytes"]
         assert gzip.decompress(data).startswith(b"WARC/1.1\r\nWARC-Type: warcinfo")
-    again = write_warc(pages.repartition(5), f"file://{tmp_path}/again", roll_bytes=700, shards=3)
+    again = write_warc(pages.repartition(5), f"file://{tmp_path}/again", roll_bytes=700, range_bytes=2000)
     assert [f["sha256"] for f in again["files"]] == [f["sha256"] for f in manifest["files"]]
 
 
+def test_warc_files_do_not_depend_on_the_layout(spark, tmp_path):
+    """40,000 pages in 3 and in 11 partitions, ids crowded at one end: equal files."""
+    pages = spark.range(40_000).selectExpr("CASE WHEN id % 10 = 0 THEN id * 1000003 ELSE id END AS page_id", "concat('http://h/', id) AS url", "repeat(concat('x', id % 3000), 5 + cast(id % 40 AS int) * 20) AS html")
+    made = [write_warc(pages.repartition(n, "url"), f"file://{tmp_path}/{n}", range_bytes=1 << 20, roll_bytes=1 << 16) for n in (3, 11)]
+    assert made[0] == made[1] and len(made[0]["files"]) > 10 and sum(f["records"] for f in made[0]["files"]) == 40_000
+    bounds = [(f["first"], f["last"]) for f in made[0]["files"]]
+    assert all(a <= z for a, z in bounds) and all(x[1] <= y[0] for x, y in zip(bounds, bounds[1:], strict=False))
+
+
+def test_warc_of_one_hot_id(spark, tmp_path):
+    """An id with a third of all rows, and as many without one, are cut by their digests; copies of a row stay together."""
+    pages = spark.range(900).selectExpr("CASE WHEN id % 3 = 0 THEN 5 WHEN id % 3 = 1 THEN id END AS page_id", "'u' AS url", "repeat(concat('y', id), 100) AS html")
+    out = f"file://{tmp_path}/hot"
+    made = write_warc(pages.union(pages.limit(7)), out, range_bytes=20_000)
+    assert sum(f["records"] for f in made["files"]) == 907 and max(f["records"] for f in made["files"]) < 120
+    got = read_warc(spark, out).groupBy("page_id").count().collect()
+    assert {r["page_id"]: r["count"] for r in got if r["page_id"] in (5, None)}.keys() == {5, None} and sum(r["count"] for r in got) == 907
+
+
+def test_cells_and_ranges_by_hand(spark):
+    sizes = {i: 1 + i % 7 for i in [*range(0, 50), *range(10**15, 10**15 + 300), -(2**63), 2**63 - 1]}
+    heads = spark.createDataFrame(list(sizes.items()), "page_id long, size long")
+    cells = id_cells(heads, 40, grid=8)
+    leaves = [x for x in cells if x.finer is None]
+    assert sum(x.bytes for x in leaves) == sum(sizes.values()) and all(x.bytes <= 40 or x.first == x.last for x in leaves)
+    for x in cells:
+        assert x.bytes == sum(s for i, s in sizes.items() if x.first <= i <= x.last)
+    ranges = id_ranges(cells, 40)
+    assert [x for own in ranges for x in own] == leaves and all(sum(x.bytes for x in own) <= 40 for own in ranges)
+    want = {i: k for i in sizes for k, own in enumerate(ranges, 1) for x in own if x.first <= i <= x.last}
+    placed, n = with_range(heads.selectExpr("*", "sha1('x') AS sha1"), cells, ranges, 40)
+    assert {r["page_id"]: r["range"] for r in placed.collect()} == want and n == len(ranges) + 1
+    assert id_ranges([], 40) == [] and id_cells(heads.limit(0), 40) == []
+
+
 def test_warc_digests_are_checked(spark, tmp_path):
     out = f"file://{tmp_path}/w"
     m = write_warc(spark.createDataFrame([(1, "u", "hello")], "page_id long, url string, html string"), out)
