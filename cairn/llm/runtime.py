@@ -8,11 +8,16 @@ by a rename.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
-import sys
 import uuid
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,18 +47,49 @@ def ship(spark: SparkSession) -> None:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a local one only where none is named."""
+    """The shared folder that the cluster names; a local one only where none is named and all tasks run in this process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file:///tmp/cairn-shared"
-        spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+_made: dict[str, int] = {}  # folders made by scratch() that are still there, and the process that made them
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
+    """A fresh path below the shared folder, removed when this process ends, if not before."""
     ship(spark)
-    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made[path] = os.getpid()
+    return path
+
+
+def _delete(path: str) -> None:
+    fs, p = open_fs(path)
+    if fs.get_file_info(p).type != pafs.FileType.NotFound:
+        fs.delete_dir(p)
+
+
+@atexit.register
+def _sweep() -> None:
+    for path, pid in list(_made.items()):
+        if pid == os.getpid():
+            with contextlib.suppress(OSError, pa.ArrowException):
+                _delete(path)
+
+
+@contextlib.contextmanager
+def cleaned(spark: SparkSession, *keep: DataFrame) -> Iterator[list[DataFrame]]:
+    """Removes at its end all folders that were made inside, but for those of tables put into the list that it gives."""
+    before, out = set(_made), list(keep)
+    try:
+        yield out
+    finally:
+        for path in set(_made) - before - {t._cairn_path for t in out}:
+            remove(spark, path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -81,9 +117,26 @@ def hash_sample(df: DataFrame, id_col: str, n: int) -> DataFrame:
     return df.orderBy(h, id_col).limit(n)
 
 
+def filtered(docs: DataFrame, text_col: str, keep: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """The rows of docs for whose text keep() is true, with all columns as they are. keep gets blocks of texts, null as empty."""
+    from cairn.llm import vec
+
+    ship(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            col = pc.fill_null(batch.column(at).cast(pa.large_string()), "")
+            for i, block in vec.blocks(col):
+                yield batch.slice(i, len(block)).filter(pa.array(keep(block)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _made.pop(path, None)
 
 
 def open_fs(path: str) -> tuple[pafs.FileSystem, str]:

@@ -10,10 +10,14 @@ last category, the rest others, each taken by the smallest hash of the id) and k
 `n_features` features that tell most about any category. Scoring reads all documents
 whole, block by block; the model that executors get is of that bounded size.
 
+A label needs the last category only. Where an earlier one is unknown, that category's
+model learns from other documents and gives this one a probability like any other.
+
 Defined results: null and empty texts and those without words get the model's base rate;
-labels without a document, null labels and repeated labels of a document (the largest
-counts) are handled; without any usable label nothing is toxic; a table without rows
-gives none; repeated rows are scored each; extra columns are ignored.
+labels without a document or without a last category teach nothing; of repeated labels of
+a document the largest counts; without any usable label nothing is toxic; a table without
+rows gives none; each row is scored and rejected by its own text, also where ids repeat
+or are null; extra columns are ignored in scores and stay in filtered tables.
 """
 
 from __future__ import annotations
@@ -88,7 +92,7 @@ def _log_odds(p: np.ndarray) -> np.ndarray:
 
 
 def select(docs_features: list[np.ndarray], y: np.ndarray, n_features: int, least: int = 3) -> np.ndarray:
-    """The features with the largest likelihood ratio statistic for any category."""
+    """The features with the largest likelihood ratio statistic for any category, among the documents for which it is known."""
     if not docs_features:
         return np.zeros(0, np.uint32)
     h, of = np.unique(np.concatenate(docs_features), return_inverse=True)
@@ -96,11 +100,14 @@ def select(docs_features: list[np.ndarray], y: np.ndarray, n_features: int, leas
     n = np.bincount(of, minlength=len(h)).astype(float)
     best = np.zeros(len(h))
     for c in range(y.shape[1]):
-        p = y[:, c].mean()
+        known = ~np.isnan(y[:, c])
+        p = y[known, c].mean() if known.any() else 0
         if 0 < p < 1:
-            pos = np.bincount(of, weights=y[rows, c], minlength=len(h))
+            own = known[rows]
+            m = np.bincount(of[own], minlength=len(h)).astype(float)
+            pos = np.bincount(of[own], weights=y[rows[own], c], minlength=len(h))
             with np.errstate(divide="ignore", invalid="ignore"):
-                g = np.where(pos > 0, pos * np.log(pos / (n * p)), 0) + np.where(n > pos, (n - pos) * np.log((n - pos) / (n * (1 - p))), 0)
+                g = np.where(pos > 0, pos * np.log(pos / (m * p)), 0) + np.where(m > pos, (m - pos) * np.log((m - pos) / (m * (1 - p))), 0)
             best = np.maximum(best, g)
     best[n < least] = 0
     top = np.argsort(-best, kind="stable")[:n_features]
@@ -108,7 +115,7 @@ def select(docs_features: list[np.ndarray], y: np.ndarray, n_features: int, leas
 
 
 def fit_chain(docs_features: list[np.ndarray], y: np.ndarray, fold: np.ndarray, names: list[str], n_features: int = 1500) -> Chain:
-    """y: (documents, categories) of 0 and 1; fold: a number below FOLDS for each document."""
+    """y: (documents, categories) of 0 and 1, or nan where a category is unknown; fold: a number below FOLDS for each document."""
     kept = select(docs_features, y, n_features)
     x = np.zeros((len(y), len(kept) + len(names)), np.float32)
     for i, h in enumerate(docs_features):
@@ -119,11 +126,13 @@ def fit_chain(docs_features: list[np.ndarray], y: np.ndarray, fold: np.ndarray,
     own = np.zeros(len(y))
     for c in range(len(names)):
         width = len(kept) + c
+        known = ~np.isnan(y[:, c])
         own = np.zeros(len(y))
         for f in range(FOLDS):
-            w, b = fit_logistic(x[fold != f, :width], y[fold != f, c])
+            others = known & (fold != f)
+            w, b = fit_logistic(x[others, :width], y[others, c])
             own[fold == f] = sigmoid(x[fold == f, :width] @ w + b)
-        w, b = fit_logistic(x[:, :width], y[:, c])
+        w, b = fit_logistic(x[known, :width], y[known, c])
         weights.append(w)
         intercepts.append(b)
         x[:, width] = _log_odds(own)
@@ -143,9 +152,9 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[tuple[str, Column
     """A chain from labelled documents. categories: names and conditions over the columns of labels, in order; the last is that for which documents are rejected."""
     runtime.ship(docs.sparkSession)
     names = [n for n, _ in categories]
-    marks = [F.max(F.coalesce(c.cast("int"), F.lit(-1))).alias(f"c{i}") for i, (_, c) in enumerate(categories)]
-    known = labels.groupBy(F.col(id_col).alias("id")).agg(*marks).filter(" AND ".join(f"c{i} >= 0" for i in range(len(names))) + " AND id IS NOT NULL")
+    marks = [F.max(c.cast("int")).alias(f"c{i}") for i, (_, c) in enumerate(categories)]
     last = f"c{len(names) - 1}"
+    known = labels.groupBy(F.col(id_col).alias("id")).agg(*marks).filter(f"id IS NOT NULL AND {last} IS NOT NULL")
     picked = []
     for value, n in ((1, sample_rows // 2), (0, sample_rows - sample_rows // 2)):
         picked += runtime.hash_sample(known.filter(F.col(last) == value), "id", n).collect()
@@ -161,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[tuple[str, Column
                 yield pa.record_batch([batch.column(0).slice(i, len(col)), batch.column(2).slice(i, len(col)), pa.array([h[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=["id", "y", "h"])
 
     got = sorted(rows.select("id", "text", "y").mapInArrow(run, "id long, y array<int>, h binary").collect(), key=lambda r: r["id"])
-    y = np.array([r["y"] for r in got], np.float32).reshape(len(got), len(names))
+    y = np.array([[np.nan if v is None else v for v in r["y"]] for r in got], np.float32).reshape(len(got), len(names))
     fold = np.array([zlib.crc32(str(r["id"]).encode()) % FOLDS for r in got], np.int64)
     return fit_chain([np.frombuffer(r["h"], np.uint32) for r in got], y, fold, names, n_features)
 
@@ -190,7 +199,12 @@ def label_categories() -> list[tuple[str, Column]]:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without the documents that a chain trained on labels rejects; all columns stay."""
+    """docs without the rows whose text a chain trained on labels rejects; all columns stay. Rows are scored and filtered in one pass: nothing is shuffled or joined."""
     chain = train(docs, labels, label_categories(), id_col, text_col, **options)
-    gone = score(docs, chain, id_col, text_col).filter("toxic").select(F.col("doc_id").alias("__gone_id")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone_id"], "left_anti")
+    sent = docs.sparkSession.sparkContext.broadcast(chain)
+
+    def clean(col: pa.Array) -> np.ndarray:
+        p = sent.value.probabilities(*features(col), len(col))
+        return p[:, -1] < sent.value.threshold
+
+    return runtime.filtered(docs, text_col, clean)

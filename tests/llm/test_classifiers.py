@@ -6,14 +6,14 @@ from cairn.llm import language, quality, toxicity
 from cairn.llm.linear import fit_logistic, sigmoid
 from cairn.llm.queries import QUERIES
 
-MIDDLE = "/root/testdata/sf0.01"
+MIDDLE, LARGE = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 
 
 def test_logistic_model_finds_the_optimum():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 3)).astype(np.float32)
     y = (rng.random(400) < sigmoid(x @ np.array([1.0, -2.0, 0.5]) + 0.3)).astype(np.float32)
-    w, b = fit_logistic(x, y, l2=1.0, rounds=600)
+    w, b = fit_logistic(x, y, l2=1.0)
     r = sigmoid(x @ w + b) - y
     assert np.abs(x.T @ r / 400 + w / 400).max() < 2e-3 and abs(r.mean()) < 2e-3
     assert np.isfinite(fit_logistic(x, np.zeros(400, np.float32))[1])
@@ -101,6 +101,57 @@ def test_toxicity_finds_labelled_documents(spark):
     assert kept.columns == docs.columns and kept.count() == got.filter("NOT said").count()
 
 
+def test_toxicity_on_held_out_documents(spark):
+    """Trained on four fifths of the labels, judged on the others: toxic documents caught, clean ones left alone."""
+    docs = spark.read.parquet(f"{LARGE}/documents.parquet")
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5))
+    labels = spark.read.parquet(f"{LARGE}/labels.parquet").filter("toxic IS NOT NULL")
+    chain = toxicity.train(docs, labels.filter(fold != 0), toxicity.label_categories())
+    held = labels.filter(fold == 0)
+    rows = toxicity.score(docs.join(held.select("doc_id"), "doc_id", "left_semi"), chain).withColumnRenamed("toxic", "said").join(held, "doc_id").collect()
+    toxic, clean = [r for r in rows if r["toxic"]], [r for r in rows if not r["toxic"]]
+    # A tenth of the toxic labels stand at texts that hold nothing abusive.
+    assert len(toxic) > 50 and sum(r["said"] for r in toxic) >= 0.85 * len(toxic)
+    assert sum(r["said"] for r in clean) <= 0.005 * len(clean)
+
+
+def test_toxic_labels_of_unknown_quality_teach(spark):
+    docs = spark.createDataFrame([(i, "you are a vile creature" if i % 4 == 0 else "the weather is fine today") for i in range(200)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(NULL AS int) AS quality", "cast(doc_id % 4 = 0 AS int) AS toxic")
+    assert toxicity.drop_toxic(docs, labels).count() == 150
+    some = labels.selectExpr("doc_id", "CASE WHEN doc_id % 8 = 0 THEN 1 END AS quality", "toxic")
+    chain = toxicity.train(docs, some, toxicity.label_categories())
+    assert chain.names[-1] == "toxic" and toxicity.score(docs, chain).filter("toxic").count() == 50
+
+
+def test_selection_and_folds_by_hand():
+    """Feature statistics over known labels only, and probabilities of later models from folds that haven't seen the document."""
+    rng = np.random.default_rng(5)
+    docs = [np.unique(rng.integers(0, 30, 8)).astype(np.uint32) for _ in range(200)]
+    y = np.array([[np.nan if i % 3 == 0 else 3 in d, 3 in d or 4 in d] for i, d in enumerate(docs)], np.float32)
+    fold = np.arange(200) % toxicity.FOLDS
+    stat = np.zeros(30)
+    for c in range(2):
+        known = [i for i in range(200) if not np.isnan(y[i, c])]
+        p = np.mean([y[i, c] for i in known])
+        for f in range(30):
+            m = [y[i, c] for i in known if f in docs[i]]
+            a, b = sum(m), len(m) - sum(m)
+            g = (a * np.log(a / (len(m) * p)) if a else 0) + (b * np.log(b / (len(m) * (1 - p))) if b else 0)
+            stat[f] = max(stat[f], g)
+    want = sorted(f for f in np.argsort(-stat, kind="stable")[:5] if stat[f] > 2)
+    assert toxicity.select(docs, y, 5).tolist() == want and 3 in want and 4 in want
+    chain = toxicity.fit_chain(docs, y, fold, ["a", "b"], 5)
+    x = np.array([[f in d for f in chain.kept] for d in docs], np.float32)
+    known = ~np.isnan(y[:, 0])
+    own = np.zeros(200)
+    for f in range(toxicity.FOLDS):
+        w, b = fit_logistic(x[known & (fold != f)], y[known & (fold != f), 0])
+        own[fold == f] = sigmoid(x[fold == f] @ w + b)
+    w, b = fit_logistic(np.column_stack([x, toxicity._log_odds(own)]), y[:, 1])
+    assert np.allclose(chain.weights[1], w, atol=1e-4) and abs(chain.intercepts[1] - b) < 1e-4
+
+
 def test_chain_probabilities_by_hand():
     rng = np.random.default_rng(2)
     docs = [np.unique(rng.integers(0, 40, 12)).astype(np.uint32) for _ in range(300)]
@@ -121,3 +172,16 @@ def test_toxicity_edges(spark, small_docs):
     kept = toxicity.drop_toxic(small_docs, labels)
     assert kept.count() == small_docs.count() and kept.columns == small_docs.columns
     assert toxicity.drop_toxic(small_docs.limit(0), labels).count() == 0
+
+
+def test_rows_are_rejected_by_their_own_text(spark):
+    """A repeated id with a toxic and a clean text loses the toxic one only; a null id is judged as well."""
+    good, bad = "the weather is fine today", "you are a vile creature"
+    docs = spark.createDataFrame([(i, bad if i % 4 == 0 else good, i) for i in range(200)], "doc_id long, text string, p_toxic int")
+    labels = docs.selectExpr("doc_id", "1 AS quality", "cast(doc_id % 4 = 0 AS int) AS toxic")
+    more = docs.union(spark.createDataFrame([(1, bad, 1), (4, good, 1), (None, bad, 1), (None, good, 1), (1, good, 1), (700, None, 1), (701, bad + " " + "wort " * 700_000, 1)], docs.schema))
+    kept = toxicity.drop_toxic(more, labels)
+    assert kept.schema == docs.schema
+    extra = sorted((r["doc_id"] or 0, (r["text"] or "")[:3]) for r in kept.collect())
+    assert len(extra) >= 150 + 4 and extra.count((1, "the")) == 2 and (4, "the") in extra and (0, "the") in extra and (700, "") in extra
+    assert not any(t == "you" and len(k) < 50 for k, t in ((r["text"] or "", (r["text"] or "")[:3]) for r in kept.collect()))
