@@ -6,25 +6,35 @@ q-grams on diagonals that differ by at most k. So shared q-grams are counted in
 bands of width 2 k that overlap by k, every such occurrence lies whole in one of them,
 and only bands that reach that count are aligned: a banded alignment of the whole item
 against the region gives the least number of edits. Every position of a text is read;
-texts are scanned in windows that overlap by more than the largest region.
+texts are scanned in windows that overlap by more than the largest region. Where q-grams
+are so common that their places would fill the memory, the window is halved, then the
+items are.
+
+An item of fewer than min_chars normalised characters has an edit budget of 0: it must
+stand in the text as it is, between word borders. An item of more than part_chars is cut
+at words into parts of about that size that overlap by half, each with a budget of its
+own, so a text that holds only some of a long item is found as well.
 
 The benchmark is read in blocks of at most BLOCK_CHARS characters (a longer item is a
 block of its own), so what executors hold of it is bounded however many items there are.
 
-Defined results: null and empty texts hold nothing; an item of fewer than min_chars
-normalised characters, null or empty names no passage and matches nothing; equal items
-all match; repeated documents match each; overlapping regions of one document and item
-are one row, that with the fewest edits, then the first; extra columns are ignored.
+Defined results: null and empty texts hold nothing; an item without letters or digits,
+null or empty names no passage and matches nothing; equal items all match, and one that
+repeats with its id matches once; repeated documents match each; overlapping regions of
+one document and part are one row, that with the fewest edits, then the first; extra
+columns are ignored in hits and stay in filtered tables, where each row is judged by its
+own text, also where ids repeat or are null.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import runtime, vec
@@ -32,6 +42,8 @@ from cairn.llm import runtime, vec
 Q = 8
 BLOCK_CHARS = 2_000_000
 WINDOW = 2_000_000
+MIN_CHARS, PART_CHARS = 32, 600
+EXPAND = 1 << 20  # places of shared q-grams that are looked at together
 _SHIFT = np.uint64(42)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -62,13 +74,44 @@ def grams(chars: np.ndarray) -> np.ndarray:
     return b
 
 
+def parts_of(t: np.ndarray, part_chars: int) -> list[np.ndarray]:
+    """A long item cut before words into parts of part_chars characters, at most, that overlap by about half; others whole."""
+    if len(t) <= part_chars:
+        return [t]
+    words = np.concatenate([[0], np.flatnonzero(t == 32) + 1, [len(t) + 1]])
+    out, at = [], 0
+    while True:
+        end = int(words[max(np.searchsorted(words, at + part_chars + 1, "right") - 1, 0)])
+        if end <= at:  # one word of more characters than a part
+            end = min(at + part_chars, len(t)) + 1
+        out.append(t[at : end - 1])
+        if end > len(t):
+            return out
+        half = int(words[max(np.searchsorted(words, at + part_chars // 2, "right") - 1, 0)])
+        at = half if half > at else end - 1 if t[end - 1 : end] != 32 else end
+
+
 class Index:
-    """The q-grams of a block of items, with their places."""
+    """The q-grams of a block of items, with their places, and the hashes of its short items."""
 
-    def __init__(self, items: list[tuple[int, str]], max_edits: float, min_chars: int):
+    def __init__(self, items: list[tuple[int, str]], max_edits: float, min_chars: int = MIN_CHARS, part_chars: int = PART_CHARS):
         texts = [normalise(pa.array([t or ""], pa.large_string()))[0] for _, t in items]
-        self.items = [(i, t[:-1] if len(t) and t[-1] == 32 else t) for (i, _), t in zip(items, texts, strict=True)]
-        self.items = [(i, t) for i, t in self.items if len(t) >= max(Q, min_chars)]
+        trimmed = {(i, (t[:-1] if len(t) and t[-1] == 32 else t).tobytes()) for (i, _), t in zip(items, texts, strict=True) if len(t)}
+        all_items = [(i, np.frombuffer(t, np.uint32)) for i, t in sorted(trimmed, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))]
+        least = max(Q, min_chars)
+        self.shorts = [(i, t) for i, t in all_items if len(t) < least]
+        cut = [(i, k, p) for i, t in all_items if len(t) >= least for k, p in enumerate(parts_of(t, max(part_chars, 2 * least)))]
+        self._set([(i, t) for i, _, t in cut], [k for _, k, _ in cut], max_edits)
+        self.short_keys: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in sorted({len(t) for _, t in self.shorts}):
+            own = [k for k, (_, t) in enumerate(self.shorts) if len(t) == n]
+            h = np.array([vec.span_hashes(self.shorts[k][1], np.array([0]), np.array([n]))[0] for k in own], np.uint64)
+            order = np.argsort(h, kind="stable")
+            self.short_keys[n] = (h[order], np.array(own)[order])
+
+    def _set(self, items: list[tuple[int, np.ndarray]], parts: list[int], max_edits: float) -> None:
+        self.items, self.parts, self.max_edits = items, parts, max_edits
+        self.halves: list[Index] = []
         m = np.array([len(t) for _, t in self.items], np.int64)
         self.m, self.edits = m, np.minimum((max_edits * m).astype(np.int64), (m - Q) // Q)
         self.least = m + 1 - Q - self.edits * Q
@@ -85,8 +128,40 @@ class Index:
         self.seen = np.zeros(1 << 22, bool)
         self.seen[(self.keys * _SPREAD) >> _SHIFT] = True
 
+    def _halves(self) -> list[Index]:
+        if not self.halves:
+            mid = len(self.items) // 2
+            for a, z in ((0, mid), (mid, len(self.items))):
+                half = Index.__new__(Index)
+                half._set(self.items[a:z], self.parts[a:z], self.max_edits)
+                half.reach = self.reach
+                self.halves.append(half)
+        return self.halves
+
+    def exact(self, chars: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int]]:
+        """(document, short item, start) of every place where a short item stands between word borders."""
+        out: list[tuple[int, int, int]] = []
+        if not self.short_keys or not len(chars):
+            return out
+        begins = np.flatnonzero(chars != 32)
+        begins = begins[np.isin(begins, off[:-1]) | (chars[begins - 1] == 32)]
+        doc = np.searchsorted(off, begins, "right") - 1
+        for n, (keys, own) in self.short_keys.items():
+            s, d = begins, doc
+            ends = s + n
+            fits = ends <= off[d + 1]
+            fits[fits] &= (ends[fits] == off[d[fits] + 1]) | (chars[np.minimum(ends[fits], len(chars) - 1)] == 32)
+            s, d = s[fits], d[fits]
+            h = vec.span_hashes(chars, s, s + n)
+            lo, hi = np.searchsorted(keys, h, "left"), np.searchsorted(keys, h, "right")
+            for k in np.flatnonzero(hi > lo).tolist():
+                for x in own[lo[k] : hi[k]].tolist():
+                    if np.array_equal(self.shorts[x][1], chars[s[k] : s[k] + n]):
+                        out.append((int(d[k]), x, int(s[k])))
+        return out
+
     def regions(self, chars: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(item, first diagonal) of the bands with enough shared q-grams; doc tells the documents apart."""
+        """(item, first diagonal) of the bands with enough shared q-grams; doc tells the documents apart. Some bands may come twice, on grids that are shifted."""
         g = grams(chars)
         at = np.flatnonzero(self.seen[(g * _SPREAD) >> _SHIFT])
         if not len(at) or not len(self.keys):
@@ -95,6 +170,8 @@ class Index:
         hit = (self.keys[k] == g[at]) & (doc[at] == doc[at + Q - 1])
         at, k = at[hit], k[hit]
         n = self.first[k + 1] - self.first[k]
+        if n.sum() > EXPAND and (len(chars) > 4 * self.reach or len(self.items) > 1):
+            return self._regions_by_halves(chars, doc)
         where = np.repeat(self.first[k] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         item, at = self.item[where], np.repeat(at, n)
         # Places of different documents are moved apart, so that no band holds two of them.
@@ -117,6 +194,16 @@ class Index:
         return item, band * self.band[item] - self.reach
 
 
+    def _regions_by_halves(self, chars: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if len(chars) > 4 * self.reach:
+            mid = len(chars) // 2
+            parts = [(0, self.regions(chars[: mid + self.reach], doc[: mid + self.reach])), (mid, self.regions(chars[mid:], doc[mid:]))]
+            return np.concatenate([item for _, (item, _) in parts]), np.concatenate([diagonal + shift for shift, (_, diagonal) in parts])
+        a, b = self._halves()
+        (i, x), (j, y) = a.regions(chars, doc), b.regions(chars, doc)
+        return np.concatenate([i, j + len(a.items)]), np.concatenate([x, y])
+
+
 def least_edits(items: list[np.ndarray], texts: list[np.ndarray], leads: list[int], width: int, most: np.ndarray) -> np.ndarray:
     """Edits of the best occurrence of each item on `width` diagonals of its text, all pairs at once; more than `most` where there is none. Places outside a text match nothing."""
     rows = max(map(len, items))
@@ -173,9 +260,9 @@ def banded_alignment(item: np.ndarray, text: np.ndarray, width: int, lead: int =
 
 
 def scan(index: Index, chars: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-    """(document, item id, start, end, edits) of all occurrences in a block of normalised texts."""
+    """(document, place in index.items, start, end, edits) of all occurrences in a block of normalised texts; short items come after the others."""
     doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
-    found: list[tuple[int, int, int, int, int]] = []
+    found = [(d, len(index.items) + k, s - int(off[d]), s - int(off[d]) + len(index.shorts[k][1]), 0) for d, k, s in index.exact(chars, off)]
     for lo in range(0, max(len(chars), 1), WINDOW):
         hi = min(len(chars), lo + WINDOW + index.reach)
         base = int(doc[lo]) if hi > lo else 0
@@ -198,7 +285,7 @@ def scan(index: Index, chars: np.ndarray, off: np.ndarray) -> list[tuple[int, in
                 item, d, a, z, lead, width = some[k]
                 e, s, t = (0, *_exact(items[k], chars[a:z])) if edits[k] == 0 else banded_alignment(items[k], chars[a:z], width, lead)
                 if e <= most[k]:
-                    found.append((d, index.items[item][0], a + s - int(off[d]), a + t - int(off[d]), e))
+                    found.append((d, item, a + s - int(off[d]), a + t - int(off[d]), e))
     return _merged(found)
 
 
@@ -249,23 +336,38 @@ def item_blocks(items: DataFrame, item_id: str, item_text: str, block_chars: int
             yield block
 
 
-def contaminated(docs: DataFrame, items: DataFrame, max_edits: float = 0.1, min_chars: int = 32, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """One row per occurrence: doc_id, item_id, start_char, end_char (in the text as it is), edits, item_chars.
+_indexes: dict[str, Index] = {}  # the one in use, by worker process
+
+
+class _Block:
+    """A block of items as tasks get it: the index is made once a worker process."""
+
+    def __init__(self, spark: SparkSession, items: list[tuple[int, str]], *options):
+        self.name, self.items, self.options = uuid.uuid4().hex, spark.sparkContext.broadcast(items), options
 
-    max_edits: the edit budget as a share of the item's normalised characters; at most
-    what leaves one shared q-gram.
+    def index(self) -> Index:
+        if self.name not in _indexes:
+            _indexes.clear()
+            _indexes[self.name] = Index(self.items.value, *self.options)
+        return _indexes[self.name]
+
+
+def contaminated(docs: DataFrame, items: DataFrame, max_edits: float = 0.1, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS, part_chars: int = PART_CHARS) -> DataFrame:
+    """One row per occurrence: doc_id, item_id, start_char, end_char (in the text as it is), edits, item_chars, part (of a long item, from 0; item_chars are then the part's).
+
+    max_edits: the edit budget as a share of the normalised characters; at most what
+    leaves one shared q-gram.
     """
     spark = docs.sparkSession
     runtime.ship(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = "doc_id long, item_id long, start_char long, end_char long, edits int, item_chars int"
-
-    def over(block: list[tuple[int, str]]) -> DataFrame:
-        sent = spark.sparkContext.broadcast(block)
+    schema = "doc_id long, item_id long, start_char long, end_char long, edits int, item_chars int, part int"
+    types = [pa.int64()] * 4 + [pa.int32()] * 3
 
+    def over(block: _Block) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = Index(sent.value, max_edits, min_chars)
-            size = {i: len(t) for i, t in index.items}
+            index = block.index()
+            named = [(i, len(t), k) for (i, t), k in zip(index.items, index.parts, strict=True)] + [(i, len(t), 0) for i, t in index.shorts]
             for batch in batches:
                 ids = batch.column(0)
                 for i, col in vec.blocks(vec.text_column(batch)):
@@ -273,23 +375,32 @@ def contaminated(docs: DataFrame, items: DataFrame, max_edits: float = 0.1, min_
                     rows = []
                     for d, item, s, e, edits in scan(index, chars, off):
                         p = place[off[d] + s : off[d] + e]
-                        rows.append((ids[i + d].as_py(), item, int(p[0]), int(p[-1]) + 1, edits, size[item]))
+                        own, size, part = named[item]
+                        rows.append((ids[i + d].as_py(), own, int(p[0]), int(p[-1]) + 1, edits, size, part))
                     if rows:
-                        types = [pa.int64()] * 4 + [pa.int32()] * 2
-                        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "item_id", "start_char", "end_char", "edits", "item_chars"])
+                        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "item_id", "start_char", "end_char", "edits", "item_chars", "part"])
 
         return docs.mapInArrow(run, schema)
 
     out = None
     for block in item_blocks(items, item_id, item_text, block_chars):
-        hits = over(block)
-        if out is not None:
-            hits = out.union(hits)
-        out = hits
+        hits = over(_Block(spark, block, max_edits, min_chars, part_chars))
+        out = hits if out is None else out.union(hits)
     return out if out is not None else spark.createDataFrame([], schema)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs without the documents that hold an item; all columns stay, and rows with a null id."""
-    hits = contaminated(docs, items, id_col=id_col, **options).select(F.col("doc_id").alias("__hit_id")).distinct()
-    return docs.join(hits, docs[id_col] == hits["__hit_id"], "left_anti")
+def decontaminate(docs: DataFrame, items: DataFrame, max_edits: float = 0.1, min_chars: int = MIN_CHARS, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS, part_chars: int = PART_CHARS) -> DataFrame:
+    """docs without the rows whose text holds an item; all columns stay. Rows are scanned and filtered in one pass a block of items: nothing is shuffled or joined."""
+
+    def cleaned(rows: DataFrame, block: _Block) -> DataFrame:
+        def clean(col: pa.Array) -> np.ndarray:
+            chars, off, _ = normalise(col)
+            keep = np.ones(len(col), bool)
+            keep[[x[0] for x in scan(block.index(), chars, off)]] = False
+            return keep
+
+        return runtime.filtered(rows, text_col, clean)
+
+    for block in item_blocks(items, item_id, item_text, block_chars):
+        docs = cleaned(docs, _Block(docs.sparkSession, block, max_edits, min_chars, part_chars))
+    return docs

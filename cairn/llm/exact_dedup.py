@@ -44,12 +44,24 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
-    """One row of docs for each different text: that with the preferred id. All columns stay, whatever their names.
+    """One row of docs for each different text: that with the preferred id, a null id only where there is no other. All columns stay, whatever their names.
 
-    Of rows that repeat both id and text one stays; a repeated id with another text is judged by its own text.
+    One aggregation by hash and text, in which the row of the preferred id is carried:
+    rows are shuffled once, after each map task kept one a text, so a group of copies of
+    any size reaches its reducer as one row a task. Of rows that repeat both id and text
+    one stays; a repeated id with another text is judged by its own text.
     """
-    ids = exact_groups(docs.select(F.col(id_col), F.col(text_col)), id_col, text_col, keep, with_sha256=True)
-    ids = ids.filter("kept").select(F.col("doc_id").alias("__kept_id"), F.col("text_sha256").alias("__kept_sha")).distinct()
-    keyed = docs.withColumn("__sha", F.sha2(normalised(F.col(text_col)), 256))
-    kept = keyed.join(ids, keyed[id_col].eqNullSafe(ids["__kept_id"]) & (keyed["__sha"] == ids["__kept_sha"]), "left_semi")
-    return kept.dropDuplicates([id_col, "__sha"]).drop("__sha")
+    text, norm, id_ = F.col(f"`{text_col}`"), normalised(F.col(f"`{text_col}`")), F.col(f"`{id_col}`")
+    # A text that is its own normal form travels once.
+    same = text.eqNullSafe(norm)
+    carried = [F.when(~same, text) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    row = F.struct(same.alias("same"), *[c.alias(f"c{k}") for k, c in enumerate(carried)])
+    if keep == "min":
+        best = F.min_by("row", "rank")
+        rank = F.struct(id_.isNull(), id_, F.xxhash64(text))
+    else:
+        best = F.max_by("row", "rank")
+        rank = F.struct(id_.isNotNull(), id_, F.xxhash64(text))
+    kept = docs.select(F.unhex(F.md5(norm)).alias("hash"), norm.alias("norm"), row.alias("row"), rank.alias("rank")).groupBy("hash", "norm").agg(best.alias("row"))
+    back = lambda k, c: F.when(F.col("row.same"), F.col("norm")).otherwise(F.col(f"row.c{k}")) if c == text_col else F.col(f"row.c{k}")
+    return kept.select(*[back(k, c).alias(c) for k, c in enumerate(docs.columns)])
