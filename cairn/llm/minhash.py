@@ -1,12 +1,17 @@
 """Near-duplicate groups by ProbMinHash over word shingles.
 
-Each document is the set of its five-word shingles, all of weight 1. ProbMinHash
-gives each shingle a Poisson process whose rate is its weight: its points arrive at
-exponential distances and fall on random registers, each register keeps the shingle of
-its earliest point, and a process ends as soon as its next point is later than every
-register (early termination). Two signatures agree in a register with the probability
-Jaccard similarity of the documents, which at equal weights is the sets' Jaccard
-similarity: the measure that links are verified by. Bands of the signature are the buckets.
+Each document is the bag of its five-word shingles. ProbMinHash gives each shingle a
+Poisson process whose rate is its weight: its points arrive at exponential distances and
+fall on random registers, each register keeps the shingle of its earliest point, and a
+process ends as soon as its next point is later than every register (early termination).
+Two signatures agree in a register with the probability Jaccard similarity of the
+weighted documents. Bands of a signature are the buckets.
+
+A document has two signatures: one in which a shingle weighs 1 + ln(its count), and one
+in which all weigh 1, whose probability Jaccard is the Jaccard similarity of the sets.
+They are the same for a text without repeats, and use the same buckets. Links are
+verified by the sets, so the second signature alone bounds what can be missed; the first
+adds texts whose repeated parts agree.
 
 Every pair of a bucket is covered. Members are linked to the bucket's least member, and
 up to SMALL members are compared among themselves. Links are filtered by their whole
@@ -66,6 +71,14 @@ def probminhash(h: np.ndarray, d: np.ndarray, weights: np.ndarray, n: int, m: in
     return won.reshape(n, m)
 
 
+def _band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """(documents, bands): a number for each band, which tells the bands apart."""
+    out = np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(sig), bands)).copy()
+    for r in range(rows):
+        out = vec.mix(out * GOLDEN + sig[:, r::rows])
+    return out
+
+
 def _signatures(k: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = bands * rows
@@ -73,7 +86,7 @@ def _signatures(k: int, bands: int, rows: int):
             ids = batch.column(0)
             for i, col in vec.blocks(vec.text_column(batch)):
                 n = len(col)
-                h, d, _ = vec.distinct(*vec.word_shingles(col, k))
+                h, d, count = vec.distinct(*vec.word_shingles(col, k))
                 sig = probminhash(h, d, np.ones(len(h)), n, m)
                 size = np.bincount(d, minlength=n)
                 digest = []
@@ -81,13 +94,16 @@ def _signatures(k: int, bands: int, rows: int):
                     x = np.zeros(n, np.uint64)
                     np.add.at(x, d, vec.mix(h ^ np.uint64(salt)))
                     digest.append(x.view(np.int64))
-                band = np.broadcast_to(np.arange(bands, dtype=np.uint64), (n, bands)).copy()
-                for r in range(rows):
-                    band = vec.mix(band * GOLDEN + sig[:, r::rows])
+                # The weighted signature differs from the other only where shingles repeat.
+                again = np.zeros(n, bool)
+                again[d[count > 1]] = True
+                own, number = again[d], np.cumsum(again) - 1
+                weighted = iter(_band_keys(probminhash(h[own], number[d[own]], 1 + np.log(count[own]), int(again.sum()), m), bands, rows).view(np.int64))
+                band = _band_keys(sig, bands, rows)
                 low = np.ascontiguousarray(sig.astype(np.uint8))
                 yield pa.record_batch(
-                    [ids.slice(i, n), pa.array(size, pa.int32()), *map(pa.array, digest), pa.FixedSizeListArray.from_arrays(pa.array(band.view(np.int64).ravel()), bands).cast(pa.list_(pa.int64())), pa.array([x.tobytes() for x in low], pa.binary())],
-                    names=["doc_id", "size", "d1", "d2", "bands", "low"],
+                    [ids.slice(i, n), pa.array(size, pa.int32()), *map(pa.array, digest), pa.FixedSizeListArray.from_arrays(pa.array(band.view(np.int64).ravel()), bands).cast(pa.list_(pa.int64())), pa.array([next(weighted) if x else None for x in again.tolist()], pa.list_(pa.int64())), pa.array([x.tobytes() for x in low], pa.binary())],
+                    names=["doc_id", "size", "d1", "d2", "bands", "weighted", "low"],
                 )
 
     return run
@@ -132,15 +148,15 @@ def _verify(threshold: float):
     return run
 
 
-def candidate_links(reps: DataFrame, bands: int) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b), a < b, within buckets (all pairs of small ones, stars of large ones), and the members of large buckets: key, band, doc_id."""
-    buckets = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
+def candidate_links(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b), a < b, within buckets (all pairs of small ones, stars of large ones), and the members of large buckets: key, doc_id."""
+    buckets = reps.select("doc_id", F.explode(F.when(F.col("weighted").isNull(), F.col("bands")).otherwise(F.array_union("bands", "weighted"))).alias("key"))
     stars = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")).filter("n > 1")
     shared = runtime.written(buckets.join(stars, "key"), "shared")
     few = shared.filter(F.col("n").between(3, SMALL)).select("key", "doc_id")
     pairs = few.select("key", F.col("doc_id").alias("a")).join(few.select("key", F.col("doc_id").alias("b")), "key").filter("a < b").select("a", "b")
     links = runtime.written(shared.filter("doc_id != least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).union(pairs).distinct(), "candidates")
-    large = runtime.written(shared.filter(F.col("n") > SMALL).select("key", "band", "doc_id"), "large")
+    large = runtime.written(shared.filter(F.col("n") > SMALL).select("key", "doc_id"), "large")
     runtime.drop(shared)
     return links, large
 
@@ -150,7 +166,7 @@ def _joining(threshold: float, floor: float):
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks().sort_by("doc_id")
-        n, band = group.num_rows, group.column("band")[0].as_py()
+        n, key = group.num_rows, group.column("key")[0].as_py()
         ids, block, comp = (group.column(c).to_numpy() for c in ("doc_id", "block", "component"))
         out_a, out_b = [], []
         own = np.unique(comp, return_inverse=True)[1]
@@ -161,13 +177,19 @@ def _joining(threshold: float, floor: float):
             names, flat = np.unique(np.concatenate(cells), return_inverse=True)
             held = np.zeros(len(names), bool)
             low = np.frombuffer(b"".join(group.column("low").to_pylist()), np.uint8).reshape(n, -1)
-            earlier = np.array(group.column("bands").to_pylist(), np.int64)[:, :band]
+            # The buckets of both signatures, and which of them come before this one. Equal keys are keys of one band.
+            sides = [np.array(group.column("bands").to_pylist(), np.int64)]
+            if group.column("weighted").null_count < n:
+                sides.append(np.array([w or u for w, u in zip(group.column("weighted").to_pylist(), sides[0].tolist(), strict=True)], np.int64))
+            before = [x < key for x in sides]
             one = block.min() == block.max()
             for i in range(n - 1):
                 j = np.arange(i + 1, n)
                 j = j[(own[j] != own[i]) & (one | (block[j] != block[i]))]
                 j = j[np.minimum(size[j], size[i]) >= threshold * np.maximum(size[j], size[i])]
-                j = j[~(earlier[j] == earlier[i]).any(1)]
+                for x, first in zip(sides, before, strict=True):
+                    for y in sides:
+                        j = j[~((x[j] == y[i]) & first[j]).any(1)]
                 j = j[(low[j] == low[i]).mean(1) >= floor]
                 if not len(j):
                     continue
@@ -192,15 +214,15 @@ def joining_links(large: DataFrame, named: DataFrame, reps: DataFrame, sets: Dat
     """Verified links (a, b) between members of large buckets that `named` (node, component) leaves in different components."""
     # Written, so that Spark splits the hot keys of the joins.
     at = large.join(reps.select("doc_id", "size"), "doc_id").join(named.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    at = runtime.written(at.select("key", "band", "doc_id", "size", F.coalesce("component", "doc_id").alias("component")), "placed")
+    at = runtime.written(at.select("key", "doc_id", "size", F.coalesce("component", "doc_id").alias("component")), "placed")
     open_ = at.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high")
     rows = F.least(F.greatest(F.col("n") / 16, F.lit(LEAST)), F.lit(MOST))
     cuts = F.greatest(F.ceil(F.col("n") / rows), F.ceil(F.col("total") * 8 / BLOCK_BYTES)).cast("int")
     dealt = at.join(open_.select("key", cuts.alias("cuts")), "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("cuts")).cast("int"))
-    dealt = runtime.written(dealt.select("key", "band", "doc_id", "component", "block", "cuts"), "dealt")
-    full = dealt.join(reps.select("doc_id", "low", "bands"), "doc_id").join(sets, "doc_id")
+    dealt = runtime.written(dealt.select("key", "doc_id", "component", "block", "cuts"), "dealt")
+    full = dealt.join(reps.select("doc_id", "low", "bands", "weighted"), "doc_id").join(sets, "doc_id")
     met = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    found = met.select("key", "i", "j", "band", "doc_id", "component", "block", "low", "bands", "shingles").groupBy("key", "i", "j").applyInArrow(_joining(threshold, floor), "a long, b long")
+    found = met.select("key", "i", "j", "doc_id", "component", "block", "low", "bands", "weighted", "shingles").groupBy("key", "i", "j").applyInArrow(_joining(threshold, floor), "a long, b long")
     found = runtime.written(found.distinct(), "joining")
     runtime.drop(at, dealt)
     return found
@@ -210,12 +232,12 @@ def near_duplicate_groups(docs: DataFrame, threshold: float = 0.8, k: int = 5, b
     """One row per document: doc_id, class_id (the least id of its group), class_size, kept (is it that least one?)."""
     runtime.ship(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id IS NOT NULL")
-    sigs = runtime.written(docs.mapInArrow(_signatures(k, bands, rows), "doc_id long, size int, d1 long, d2 long, bands array<long>, low binary"), "signatures")
+    sigs = runtime.written(docs.mapInArrow(_signatures(k, bands, rows), "doc_id long, size int, d1 long, d2 long, bands array<long>, weighted array<long>, low binary"), "signatures")
     # Written, so that the join below is one of two plain exchanges, whose hot keys Spark splits over tasks.
     folded = runtime.written(sigs.filter("size > 0").groupBy("d1", "d2", "size").agg(F.min("doc_id").alias("rep")), "folded")
     member = sigs.filter("size > 0").join(folded, ["d1", "d2", "size"])
-    reps = runtime.written(member.filter("doc_id = rep").select("doc_id", "size", "bands", "low").dropDuplicates(["doc_id"]), "reps")
-    links, large = candidate_links(reps, bands)
+    reps = runtime.written(member.filter("doc_id = rep").select("doc_id", "size", "bands", "weighted", "low").dropDuplicates(["doc_id"]), "reps")
+    links, large = candidate_links(reps)
     side = lambda c: reps.select(F.col("doc_id").alias(c), F.col("size").alias(f"n{c}"), F.col("low").alias(f"low{c}"))
     near = links.join(side("a"), "a").join(side("b"), "b").filter(F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
     # 8 standard deviations of an estimate from all registers.

@@ -131,6 +131,34 @@ def test_repeat_counts_that_differ_hide_no_pair(spark):
     assert {r["doc_id"]: r["class_id"] for r in near_duplicate_groups(docs).collect()} == want
 
 
+def test_weights_of_both_signatures():
+    """A text without repeats has one signature; the weighted one of a text with repeats meets texts whose repeated parts agree."""
+    from cairn.llm.minhash import _signatures
+
+    words = [f"w{i}" for i in range(60)]
+    line = " ".join(words[:12])
+    texts = [" ".join(words), f"{line} " * 40 + " ".join(words), f"{line} " * 30 + " ".join([*words[:30], *(f"x{i}" for i in range(60))])]
+    batch = pa.record_batch([pa.array([0, 1, 2]), pa.array(texts, pa.large_string())], names=["doc_id", "text"])
+    rows = next(_signatures(5, 200, 1)(iter([batch]))).to_pylist()
+    assert rows[0]["weighted"] is None and all(len(r["weighted"]) == 200 for r in rows[1:])
+    same = lambda a, b, c: sum(x == y for x, y in zip(rows[a][c], rows[b][c], strict=True))
+    assert same(1, 2, "weighted") > same(1, 2, "bands")
+
+
+def test_large_bucket_with_repeats_keeps_all_links(spark):
+    """Hundreds of variants of a text with repeated lines, some of which repeat them less."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    line, core, texts = [word() for _ in range(12)], [word() for _ in range(120)], {}
+    for i in range(300):
+        v = list(core)
+        for _ in range(2 + i % 3):
+            v[rng.randrange(120)] = word()
+        texts[i] = " ".join(line * (1 + i % 4 * 10) + v)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in near_duplicate_groups(docs).collect()} == classes_by_hand(texts)
+
+
 def test_near_duplicates_of_nothing(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert near_duplicate_groups(none).count() == 0
