@@ -1,23 +1,31 @@
-"""Licence scans: text units compared with licence templates by the Dice coefficient over word bigrams.
-
-Units are the lines of a text, its paragraphs of several lines (between blank lines) and
-the whole text if it has several lines. Units and templates are normalised to lower-case
-words of a-z and 0-9; a bigram that repeats counts as often as it occurs in both. A
-coefficient of t needs sizes within a factor of t / (2 - t), so a unit meets only the
-templates within that bound. As a match also shares that part of the unit's bigrams, a
-unit with too few words of any template goes before its bigrams are made. All of it is one expression a
-row, with no join or shuffle; the templates are a literal of fixed size.
-
-Defined results: null and empty texts and units of fewer than two words match nothing;
-equal coefficients go to the first licence by name; a table without rows gives none;
-repeated rows are scanned each; extra columns are ignored.
+"""Licence scans: runs of text segments compared with licence templates by the Dice coefficient over word bigrams.
+
+Segments are the lines of a text, cut after sentence ends; those without words don't
+count. A run of adjacent segments is compared whatever lines and paragraphs it spans, so
+a notice on a line of its own or beside other words, a licence of several paragraphs
+within a longer text, and a text that is a licence are all found. Runs and templates are
+normalised to lower-case words of a-z and 0-9; a bigram that repeats counts as often as
+it occurs in both. Each start gives its best run, if it reaches the threshold.
+
+A coefficient of t needs sizes within a factor of t / (2 - t), so a run meets only the
+templates within that bound, and shares at least that part of its own and of the
+template's bigrams. So a text that lacks certain words of every template (its anchors)
+goes first, then runs with too few known bigrams, by counts alone. All of it is one
+expression a row, with no join; the templates are a literal of fixed size.
+
+Defined results: null and empty texts and runs of fewer than two words match nothing;
+equal coefficients go to the shorter run, then to the first licence by name; a table
+without rows gives none; rows that repeat id and text give their runs once, and an id
+with several texts gives those of each; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections import Counter
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +34,11 @@ from pyspark.sql import functions as F
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details. You should have received a copy of the GNU Affero General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."),
     ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
+    ("BSD-2-Clause", 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'),
     ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
+    ("BSD-3-Clause", 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
@@ -36,17 +47,26 @@ TEMPLATES = [
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."),
     ("ISC", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("MIT", "Released under the MIT License."),
     ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
 ]
 
 
+# Words too common to be anchors.
+COMMON = ["a", "and", "as", "at", "be", "by", "for", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "with", "you"]
+
+
 def template_bigrams(text: str) -> list[str]:
     """A template's bigrams, the second of equal ones marked 2 and so on."""
     words = re.findall(r"[a-z0-9]+", text.lower())
@@ -73,23 +93,24 @@ def _flat(x: Column) -> Column:
     return F.trim(F.regexp_replace(x, "[^a-z0-9]+", " "))
 
 
-def license_units(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
-    """One row per unit that reaches the threshold: doc_id, unit (line, paragraph or text), unit_no (from 0), license, dice."""
-    text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    found = _once(docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t")), "low", F.col("t")).drop("t")
-    found = _once(found, "lines", F.transform(F.split("low", "\n"), _flat))
-    unit = lambda kind, no, words: F.struct(F.lit(kind).alias("unit"), no.alias("unit_no"), words.alias("words"))
-    lines = F.transform("lines", lambda x, i: unit("line", i, x))
-    # Line ends part words as other separators do: the text's words are its lines' words.
-    whole = F.array(unit("text", F.lit(0), F.array_join(F.array_remove("lines", ""), " ")))
-    paragraphs = F.filter(F.transform(F.split("low", r"\n\s*\n"), lambda x, i: unit("paragraph", i, F.when(F.trim(x).contains("\n"), _flat(x)).otherwise(""))), lambda x: x["words"] != "")
-    none = F.filter(whole, lambda x: F.lit(False))
-    units = F.concat(lines, F.when(F.col("low").rlike(r"\n\s*\n"), paragraphs).otherwise(none), F.when(F.size("lines") > 1, whole).otherwise(none))
-    return _matches(found.select("doc_id", F.explode(units).alias("u")).select("doc_id", "u.*"), threshold, templates)
+def anchors(templates: list[tuple[str, str]], bound: float) -> list[str]:
+    """Words of which every match holds at least one: of each template as many as it takes for the bigrams without them to be too few. Long words, which are rare, come first."""
+    out: set[str] = set()
+    for _, text in templates:
+        grams = [set(g.split(" ")[:2]) for g in template_bigrams(text)]
+        spare = len(grams) - math.ceil(bound * len(grams) - 1e-9)
+        while grams and spare >= 0:
+            touched = Counter(w for g in grams for w in g)
+            best = min(touched, key=lambda w: (w not in out, w in COMMON, -min(len(w), 7), -touched[w], w))  # noqa: B023
+            out.add(best)
+            left = [g for g in grams if best not in g]
+            spare -= len(grams) - len(left)
+            grams = left
+    return sorted(out)
 
 
 def _matches(found: DataFrame, threshold: float, templates: list[tuple[str, str]]) -> DataFrame:
-    """The units (doc_id, unit, unit_no, words) that reach the threshold, with licence and dice."""
+    """The runs (doc_id, run, words) that reach the threshold, with licence and dice."""
     sizes = [len(template_bigrams(t)) for _, t in templates]
     bound = threshold / (2 - threshold)
     # The number of bigrams is that of the spaces between words.
@@ -108,25 +129,23 @@ def _matches(found: DataFrame, threshold: float, templates: list[tuple[str, str]
     # Equal bigrams stand together and are numbered from 1.
     found = _once(found, "grams", F.transform("pairs", lambda x, i: F.concat(x, F.lit(" "), (i + 2 - F.array_position("pairs", x)).cast("string"))))
     inside = F.filter(_templates(templates), lambda t: (F.least(t["n"], F.col("n")) >= bound * F.greatest(t["n"], F.col("n")) - 1e-9))
-    scored = F.transform(inside, lambda t: F.struct((-2.0 * F.size(F.array_intersect(F.col("grams"), t["grams"])) / (t["n"] + F.col("n"))).alias("less"), t["license"].alias("license")))
-    best = _once(found, "best", F.array_min(scored)).withColumn("dice", F.round(-F.col("best.less"), 6))
-    return best.filter(F.col("dice") >= threshold).select("doc_id", "unit", "unit_no", F.col("best.license").alias("license"), "dice")
+    scored = F.transform(inside, lambda t: F.struct(F.round(-2.0 * F.size(F.array_intersect(F.col("grams"), t["grams"])) / (t["n"] + F.col("n")), 6).alias("less"), t["license"].alias("license")))
+    best = _once(found, "best", F.array_min(scored)).withColumn("dice", -F.col("best.less"))
+    return best.filter(F.col("dice") >= threshold).select("doc_id", "run", F.col("best.license").alias("license"), "dice")
 
 
 def license_runs(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
-    """Licences in runs of adjacent segments, whatever lines and paragraphs they span: doc_id, unit (run), unit_no (the first segment, from 0), license, dice.
-
-    Segments are the lines of a text, cut after sentence ends; those without words don't
-    count. Each start gives its best run (the shortest of equal ones) if it reaches the
-    threshold; equal texts of one id give it once. A match shares at least `bound` of the
-    run's bigrams with a template, so a text without a segment that dense goes early, and
-    so do runs, by the segments' counts, before they are joined.
-    """
+    """One row per segment at which a run begins that reaches the threshold: doc_id, segment (from 0), segments (of its best run), license, dice."""
     sizes = [len(template_bigrams(t)) for _, t in templates]
     bound = threshold / (2 - threshold)
     most = int(max(sizes) / bound + 1e-9) + 1
     known = sorted({g.rsplit(" ", 1)[0] for _, t in templates for g in template_bigrams(t)})
-    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
+    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("x"))
+    found = _once(found, "t", F.lower("x")).drop("x")
+    words = anchors(templates, bound)
+    short = "|".join(w for w in words if len(w) < 4)
+    # Short ones are within many other words.
+    found = found.filter(reduce(Column.__or__, [*(F.contains("t", F.lit(w)) for w in words if len(w) >= 4), F.col("t").rlike(f"(?<![a-z0-9])({short})(?![a-z0-9])") if short else F.lit(False)]))
     found = _once(found, "segments", F.filter(F.transform(F.split("t", r"\n|(?<=[.!?;:])\s+"), _flat), lambda x: x != "")).drop("t")
     found = _once(found, "cells", F.transform("segments", lambda x: F.split(x, " ")))
 
@@ -154,34 +173,34 @@ def license_runs(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id"
     found = found.filter(F.size("starts") > 0).withColumn("text", F.xxhash64("segments"))
     words = lambda s, r: F.struct(s["start"].alias("start"), r["k"].alias("k"), F.array_join(F.slice("segments", s["start"] + 1, r["k"]), " ").alias("words"))
     found = found.select("doc_id", "text", F.explode(F.flatten(F.transform("starts", lambda s: F.transform(s["runs"], lambda r: words(s, r))))).alias("x"))
-    units = found.select("doc_id", F.lit("run").alias("unit"), F.struct(F.col("x.start").alias("unit_no"), F.col("x.k").alias("k"), "text").alias("unit_no"), F.col("x.words").alias("words"))
-    matched = _matches(units, threshold, templates)
-    best = matched.groupBy("doc_id", F.col("unit_no.text").alias("text"), F.col("unit_no.unit_no").alias("unit_no")).agg(F.min(F.struct((-F.col("dice")).alias("less"), F.col("unit_no.k").alias("k"), "license")).alias("b"))
-    return best.select("doc_id", F.lit("run").alias("unit"), "unit_no", F.col("b.license").alias("license"), (-F.col("b.less")).alias("dice"))
+    runs = found.select("doc_id", F.struct("text", F.col("x.start").alias("start"), F.col("x.k").alias("k")).alias("run"), F.col("x.words").alias("words"))
+    matched = _matches(runs, threshold, templates)
+    best = matched.groupBy("doc_id", "run.text", "run.start").agg(F.min(F.struct((-F.col("dice")).alias("less"), F.col("run.k").alias("k"), "license")).alias("b"))
+    return best.select("doc_id", F.col("start").cast("long").alias("segment"), F.col("b.k").cast("long").alias("segments"), F.col("b.license").alias("license"), (-F.col("b.less")).alias("dice"))
 
 
 def oracle(threshold: float = 0.8, templates: list[tuple[str, str]] = TEMPLATES) -> str:
     """The same over the table documents in DuckDB's SQL."""
-    rows = ", ".join(f"('{name}', {len(g)}, {g})" for name, g in ((n, template_bigrams(t)) for n, t in templates))
+    rows = ", ".join(f"({no}, '{name}', {len(g)}, {g})" for no, (name, g) in enumerate((n, template_bigrams(t)) for n, t in templates))
     bound = threshold / (2 - threshold)
+    most = int(max(len(template_bigrams(t)) for _, t in templates) / bound + 1e-9) + 1
     return f"""
-    WITH t(license, tn, tgrams) AS (VALUES {rows}),
-    d AS (SELECT doc_id, lower(coalesce(text, '')) AS low FROM documents),
-    l AS (SELECT doc_id, string_split(low, chr(10)) AS parts FROM d),
-    p AS (SELECT doc_id, regexp_split_to_array(low, '\\n\\s*\\n') AS parts FROM d WHERE regexp_matches(low, '\\n\\s*\\n')),
-    raw AS (
-      SELECT doc_id, 'line' AS unit, unnest(range(len(parts))) AS unit_no, unnest(parts) AS x FROM l
-      UNION ALL SELECT * FROM (SELECT doc_id, 'paragraph', unnest(range(len(parts))), unnest(parts) AS x FROM p) WHERE contains(trim(x), chr(10))
-      UNION ALL SELECT doc_id, 'text', 0, low FROM d WHERE contains(low, chr(10))),
-    u AS (SELECT doc_id, unit, unit_no, trim(regexp_replace(x, '[^a-z0-9]+', ' ', 'g')) AS words FROM raw),
-    n AS (SELECT *, length(words) - length(replace(words, ' ', '')) AS n, string_split(words, ' ') AS w FROM u WHERE contains(words, ' ')),
-    f AS (SELECT * FROM n WHERE EXISTS (SELECT 1 FROM t WHERE least(tn, n) >= {bound} * greatest(tn, n) - 1e-9)),
-    b AS (SELECT doc_id, unit, unit_no, n, unnest(list_transform(range(1, n + 1), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM f),
-    c AS (SELECT doc_id, unit, unit_no, n, g, count(*) AS k FROM b GROUP BY ALL),
-    tb AS (SELECT license, tn, row_number() OVER () AS tno, tgrams FROM t),
-    tc AS (SELECT license, tn, tno, regexp_replace(x, ' [0-9]+$', '') AS g, count(*) AS tk FROM (SELECT license, tn, tno, unnest(tgrams) AS x FROM tb) GROUP BY ALL),
-    s AS (SELECT doc_id, unit, unit_no, license, tno, round(2.0 * sum(least(k, tk)) / (any_value(n) + any_value(tn)), 6) AS dice
-          FROM c JOIN tc USING (g) WHERE least(tn, n) >= {bound} * greatest(tn, n) - 1e-9 GROUP BY doc_id, unit, unit_no, license, tno)
-    SELECT doc_id, unit, unit_no, license, dice FROM s WHERE dice >= {threshold}
-    QUALIFY row_number() OVER (PARTITION BY doc_id, unit, unit_no ORDER BY dice DESC, license) = 1
+    WITH t(tno, license, tn, tgrams) AS (VALUES {rows}),
+    tc AS (SELECT license, tn, tno, regexp_replace(x, ' [0-9]+$', '') AS g, count(*) AS tk FROM (SELECT license, tn, tno, unnest(tgrams) AS x FROM t) GROUP BY ALL),
+    known AS (SELECT DISTINCT g FROM tc),
+    d AS (SELECT row_number() OVER () AS r, doc_id, low FROM (SELECT DISTINCT doc_id, lower(coalesce(text, '')) AS low FROM documents)),
+    s AS (SELECT r, list_filter(list_transform(string_split(regexp_replace(low, '([.!?;:])\\s+', '\\1' || chr(10), 'g'), chr(10)), lambda x: trim(regexp_replace(x, '[^a-z0-9]+', ' ', 'g'))), lambda x: x <> '') AS seg FROM d),
+    e AS (SELECT r, unnest(range(len(seg))) AS i, unnest(list_transform(seg, lambda x: len(string_split(x, ' ')))) AS n FROM s),
+    p AS (SELECT r, i, sum(n) OVER (PARTITION BY r ORDER BY i) - n + 1 AS a, sum(n) OVER (PARTITION BY r ORDER BY i) AS z FROM e),
+    w AS (SELECT r, string_split(array_to_string(seg, ' '), ' ') AS w FROM s WHERE len(seg) > 0),
+    b AS (SELECT r, unnest(range(1, len(w))) AS pos, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w),
+    k AS (SELECT r, pos, g, sum(CASE WHEN known.g IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY pos) AS hits FROM b LEFT JOIN known USING (g)),
+    c AS (SELECT x.r, x.i, y.i - x.i + 1 AS k, x.a, y.z FROM p x JOIN p y ON y.r = x.r AND y.i >= x.i AND y.z - x.a BETWEEN 1 AND {most}),
+    f AS (SELECT c.r, c.i, c.k, c.a, c.z, c.z - c.a AS n FROM c JOIN k AS k2 ON k2.r = c.r AND k2.pos = c.z - 1 LEFT JOIN k AS k1 ON k1.r = c.r AND k1.pos = c.a - 1
+          WHERE k2.hits - coalesce(k1.hits, 0) >= {bound} * (c.z - c.a) - 1e-9),
+    m AS (SELECT f.r, f.i, f.k, f.n, k.g, count(*) AS c FROM f JOIN k ON k.r = f.r AND k.pos BETWEEN f.a AND f.z - 1 GROUP BY ALL),
+    x AS (SELECT r, i, k, license, tno, round(2.0 * sum(least(c, tk)) / (any_value(n) + any_value(tn)), 6) AS dice
+          FROM m JOIN tc USING (g) WHERE least(tn, n) >= {bound} * greatest(tn, n) - 1e-9 GROUP BY r, i, k, license, tno)
+    SELECT doc_id, i AS segment, k AS segments, license, dice FROM x JOIN d USING (r) WHERE dice >= {threshold}
+    QUALIFY row_number() OVER (PARTITION BY r, i ORDER BY dice DESC, k, license) = 1
     """

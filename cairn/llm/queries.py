@@ -108,18 +108,9 @@ def _op7_sql() -> str:
 
 @query("op7_licenses", _op7_sql())
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from cairn.llm.licenses import license_units
+    from cairn.llm.licenses import license_runs
 
-    return license_units(table(spark, sf_dir, "documents"))
-
-
-@query("op7_license_runs")
-def op7_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op7_licenses and the licences that no single line, paragraph or text holds."""
-    from cairn.llm.licenses import license_runs, license_units
-
-    docs = table(spark, sf_dir, "documents")
-    return license_units(docs).unionByName(license_runs(docs))
+    return license_runs(table(spark, sf_dir, "documents"))
 
 
 @query(
