@@ -42,6 +42,30 @@ def test_quality_lookup_tables_add_up():
     assert np.allclose(model.score(x[:20]), by_hand)
 
 
+def test_trees_and_pairs_against_all_splits():
+    """The first split of a tree is the best of all cuts, and the pairs chosen are those whose grids promise most."""
+    rng = np.random.default_rng(4)
+    g, h = rng.normal(size=9), rng.random(9) + 0.5
+    leaf = lambda a, b: g[a:b].sum() ** 2 / (h[a:b].sum() + 1.0)
+    k = max(range(1, 9), key=lambda k: leaf(0, k) + leaf(k, 9))
+    want = np.concatenate([np.full(k, g[:k].sum() / (h[:k].sum() + 1)), np.full(9 - k, g[k:].sum() / (h[k:].sum() + 1))])
+    assert np.allclose(quality._tree(g, h, 1, 1.0, 0.1), want)
+    gg, hh = rng.normal(size=(5, 5)), rng.random((5, 5)) + 0.5
+    cell = lambda m: gg[m].sum() ** 2 / (hh[m].sum() + 1.0)
+    cuts = []
+    for axis in (0, 1):
+        for k in range(1, 5):
+            m = np.zeros((5, 5), bool)
+            m[(slice(k), slice(None)) if axis == 0 else (slice(None), slice(k))] = True
+            cuts.append((cell(m) + cell(~m), m))
+    m = max(cuts, key=lambda c: c[0])[1]
+    grid = quality._grid_tree(gg, hh, 1, 1.0, 0.1)
+    assert np.allclose(grid, np.where(m, gg[m].sum() / (hh[m].sum() + 1), gg[~m].sum() / (hh[~m].sum() + 1)))
+    x = rng.random((800, 5))
+    y = ((x[:, 1] > 0.5) ^ (x[:, 3] > 0.5)).astype(float)
+    assert {(i, j) for i, j, _ in quality.fit(x, y, rounds=5, pair_rounds=5, n_pairs=1).pairs} <= {(3, 1), (1, 3)}
+
+
 def test_quality_features_by_hand():
     x = quality.features(pa.array(["", "a a b", "AB\nAB\nc9!"], pa.large_string()))
     f = dict(zip(quality.FEATURES, x.T, strict=True))
@@ -82,6 +106,21 @@ def test_bundles_are_sums_of_bound_letters():
         assert np.array_equal(found[i][0], want) and found[i][1] == bool(words)
 
 
+def test_prototypes_and_cosines_by_hand(spark):
+    """Prototypes are sums of unit bundles a language, and a text's score is its cosine with the best."""
+    texts = [("the cat and the dog", "en"), ("a house of cards", "en"), ("der hund und die katze", "de"), ("ein haus aus karten", "de"), ("le chat", "fr")]
+    docs = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    bundle = {i: v for i, t in enumerate(t for t, _ in texts) for _, v, _ in language.bundles(pa.array([t], pa.large_string()), 256)}
+    unit = lambda v: v / np.linalg.norm(v)
+    want = {x: sum(unit(bundle[i].astype(float)[0]) for i, (_, own) in enumerate(texts) if own == x) for x in ("de", "en", "fr")}
+    got = language.train(docs, dimensions=256)
+    assert list(got) == ["de", "en", "fr"] and all(np.allclose(got[x], want[x], atol=1e-5) for x in want)
+    for r in language.predict(docs, got).collect():
+        cosine = {x: float(unit(bundle[r["doc_id"]][0].astype(float)) @ unit(want[x])) for x in want}
+        best = max(cosine, key=lambda x: cosine[x])
+        assert r["lang_pred"] == best and abs(r["score"] - cosine[best]) < 1e-4
+
+
 def test_language_edges(spark):
     docs = spark.createDataFrame([(1, "the cat", "en"), (2, "der hund", "de"), (3, "x", None), (4, None, "en"), (5, "12 ?", "de"), (5, "12 ?", "de")], "doc_id long, text string, lang string").withColumn("score", F.lit(1))
     got = sorted((r["doc_id"], r["lang_pred"]) for r in language.predict(docs, language.train(docs)).collect())
