@@ -35,7 +35,7 @@ def encoder(path: str) -> Encoder:
 
 
 class Encoder:
-    MEMO_ENTRIES = 600_000
+    MEMO_ENTRIES = 200_000
     MEMO_CHARS = 64
     JOIN = 4096
 
@@ -213,6 +213,6 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str, id_col: str, text_col:
     enc, end = encoder(path), np.array([end_id], "<u4").tobytes()
     for batch in batches:
         keys = batch.column(batch.schema.get_field_index(id_col))
-        for i, block in vec.blocks(vec.text_column(batch, text_col), 8 << 20):
+        for i, block in vec.blocks(vec.text_column(batch, text_col), 4 << 20):
             ids, ends = enc.encode_block(block)
             yield keys.slice(i, len(block)).to_pylist(), [ids[a:b].tobytes() + end for a, b in zip(ends[:-1], ends[1:], strict=True)]
