@@ -41,7 +41,7 @@ from cairn.llm import runtime, vec
 
 Q = 8
 BLOCK_CHARS = 2_000_000
-WINDOW = 2_000_000
+WINDOW = 500_000
 MIN_CHARS, PART_CHARS = 32, 600
 EXPAND = 1 << 20  # places of shared q-grams that are looked at together
 _SHIFT = np.uint64(42)
