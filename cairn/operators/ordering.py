@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.numbers import draw
+from cairn.sources.shared import written
 
 
 def global_number(df: DataFrame, order: list[Column], out: str, start: int = 1, partitions: int | None = None) -> DataFrame:
@@ -15,14 +16,12 @@ def global_number(df: DataFrame, order: list[Column], out: str, start: int = 1,
 
     Rows are range-partitioned and numbered inside; the driver sees one count a
     partition, whose running sum gives each partition its start. Ties in the order get
-    any of their numbers. The rows are persisted between the two passes, so that they
-    are partitioned once.
+    any of their numbers. The ranged rows are written between the two passes, so that both
+    see the same ranges, whatever executors are lost.
     """
-    from pyspark import StorageLevel
-
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    placed = written(df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()), "numbered")
     counts = sorted((r["__part"], r["n"]) for r in placed.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect())
     bases, total = [], start
     for part, k in counts:
@@ -93,11 +92,9 @@ def merged_buckets(counts: Column, least: int) -> Column:
 
 def running_sum(df: DataFrame, order: list[Column], values: list[str], partitions: int | None = None) -> DataFrame:
     """df with `<value>_before` for each value: its sum over all rows earlier in a total order, by ranges and one sum a range."""
-    from pyspark import StorageLevel
-
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    placed = written(df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()), "summed")
     sums = sorted(tuple(r) for r in placed.groupBy("__part").agg(*[F.sum(F.col(v).cast("double")).alias(v) for v in values]).collect())
     bases, held = [], [0.0] * len(values)
     for part, *add in sums:
@@ -111,12 +108,14 @@ def running_sum(df: DataFrame, order: list[Column], values: list[str], partition
     return out.drop("__part", *[f"__{v}" for v in values])
 
 
-def weighted_pick(rows: DataFrame, id_col: str, items: DataFrame, item: str, weight: str, seed: int = 0, slots: int = 1024) -> DataFrame:
+def weighted_pick(rows: DataFrame, id_col: str, items: DataFrame, item: str, weight: str, seed: int = 0, a_slot: int = 256) -> DataFrame:
     """rows with an item each, drawn with probability in proportion to a non-negative integer weight.
 
     Items lie one after another on a line, each as long as its weight; a row's draw is a
-    point on it. Line and points are cut into slots, so the range join is one on slots.
+    point on it. Line and points are cut into slots, as many as there are `a_slot` items, so
+    the range join is one on slots; an item that is longer than a slot lies in several.
     """
+    slots = items.count() // a_slot + 1
     line = running_sum(items.filter(F.col(weight) > 0), [F.col(item)], [weight]).withColumn("__hi", F.col(f"{weight}_before") + F.col(weight))
     total = items.agg(F.sum(weight).cast("double").alias("__total"))
     at = lambda x: F.least(F.floor(x * slots / F.col("__total")), F.lit(slots - 1))

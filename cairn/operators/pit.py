@@ -6,40 +6,40 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof_time(events: DataFrame, features: DataFrame, key: str, event_ts: str, feature_ts: str, out: str = "feature_ts", slice_seconds: int | None = None) -> DataFrame:
-    """events with the latest feature time of their key strictly before their own; null if there is none.
+def asof_join(events: DataFrame, features: DataFrame, key: str, event_ts: str, feature_ts: str, values: list[str], slice_seconds: int | None = None) -> DataFrame:
+    """events with the values of the feature row of their key as of strictly before their own time; null if there is none. (key, feature_ts) must be unique in features.
 
-    One timeline of events and features, on which a running maximum carries feature
-    times; at equal times the event comes first, so it doesn't see that feature. With
-    slice_seconds the timeline of a key is cut into slices of time that are windows of
-    their own, and what each begins with is carried from slice to slice over one row a
-    slice: a key with a third of all rows is then spread over its slices.
+    One timeline of events and features, on which the last feature row is carried forward
+    with its values, so nothing is joined back; at equal times the event comes first and
+    doesn't see that feature. With slice_seconds the timeline of a key is cut into slices
+    of time that are windows of their own, and what each begins with is carried from slice
+    to slice over one row a slice: a key with a third of all rows is spread over its slices.
     """
     cols = events.columns
-    e = events.select(F.struct(*cols).alias("__e"), F.col(key).alias("__k"), F.col(event_ts).alias("__t"), F.lit(0).alias("__o"), F.lit(None).cast(features.schema[feature_ts].dataType).alias("__f"))
-    f = features.select(F.lit(None).cast(e.schema["__e"].dataType).alias("__e"), F.col(key).alias("__k"), F.col(feature_ts).alias("__t"), F.lit(1).alias("__o"), F.col(feature_ts).alias("__f")).filter("__k IS NOT NULL AND __t IS NOT NULL")
-    line = e.unionByName(f)
+    f = features.filter(F.col(key).isNotNull() & F.col(feature_ts).isNotNull()).select(F.col(key).alias("__k"), F.col(feature_ts).alias("__t"), F.lit(1).alias("__o"), F.struct(*values).alias("__f"))
+    e = events.select(F.col(key).alias("__k"), F.col(event_ts).alias("__t"), F.lit(0).alias("__o"), F.struct(*cols).alias("__e"))
+    line = e.unionByName(f, allowMissingColumns=True)
+    upto = lambda *by: Window.partitionBy(*by).orderBy("__t", "__o").rowsBetween(Window.unboundedPreceding, 0)
     if slice_seconds is None:
-        w = Window.partitionBy("__k").orderBy("__t", "__o").rowsBetween(Window.unboundedPreceding, 0)
-        best = F.max("__f").over(w)
+        best = F.last("__f", ignorenulls=True).over(upto("__k"))
     else:
-        line = line.withColumn("__s", F.floor(F.unix_seconds(F.col("__t").cast("timestamp")) / slice_seconds))
-        ends = line.filter("__o = 1").groupBy("__k", "__s").agg(F.max("__f").alias("__last"))
-        slices = line.select("__k", "__s").distinct().join(ends, ["__k", "__s"], "left")
+        cut = F.floor(F.unix_seconds(F.col("__t").cast("timestamp")) / slice_seconds)
+        line = line.withColumn("__s", cut)
+        # A row a slice: the last feature of its own, if any, then the last of all slices before.
+        slices = line.groupBy("__k", "__s").agg(F.max_by("__f", F.when(F.col("__o") == 1, F.col("__t"))).alias("__last"))
         before = Window.partitionBy("__k").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
-        carried = slices.select("__k", "__s", F.max("__last").over(before).alias("__carry"))
-        same = line["__k"].eqNullSafe(carried["__k"]) & line["__s"].eqNullSafe(carried["__s"])
-        line = line.join(carried, same, "left").select(line["*"], "__carry")
-        w = Window.partitionBy("__k", "__s").orderBy("__t", "__o").rowsBetween(Window.unboundedPreceding, 0)
-        best = F.coalesce(F.max("__f").over(w), F.col("__carry"))
-    return line.withColumn("__best", best).filter("__o = 0").select(*[F.col("__e")[c].alias(c) for c in cols], F.when(F.col("__k").isNotNull(), F.col("__best")).alias(out))
+        carried = slices.select("__k", "__s", F.last("__last", ignorenulls=True).over(before).alias("__f")).filter("__f IS NOT NULL")
+        # It stands before everything else of its slice.
+        line = line.unionByName(carried.withColumns({"__o": F.lit(-1), "__t": F.lit(None).cast(line.schema["__t"].dataType)}), allowMissingColumns=True)
+        w = Window.partitionBy("__k", "__s").orderBy(F.col("__t").asc_nulls_first(), "__o").rowsBetween(Window.unboundedPreceding, 0)
+        best = F.last("__f", ignorenulls=True).over(w)
+    found = line.withColumn("__best", F.when(F.col("__k").isNotNull() & F.col("__t").isNotNull(), best)).filter("__o = 0")
+    return found.select(*[F.col("__e")[c].alias(c) for c in cols], *[F.col("__best")[c].alias(c) for c in values])
 
 
-def asof_join(events: DataFrame, features: DataFrame, key: str, event_ts: str, feature_ts: str, values: list[str], slice_seconds: int | None = None) -> DataFrame:
-    """events with the values of the feature row as of strictly before; (key, feature_ts) must be unique in features."""
-    timed = asof_time(events, features, key, event_ts, feature_ts, "__ft", slice_seconds)
-    right = features.select(F.col(key).alias("__rk"), F.col(feature_ts).alias("__rt"), *values)
-    return timed.join(right, (timed[key] == right["__rk"]) & (timed["__ft"] == right["__rt"]), "left").drop("__rk", "__rt", "__ft")
+def asof_time(events: DataFrame, features: DataFrame, key: str, event_ts: str, feature_ts: str, out: str = "feature_ts", slice_seconds: int | None = None) -> DataFrame:
+    """events with the latest feature time of their key strictly before their own; null if there is none."""
+    return asof_join(events, features.select(key, feature_ts, F.col(feature_ts).alias(out)), key, event_ts, feature_ts, [out], slice_seconds)
 
 
 def asof_candidates(features: DataFrame, events: DataFrame, key: str, event_ts: str, feature_ts: str) -> DataFrame:

@@ -1,8 +1,11 @@
 """Versioned Parquet tables: merges, appends, dictionaries, manifests. No table format is needed.
 
-A table is a folder of version folders and a manifest that names the current one. A
-write makes a new version folder and swaps the manifest last, so readers see whole
-versions only, and a run that fails leaves the table as it was.
+A table is a folder of data folders, version files and numbered manifests; the manifest
+of the largest number is the current one. A write makes new files only and ends with a
+new manifest, which appears whole by a rename: readers see whole versions, a run that
+fails anywhere leaves the table as it was, and of two writers that started from the same
+manifest the second fails. Version numbers are never given twice, so a pinned version
+stays what it was for as long as vacuum() leaves it.
 """
 
 from __future__ import annotations
@@ -20,6 +23,10 @@ class SchemaChanged(ValueError):
     pass
 
 
+class Conflict(RuntimeError):
+    """Another writer committed first."""
+
+
 class Table:
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType | str | None = None):
         self.spark, self.path = spark, path.rstrip("/")
@@ -32,10 +39,19 @@ class Table:
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
 
+    def _numbers(self) -> list[int]:
+        found = self._fs().globStatus(self._path("manifest-*.json")) or []
+        return sorted(int(str(x.getPath().getName())[9:-5]) for x in found)
+
+    def _text(self, name: str) -> str:
+        return "\n".join(r["value"] for r in self.spark.read.text(f"{self.path}/{name}").collect())
+
     def manifest(self) -> dict:
-        if not self._fs().exists(self._path("manifest.json")):
-            return {"versions": []}
-        return json.loads("\n".join(r["value"] for r in self.spark.read.text(f"{self.path}/manifest.json").collect()))
+        """versions (in order), next (the number of the next version) and number (the manifest's own)."""
+        numbers = self._numbers()
+        if not numbers:
+            return {"versions": [], "next": 0, "number": 0}
+        return json.loads(self._text(f"manifest-{numbers[-1]:010d}.json")) | {"number": numbers[-1]}
 
     def version(self) -> str | None:
         versions = self.manifest()["versions"]
@@ -56,22 +72,29 @@ class Table:
         return self.spark.read.schema(schema).parquet(*[f"{self.path}/{p}" for p in parts])
 
     def manifest_of(self, version: str) -> dict:
-        return json.loads("\n".join(r["value"] for r in self.spark.read.text(f"{self.path}/{version}.json").collect()))
+        return json.loads(self._text(f"{version}.json"))
 
-    def _put(self, name: str, text: str) -> None:
-        fs, tmp = self._fs(), self._path(f"{name}.{uuid.uuid4().hex}.tmp")
+    def _put(self, name: str, text: str, replace: bool = False) -> None:
+        """A whole file under its name or none. Without replace the name must be free."""
+        fs, tmp, final = self._fs(), self._path(f"{name}.{uuid.uuid4().hex}.tmp"), self._path(name)
         out = fs.create(tmp, True)
         out.write(bytearray(text.encode()))
         out.close()
-        final = self._path(name)
-        if fs.exists(final):
+        if replace and fs.exists(final):
             fs.delete(final, False)
-        fs.rename(tmp, final)
+        if fs.exists(final) or not fs.rename(tmp, final):
+            fs.delete(tmp, False)
+            raise Conflict(f"{self.path}/{name} is there already")
+
+    def _commit(self, df: DataFrame, parts: list[str], after: dict | None = None) -> None:
+        m = after or self.manifest()
+        v = f"v{m['next']:06d}"
+        # A version file that a failed commit left behind is of no manifest: it goes.
+        self._put(f"{v}.json", json.dumps({"parts": parts, "schema": df.schema.jsonValue()}), replace=True)
+        self._swap(m, [*m["versions"], v], m["next"] + 1)
 
-    def _commit(self, df: DataFrame, parts: list[str]) -> None:
-        v = f"v{len(self.manifest()['versions']):06d}"
-        self._put(f"{v}.json", json.dumps({"parts": parts, "schema": df.schema.jsonValue()}))
-        self._put("manifest.json", json.dumps({"versions": [*self.manifest()["versions"], v]}))
+    def _swap(self, before: dict, versions: list[str], following: int) -> None:
+        self._put(f"manifest-{before['number'] + 1:010d}.json", json.dumps({"versions": versions, "next": following}))
 
     def _write(self, df: DataFrame, rows_per_file: int | None = None) -> str:
         part = f"data-{uuid.uuid4().hex}"
@@ -122,13 +145,14 @@ class Table:
         self.overwrite(self.read().repartition(files))
 
     def vacuum(self, keep: int = 1) -> None:
-        """Removes what the last `keep` versions don't read."""
-        versions = self.manifest()["versions"]
-        used = {p for v in versions[-keep:] for p in self.manifest_of(v)["parts"]}
-        gone = {p for v in versions[:-keep] for p in self.manifest_of(v)["parts"]} - used
-        self._put("manifest.json", json.dumps({"versions": versions[-keep:]}))
-        for p in gone:
-            self._fs().delete(self._path(p), True)
+        """Removes what the last `keep` versions don't read, and older manifests."""
+        m = self.manifest()
+        kept, gone = m["versions"][-keep:], m["versions"][:-keep]
+        used = {p for v in kept for p in self.manifest_of(v)["parts"]}
+        old = {p for v in gone for p in self.manifest_of(v)["parts"]} - used
+        self._swap(m, kept, m["next"])
+        for name in [*old, *(f"{v}.json" for v in gone), *(f"manifest-{n:010d}.json" for n in self._numbers() if n <= m["number"])]:
+            self._fs().delete(self._path(name), True)
 
 
 def assign_ids(values: DataFrame, column: str, known: DataFrame, id_col: str, first: int = 2) -> DataFrame:
@@ -165,13 +189,13 @@ def publish(table: Table, df: DataFrame, expected_rows: int | None = None, **fie
         raise ValueError(f"{rows} rows instead of {expected_rows}")
     table.overwrite(df)
     card = {"rows": rows, "columns": df.columns, "version": table.version(), **fields}
-    table._put("card.json", json.dumps(card | {"sha256": hashlib.sha256(json.dumps(card, sort_keys=True).encode()).hexdigest()}))
+    table._put("card.json", json.dumps(card | {"sha256": hashlib.sha256(json.dumps(card, sort_keys=True).encode()).hexdigest()}), replace=True)
     return card
 
 
 def check_card(table: Table, columns: list[str]) -> DataFrame:
     """The published version, after its card was found to fit: the columns asked for, the version, and the row count."""
-    card = json.loads("\n".join(r["value"] for r in table.spark.read.text(f"{table.path}/card.json").collect()))
+    card = json.loads(table._text("card.json"))
     digest = card.pop("sha256")
     if digest != hashlib.sha256(json.dumps(card, sort_keys=True).encode()).hexdigest():
         raise ValueError("the card was changed")

@@ -45,10 +45,12 @@ def ledger(spark: SparkSession, d: str) -> DataFrame:
 def cumulative_counts(events: DataFrame) -> DataFrame:
     """One row per game and second with events, counts through it, and a 1970 row with none."""
     per = events.groupBy("game_id", F.col("reviewed_at").alias("ts")).agg(F.count_if("is_positive").alias("p"), F.count_if(~F.col("is_positive")).alias("n"))
-    w = Window.partitionBy("game_id").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    counts = per.select("game_id", "ts", F.sum("p").over(w).alias("positives"), F.sum("n").over(w).alias("negatives"))
-    base = events.select("game_id").distinct().select("game_id", F.lit(FIRST_TIME).cast("timestamp_ntz").alias("ts"), F.lit(0).cast("long").alias("positives"), F.lit(0).cast("long").alias("negatives"))
-    return counts.unionByName(base)
+    w = Window.partitionBy("game_id").orderBy("ts")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    counts = per.withColumns({"row": F.struct("ts", F.sum("p").over(upto).alias("positives"), F.sum("n").over(upto).alias("negatives")), "first": F.row_number().over(w) == 1})
+    zero = F.lit(0).cast("long")
+    base = F.struct(F.lit(FIRST_TIME).cast("timestamp_ntz").alias("ts"), zero.alias("positives"), zero.alias("negatives"))
+    return counts.select("game_id", F.explode(F.when(F.col("first"), F.array(base, F.col("row"))).otherwise(F.array("row"))).alias("x")).select("game_id", "x.ts", "x.positives", "x.negatives")
 
 
 def features(events: DataFrame) -> DataFrame:

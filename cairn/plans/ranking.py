@@ -37,40 +37,18 @@ def history_before(spark: S, d: str) -> DataFrame:
 
 
 @query("reviewed_before", "J21 R12", M.with_model("""
-SELECT r.review_id, coalesce(string_agg(DISTINCT CAST(e.game_id AS VARCHAR), '|' ORDER BY CAST(e.game_id AS VARCHAR)), '') AS games FROM ledger r LEFT JOIN ledger e ON e.user_id = r.user_id AND e.reviewed_at < r.reviewed_at AND e.game_id <> r.game_id WHERE r.user_id % 20 = 1 GROUP BY 1"""))
+SELECT r.review_id, coalesce(string_agg(DISTINCT CAST(e.game_id AS VARCHAR), '|' ORDER BY CAST(e.game_id AS VARCHAR)), '') AS games FROM ledger r LEFT JOIN ledger e ON e.user_id = r.user_id AND e.reviewed_at < r.reviewed_at AND e.game_id <> r.game_id GROUP BY 1"""))
 def reviewed_before(spark: S, d: str) -> DataFrame:
     e = M.ledger(spark, d)
-    return _reviewed_before(e.filter("user_id % 20 = 1"), e)
-
-
-@query("reviewed_before_all", "J21 R12")
-def reviewed_before_all(spark: S, d: str) -> DataFrame:
-    """reviewed_before for every user."""
-    e = M.ledger(spark, d)
-    return _reviewed_before(e, e)
-
-
-def _reviewed_before(rows: DataFrame, e: DataFrame) -> DataFrame:
-    out = pit.events_before(rows, e.withColumn("game_id", F.col("game_id").cast("string")), "user_id", "reviewed_at", "game_id", "review_id", target="game_id")
+    out = pit.events_before(e, e.withColumn("game_id", F.col("game_id").cast("string")), "user_id", "reviewed_at", "game_id", "review_id", target="game_id")
     return out.select("review_id", F.array_join("items", "|").alias("games"))
 
 
 @query("positives_after", "J22 J32 V25", M.with_model("""
-SELECT r.review_id, count(DISTINCT e.game_id) AS n_after, CAST(coalesce(sum(DISTINCT e.game_id), 0) AS BIGINT) AS sum_after FROM ledger r LEFT JOIN ledger e ON e.user_id = r.user_id AND e.reviewed_at > r.reviewed_at AND e.game_id <> r.game_id AND e.is_positive WHERE r.user_id % 20 = 2 GROUP BY 1"""))
+SELECT r.review_id, count(DISTINCT e.game_id) AS n_after, CAST(coalesce(sum(DISTINCT e.game_id), 0) AS BIGINT) AS sum_after FROM ledger r LEFT JOIN ledger e ON e.user_id = r.user_id AND e.reviewed_at > r.reviewed_at AND e.game_id <> r.game_id AND e.is_positive GROUP BY 1"""))
 def positives_after(spark: S, d: str) -> DataFrame:
     e = M.ledger(spark, d)
-    return _positives_after(e.filter("user_id % 20 = 2"), e)
-
-
-@query("positives_after_all", "J22 J32 V25")
-def positives_after_all(spark: S, d: str) -> DataFrame:
-    """positives_after for every user."""
-    e = M.ledger(spark, d)
-    return _positives_after(e, e)
-
-
-def _positives_after(rows: DataFrame, e: DataFrame) -> DataFrame:
-    out = pit.totals_before(rows, e.filter("is_positive"), "user_id", "reviewed_at", "game_id", "review_id", target="game_id", after=True)
+    out = pit.totals_before(e, e.filter("is_positive"), "user_id", "reviewed_at", "game_id", "review_id", target="game_id", after=True)
     return out.select("review_id", F.col("n").alias("n_after"), F.col("total").alias("sum_after"))
 
 
@@ -199,22 +177,13 @@ def retrieval_features(spark: S, d: str) -> DataFrame:
 
 
 @query("tag_affinity", "V12 V13 V14 V16 V19 V39", M.with_model("""
-WITH h AS (SELECT user_id, game_id FROM ledger WHERE is_positive AND user_id % 10 = 3 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY reviewed_at DESC, review_id DESC) <= 20), t AS (SELECT p_partkey AS game_id, p_brand, unnest(list_distinct(string_split(p_name, ' '))) AS tag FROM part),
-tw AS (SELECT *, 1 / sqrt(count(*) OVER (PARTITION BY game_id)) AS w FROM t), pr AS (SELECT user_id, tag, sum(w) AS w FROM h JOIN tw USING (game_id) GROUP BY ALL), pn AS (SELECT user_id, sqrt(sum(w * w)) AS norm FROM pr GROUP BY 1), c AS (SELECT user_id, game_id FROM ledger WHERE user_id % 10 = 3 AND NOT is_positive),
+WITH h AS (SELECT user_id, game_id FROM ledger WHERE is_positive QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY reviewed_at DESC, review_id DESC) <= 20), t AS (SELECT p_partkey AS game_id, p_brand, unnest(list_distinct(string_split(p_name, ' '))) AS tag FROM part),
+tw AS (SELECT *, 1 / sqrt(count(*) OVER (PARTITION BY game_id)) AS w FROM t), pr AS (SELECT user_id, tag, sum(w) AS w FROM h JOIN tw USING (game_id) GROUP BY ALL), pn AS (SELECT user_id, sqrt(sum(w * w)) AS norm FROM pr GROUP BY 1), c AS (SELECT user_id, game_id FROM ledger WHERE NOT is_positive),
 cs AS (SELECT c.user_id, c.game_id, sum(pr.w * tw.w) AS s FROM c JOIN tw ON tw.game_id = c.game_id JOIN pr ON pr.user_id = c.user_id AND pr.tag = tw.tag GROUP BY ALL), bh AS (SELECT user_id, p_brand, count(*) AS k FROM h JOIN part ON p_partkey = game_id GROUP BY ALL), bn AS (SELECT user_id, count(*) AS n FROM h GROUP BY 1)
 SELECT c.user_id, c.game_id, round(coalesce(s, 0) / norm, 6) AS cosine, round(coalesce(k, 0) / bn.n, 6) AS brand_share FROM c JOIN pn USING (user_id) JOIN bn USING (user_id) JOIN part ON p_partkey = c.game_id LEFT JOIN cs USING (user_id, game_id) LEFT JOIN bh ON bh.user_id = c.user_id AND bh.p_brand = part.p_brand"""))
 def tag_affinity(spark: S, d: str) -> DataFrame:
-    return _tag_affinity(spark, d, M.ledger(spark, d).filter("user_id % 10 = 3"))
-
-
-@query("tag_affinity_all", "V12 V13 V14 V16 V19 V39")
-def tag_affinity_all(spark: S, d: str) -> DataFrame:
-    """tag_affinity for every user."""
-    return _tag_affinity(spark, d, M.ledger(spark, d))
-
-
-def _tag_affinity(spark: S, d: str, e: DataFrame) -> DataFrame:
     """Cosine of candidates' tags with the tag profile of a history, and the history's share of the candidate's brand; all sparse."""
+    e = M.ledger(spark, d)
     p = read(spark, d, "part").select(F.col("p_partkey").alias("game_id"), "p_brand", "p_name")
     h = ordering.top_per_group(e.filter("is_positive"), ["user_id"], [F.col("reviewed_at").desc(), F.col("review_id").desc()], 20).select("user_id", "game_id")
     tags = F.array_distinct(F.split("p_name", " "))

@@ -10,6 +10,7 @@ from cairn.functions import text as X
 from cairn.operators import ordering, pit
 from cairn.plans import models as M
 from cairn.plans.registry import query
+from cairn.sources.shared import written as staged
 from cairn.sources.tables import read, read_sampled
 
 S = SparkSession
@@ -19,8 +20,8 @@ S = SparkSession
 SELECT l.review_id, l.user_id, l.game_id, l.is_positive, f.positives, f.negatives, round(f.ratio, 6) AS ratio
 FROM (SELECT *, reviewed_at - INTERVAL 1 MICROSECOND AS before FROM ledger) l ASOF LEFT JOIN features f ON l.game_id = f.game_id AND l.before >= f.ts"""))
 def interactions_asof(spark: S, d: str) -> DataFrame:
-    """Reviews with their game's features as of strictly before."""
-    events = M.ledger(spark, d)
+    """Reviews with their game's features as of strictly before. The ledger is written once: both sides read it."""
+    events = staged(M.ledger(spark, d), "ledger")
     out = pit.asof_join(events, M.features(events), "game_id", "reviewed_at", "ts", ["positives", "negatives", "ratio"])
     return out.select("review_id", "user_id", "game_id", "is_positive", "positives", "negatives", F.round("ratio", 6).alias("ratio"))
 
@@ -29,10 +30,9 @@ def interactions_asof(spark: S, d: str) -> DataFrame:
 SELECT l.review_id, round(f.ratio, 6) AS ratio
 FROM (SELECT *, reviewed_at - INTERVAL 1 MICROSECOND AS before FROM ledger) l ASOF LEFT JOIN features f ON l.game_id = f.game_id AND l.before >= f.ts"""))
 def interactions_asof_sliced(spark: S, d: str) -> DataFrame:
-    """The same by slices of 90 days, for keys that hold a large part of all rows; features that no event reaches are pruned first."""
-    events = M.ledger(spark, d)
-    reached = pit.asof_candidates(M.features(events), events, "game_id", "reviewed_at", "ts")
-    return pit.asof_join(events, reached, "game_id", "reviewed_at", "ts", ["ratio"], slice_seconds=90 * N.DAY).select("review_id", F.round("ratio", 6).alias("ratio"))
+    """The same by slices of 90 days, for keys that hold a large part of all rows."""
+    events = staged(M.ledger(spark, d), "ledger")
+    return pit.asof_join(events, M.features(events), "game_id", "reviewed_at", "ts", ["ratio"], slice_seconds=90 * N.DAY).select("review_id", F.round("ratio", 6).alias("ratio"))
 
 
 @query("staging_reviews", "S01 S02 S08 P01 P02 P05 P06 P07 P19 F01 F02 G01 Y01 Y12", """

@@ -158,7 +158,7 @@ SELECT p_partkey AS row_id, octet_length(encode(p_name)) AS bytes, CAST(coalesce
 def published_catalog(spark: S, d: str) -> DataFrame:
     """The items to serve with the places of their names in one run of bytes, published with a card and checked against it when read."""
     from cairn.operators.tables import Table, check_card, publish
-    from cairn.plans.streams import shared
+    from cairn.sources.shared import scratch as shared
 
     names = read(spark, d, "part").filter("p_size <= 45").select(F.col("p_partkey").alias("row_id"), F.octet_length("p_name").cast("long").alias("bytes"))
     placed = ordering.running_sum(names, [F.col("row_id")], ["bytes"]).select("row_id", "bytes", F.col("bytes_before").cast("long").alias("byte_offset"))

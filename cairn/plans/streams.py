@@ -2,22 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.operators.tables import Table
 from cairn.plans.registry import query
+from cairn.sources.shared import scratch as shared
 from cairn.sources.tables import read
 from cairn.streaming import incremental as I
 
 
-def shared(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/cairn-shared"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _events(spark: SparkSession, d: str) -> DataFrame:
     files = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/events.parquet")
     schema = read(spark, d, "events").schema

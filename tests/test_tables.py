@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.operators.tables import SchemaChanged, Table, assign_ids, cached, changed_only, check_card, extend_dictionary, gone_keys, publish
+from cairn.operators.tables import Conflict, SchemaChanged, Table, assign_ids, cached, changed_only, check_card, extend_dictionary, gone_keys, publish
 from cairn.sources.tables import Snapshot, find_files, read_declared, run_sql, vocabulary_size
 from cairn.streaming import incremental as I
 
@@ -32,15 +32,47 @@ def test_merge_keeps_versions(spark, tmp_path):
     assert rows(t.read()) == before and len(t.manifest()["versions"]) == 1
 
 
+def test_pinned_versions_stay_after_vacuum(spark, tmp_path):
+    t = Table(spark, f"file://{tmp_path}/v")
+    for k in range(3):
+        t.overwrite(spark.createDataFrame([(k,)], "v long"))
+    t.vacuum()
+    pinned = Snapshot({"t": t})
+    for k in range(3, 5):
+        t.overwrite(spark.createDataFrame([(k,)], "v long"))
+    assert rows(pinned.read("t")) == [(2,)] and rows(t.read()) == [(4,)] and t.manifest()["versions"] == ["v000002", "v000003", "v000004"]
+
+
+def test_a_failed_commit_changes_nothing(spark, tmp_path, monkeypatch):
+    t = Table(spark, f"file://{tmp_path}/c")
+    t.overwrite(spark.createDataFrame([(1,)], "v long"))
+    swap = Table._swap
+
+    def crash(*_):
+        raise OSError
+
+    monkeypatch.setattr(Table, "_swap", crash)
+    with pytest.raises(OSError):
+        t.overwrite(spark.createDataFrame([(2,)], "v long"))
+    monkeypatch.setattr(Table, "_swap", swap)
+    assert rows(t.read()) == [(1,)]
+    before = t.manifest()
+    t.overwrite(spark.createDataFrame([(3,)], "v long"))
+    assert rows(t.read()) == [(3,)]
+    with pytest.raises(Conflict):  # a writer that began before
+        t._commit(t.read(), t.manifest_of(t.version())["parts"], after=before)
+    assert rows(t.read()) == [(3,)]
+
+
 def test_dictionaries_only_grow(spark, tmp_path):
     t = Table(spark, f"file://{tmp_path}/d")
-    first = spark.createDataFrame([("Valve",), ("Indie Co",), ("Studio X",), (None,), ("Valve",)], "name string")
+    first = spark.createDataFrame([("plum",), ("fig",), (None,), ("quince",), ("apple",), ("plum",)], "name string")
     extend_dictionary(t, first, "name", "id")
-    extend_dictionary(t, spark.createDataFrame([("New Studio",), ("Valve",)], "name string"), "name", "id")
-    assert {r["name"]: r["id"] for r in t.read().collect()} == {"Indie Co": 2, "Studio X": 3, "Valve": 4, "New Studio": 5}
+    extend_dictionary(t, spark.createDataFrame([("cherry",), ("fig",), ("banana",)], "name string"), "name", "id")
+    assert {r["name"]: r["id"] for r in t.read().collect()} == {"apple": 2, "fig": 3, "plum": 4, "quince": 5, "banana": 6, "cherry": 7}
     version = t.version()
     extend_dictionary(t, first, "name", "id")
-    assert t.version() == version and vocabulary_size(t.read(), "id") == 6
+    assert t.version() == version and vocabulary_size(t.read(), "id") == 8
     assert assign_ids(first.limit(0), "name", t.read(), "id").count() == 0
 
 
