@@ -4,8 +4,9 @@ from collections import defaultdict
 import numpy as np
 
 import corpus_pipeline
-from cairn.llm import runtime
+
 from cairn.llm.decontaminate import contaminated
+from cairn.sources import shared
 from tests.llm.test_duplicates import classes_by_hand, lower
 from tests.llm.test_tokens import plain
 
@@ -51,9 +52,9 @@ def test_run_leaves_only_what_its_result_reads(spark, small_docs, tmp_path):
     small_docs.write.parquet(f"file://{tmp_path}/documents.parquet")
     for t in ("labels", "benchmark"):
         spark.read.parquet(f"{SMALL}/{t}.parquet").write.parquet(f"file://{tmp_path}/{t}.parquet")
-    before = set(runtime._made)
+    before = set(shared._made)
     out = corpus_pipeline.run(spark, f"file://{tmp_path}")
-    left = sorted(x.rsplit("/", 1)[1].rsplit("-", 1)[0] for x in set(runtime._made) - before)
+    left = sorted(x.rsplit("/", 1)[1].rsplit("-", 1)[0] for x in set(shared._made) - before)
     assert left == ["op4_decontamination", "pieces"] and out.count() > 100
 
 
