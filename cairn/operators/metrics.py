@@ -82,40 +82,5 @@ def entropy(df: DataFrame, by: str, label: str) -> DataFrame:
     return e.select(by, "n", "top", "top_share", F.round("e", 6).alias("entropy"), F.round(F.pow(F.lit(2.0), F.col("e")), 6).alias("effective"))
 
 
-# Gates: rules over a few numbers, on the driver
-
-def promote(candidate: float | None, champion: float | None, baseline: float, min_gain: float) -> tuple[bool, str]:
-    """A candidate must beat the baseline, and the champion by a relative gain."""
-    if candidate is None:
-        return False, "no metric"
-    if candidate <= baseline:
-        return False, "not above the baseline"
-    if champion is None:
-        return True, "first champion"
-    if candidate < champion * (1 + min_gain):
-        return False, "gain too small"
-    return True, "better than the champion"
-
-
-def promote_pair(recall: float, champion_recall: float, ceiling: float, top_reach: float, final: float, champion_final: float, max_drop: float = 0.01, max_reach: float = 0.5) -> list[str]:
-    """Reasons against a pair of retriever and ranker; none means it may go live."""
-    bad = []
-    if recall < champion_recall * (1 - max_drop):
-        bad.append("retrieval fell")
-    if ceiling <= 0:
-        bad.append("no candidate holds a target")
-    if top_reach > max_reach:
-        bad.append("one item reaches too many lists")
-    if final < champion_final:
-        bad.append("final lists fell")
-    return bad
-
-
-def rollback_target(history: DataFrame, at: str, version: str, action: str) -> DataFrame:
-    """Of an append-only history the last promoted version before the current one."""
-    w = Window.orderBy(F.col(at).desc())
-    return history.filter(F.col(action) == "promote").withColumn("__n", F.row_number().over(w)).filter("__n = 2").select(version)
-
-
 def share_of(n: Column, d: Column) -> Column:
     return F.try_divide(n.cast("double"), d.cast("double"))

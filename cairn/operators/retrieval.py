@@ -2,70 +2,67 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_FLOATS = 4_000_000
+QUERIES, ITEMS = 1024, 8192  # of a block
 
 
 def _matrix(column: pa.ListArray | pa.ChunkedArray) -> np.ndarray:
     return np.stack([np.asarray(x, np.float64) for x in column.to_pylist()]) if len(column) else np.zeros((0, 1))
 
 
-def dense_top_k(queries: DataFrame, items: DataFrame, k: int, vector: str = "vector", exclude_self: bool = False, exclude: DataFrame | None = None) -> DataFrame:
-    """(query_id, item_id, score, rank): the k items of the largest dot product for each query, ties to the lowest item.
-
-    queries (query_id, vector), items (item_id, vector). Queries go to the executors in
-    blocks of at most BLOCK_FLOATS numbers; every partition of items returns its own k
-    best for each query, so the shuffle carries k rows a query and partition. exclude:
-    (query_id, item_id) pairs that may not appear; each query's k is then widened by its
-    number of exclusions and the pairs are removed by an anti join.
+def _best(ids: np.ndarray, item: np.ndarray, scores: np.ndarray, k: int) -> pa.Table:
+    """The k largest of each row, ties to the lowest item; those of -inf don't count."""
+    rows = []
+    for i in range(len(ids)):
+        s = scores[i]
+        least = np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else -np.inf
+        some = np.flatnonzero((s >= least) & np.isfinite(s))
+        some = some[np.lexsort((item[some], -s[some]))[:k]]
+        rows.append((np.full(len(some), ids[i]), item[some], s[some]))
+    a, b, c = (np.concatenate(x) for x in zip(*rows, strict=True)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    return pa.table({"query_id": pa.array(a, pa.int64()), "item_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.float64())})
+
+
+def dense_top_k(queries: DataFrame, items: DataFrame, k: int, vector: str = "vector", exclude_self: bool = False, exclude: DataFrame | None = None, at: str | None = None, query_rows: int = QUERIES, item_rows: int = ITEMS) -> DataFrame:
+    """query_id, item_id, score, rank: the k items of the largest dot product for each query, ties to the lowest item.
+
+    queries (query_id, vector), items (item_id, vector). Both are dealt to blocks of about
+    query_rows and item_rows rows, and a task compares one block with one block, so its
+    memory is bounded whatever the tables hold; it returns k items a query. Blocks of
+    queries and items come from their counts. at: a column of both; a query meets only
+    the items of its own value (such as those of its week), and item rows are dealt within
+    it. exclude: (query_id, item_id) pairs that may not appear; a query gets those of a
+    block with it, so its list is as long as its own exclusions at most.
     """
-    spark = items.sparkSession
-    wanted = queries.select("query_id", vector, F.lit(k).alias("__k"))
-    if exclude is not None:
-        n = exclude.groupBy("query_id").agg(F.count(F.lit(1)).alias("__x"))
-        wanted = queries.join(n, "query_id", "left").select("query_id", vector, (F.coalesce("__x", F.lit(0)) + k).cast("int").alias("__k"))
-
-    def over(block: list[tuple[int, list[float], int]]) -> DataFrame:
-        sent = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, q = np.array([b[0] for b in sent.value]), np.array([b[1] for b in sent.value], np.float64)
-            most = np.array([b[2] for b in sent.value])
-            for batch in batches:
-                item, m = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1))
-                if not len(item):
-                    continue
-                s = q @ m.T
-                if exclude_self:
-                    s = np.where(ids[:, None] == item[None, :], -np.inf, s)
-                rows = []
-                for i in range(len(ids)):
-                    best = np.lexsort((item, -s[i]))[: most[i]]
-                    rows.append((np.full(len(best), ids[i]), item[best], s[i][best]))
-                a, b, c = (np.concatenate(x) for x in zip(*rows, strict=True))
-                ok = np.isfinite(c)
-                yield pa.record_batch([pa.array(a[ok]), pa.array(b[ok]), pa.array(c[ok])], names=["query_id", "item_id", "score"])
-
-        return items.select(F.col("item_id").cast("long"), vector).mapInArrow(run, "query_id long, item_id long, score double")
-
-    out, block, held = None, [], 0
-    for r in wanted.toLocalIterator():
-        block.append((r["query_id"], list(map(float, r[vector])), r["__k"]))
-        held += len(r[vector])
-        if held >= BLOCK_FLOATS:
-            part = over(block)
-            out, block, held = (part if out is None else out.union(part)), [], 0
-    if block or out is None:
-        part = over(block) if block else spark.createDataFrame([], "query_id long, item_id long, score double")
-        out = part if out is None else out.union(part)
+    by = [at] if at else []
+    n_queries, n_items = (max(1, -(-df.count() // rows)) for df, rows in ((queries, query_rows), (items, item_rows)))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col(vector).alias("qv"), *[F.col(c).alias("qa") for c in by], deal("query_id", n_queries).alias("qb")).withColumn("ib", every(n_items))
     if exclude is not None:
-        out = out.join(exclude, ["query_id", "item_id"], "left_anti")
+        gone = exclude.groupBy(F.col("query_id").cast("long").alias("query_id"), deal(F.col("item_id").cast("long"), n_items).alias("ib")).agg(F.collect_set(F.col("item_id").cast("long")).alias("gone"))
+        q = q.join(gone, ["query_id", "ib"], "left")
+    else:
+        q = q.withColumn("gone", F.lit(None).cast("array<long>"))
+    i = items.select(F.col("item_id").cast("long").alias("item_id"), F.col(vector).alias("iv"), *[F.col(c).alias("ia") for c in by]).withColumn("ib", deal("item_id", n_items)).withColumn("qb", every(n_queries))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, item = left.column("query_id").to_numpy(), right.column("item_id").to_numpy()
+        if not len(ids) or not len(item):
+            return _best(ids[:0], item, np.zeros((0, 0)), k)
+        s = _matrix(left.column("qv")) @ _matrix(right.column("iv")).T
+        if exclude_self:
+            s[ids[:, None] == item[None, :]] = -np.inf
+        for row, out in enumerate(left.column("gone").to_pylist()):
+            if out:
+                s[row, np.isin(item, out)] = -np.inf
+        return _best(ids, item, s, k)
+
+    out = q.groupBy(*(["qa"] if at else []), "qb", "ib").cogroup(i.groupBy(*(["ia"] if at else []), "qb", "ib")).applyInArrow(run, "query_id long, item_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("item_id"))
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

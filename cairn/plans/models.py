@@ -65,6 +65,18 @@ def activity(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").agg(F.count(F.lit(1)).alias("reviews"), F.count_if("is_positive").alias("positives"), F.max("reviewed_at").alias("newest"))
 
 
+def games(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as games, with the fields that parts lack made from their numbers."""
+    p = read(spark, d, "part")
+    key, size, words = F.col("p_partkey"), F.col("p_size"), F.split("p_name", " ")
+    release = F.date_add(F.lit("1991-01-01").cast("date"), (key * 37 % 3650).cast("int"))
+    return p.select(
+        key.alias("game_id"), F.col("p_name").alias("name"), F.col("p_brand").alias("developer"), F.col("p_type").alias("genre"), F.concat(F.array_distinct(words), F.array(F.concat(F.lit("z"), (size % 5).cast("string")))).alias("tags"),
+        F.transform(F.concat(F.array_distinct(words), F.array(F.lit("z"))), lambda x, i: ((size + 1) * (i + 1) * 7 % 31).cast("long")).alias("weights"), F.array((size % 6).cast("int")).alias("descriptors"),
+        (size <= 3).alias("is_free"), F.when(size <= 3, 0.0).otherwise(F.col("p_retailprice") / 100).alias("price"), (size == 50).alias("coming_soon"), F.when(size % 9 == 0, "Coming soon").otherwise(F.date_format(release, "MMM d, yyyy")).alias("release"),
+    )
+
+
 #: The same as common table expressions, for the oracles.
 SQL = """
 raw AS (SELECT l_orderkey * 10 + l_linenumber AS review_id, o_custkey AS user_id, l_partkey AS game_id, l_returnflag <> 'R' AS is_positive,
@@ -80,6 +92,10 @@ counts AS (SELECT game_id, ts, CAST(sum(p) OVER w AS BIGINT) AS positives, CAST(
            UNION ALL SELECT DISTINCT game_id, TIMESTAMP '1970-01-01', 0, 0 FROM ledger),
 features AS (SELECT *, (positives + 1.0) / (positives + negatives + 2.0) AS ratio FROM counts),
 weekly AS (SELECT game_id, CAST(date_trunc('week', reviewed_at) AS DATE) AS week_start, CAST(count_if(is_positive) AS BIGINT) AS positives, count(*) AS reviews FROM ledger GROUP BY ALL),
+games AS (SELECT p_partkey AS game_id, p_name AS name, p_brand AS developer, p_type AS genre, list_concat(w, ['z' || (p_size % 5)]) AS tags,
+        list_transform(range(1, len(w) + 2), lambda i: (p_size + 1) * i * 7 % 31) AS weights, [p_size % 6] AS descriptors, p_size <= 3 AS is_free, CASE WHEN p_size <= 3 THEN 0.0 ELSE p_retailprice / 100 END AS price, p_size = 50 AS coming_soon,
+        CASE WHEN p_size % 9 = 0 THEN NULL ELSE DATE '1991-01-01' + CAST(p_partkey * 37 % 3650 AS INTEGER) END AS released
+        FROM (SELECT *, list_transform(list_filter(list_zip(string_split(p_name, ' '), range(1, 99)), lambda z: z[1] IS NOT NULL AND list_position(string_split(p_name, ' '), z[1]) = z[2]), lambda z: z[1]) AS w FROM part)),
 activity AS (SELECT user_id, count(*) AS reviews, CAST(count_if(is_positive) AS BIGINT) AS positives, max(reviewed_at) AS newest FROM ledger GROUP BY user_id)
 """
 

@@ -123,21 +123,15 @@ def test_metrics_by_hand(spark):
     assert (e["n"], e["top"], e["top_share"], e["entropy"], e["effective"]) == (4, "horror", 0.5, 1.5, round(2**1.5, 6))
 
 
-def test_gates():
-    assert E.promote(0.3, 0.2, 0.1, 0.01) == (True, "better than the champion") and not E.promote(0.2, 0.2, 0.1, 0.01)[0]
-    assert not E.promote(0.1, None, 0.1, 0)[0] and E.promote(0.2, None, 0.1, 0)[0] and not E.promote(None, None, 0, 0)[0]
-    assert E.promote_pair(0.3, 0.3, 0.5, 0.2, 0.4, 0.4) == [] and len(E.promote_pair(0.1, 0.3, 0, 0.9, 0.3, 0.4)) == 4
-
-
 def test_top_k_against_numpy(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(40, 6))
     items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "item_id long, vector array<double>").repartition(3)
     q = items.filter("item_id < 5").withColumnRenamed("item_id", "query_id")
     gone = spark.createDataFrame([(0, 3), (0, 7), (2, 2)], "query_id long, item_id long")
-    for exclude in (None, gone):
+    for exclude, rows in ((None, 1024), (gone, 1024), (gone, 3)):  # in one block, and in many
         got = {}
-        for r in retrieval.dense_top_k(q, items, 4, exclude=exclude).collect():
+        for r in retrieval.dense_top_k(q, items, 4, exclude=exclude, query_rows=rows, item_rows=rows * 4).collect():
             got.setdefault(r["query_id"], []).append((r["rank"], r["item_id"]))
         for i in range(5):
             s = x @ x[i]
@@ -145,6 +139,14 @@ def test_top_k_against_numpy(spark):
             assert [j for _, j in sorted(got[i])] == [j for j in np.argsort(-s) if j not in bad][:4]
 
 
+def test_top_k_at_a_time(spark):
+    """A query meets the items of its own week only."""
+    items = spark.createDataFrame([(w, i, [float(i * w % 5), 1.0]) for w in (1, 2, 3) for i in range(9)], "week int, item_id long, vector array<double>")
+    q = spark.createDataFrame([(7, 1, [1.0, 0.0]), (8, 3, [1.0, 0.0]), (9, 4, [1.0, 0.0])], "query_id long, week int, vector array<double>")
+    got = sorted((r["query_id"], r["rank"], r["item_id"], r["score"]) for r in retrieval.dense_top_k(q, items, 2, at="week").collect())
+    assert got == [(7, 1, 4, 4.0), (7, 2, 3, 3.0), (8, 1, 3, 4.0), (8, 2, 8, 4.0)]
+
+
 def test_trees_send_missing_values_to_the_default(spark):
     t = models.Trees([0, -1, -1], [1.0, 0, 0], [1, 0, 0], [2, 0, 0], [0, 10, 20], [0], [False] * 3)
     assert t.predict(np.array([[0.5], [2.0], [np.nan], [0.0]])).tolist() == [10, 20, 20, 10]
