@@ -38,6 +38,25 @@ def group_auc(df: DataFrame, group: str, score: str, label: str) -> DataFrame:
     return auc.agg(F.count("auc").alias("groups"), F.round(F.avg("auc"), 6).alias("auc"))
 
 
+def activity_buckets(rows: DataFrame, user: str, rank: str, activity: str, percentiles: list[int], k: int) -> DataFrame:
+    """bucket, least, most, n, users, recall_k, user_hits (share of users with a hit), user_recall (their mean), by the activity of users: `new` without any, then between percentiles of the others (the value at the lower index). Empty buckets are left out.
+
+    Edges come from counts of the different activities, not from sorted users.
+    """
+    per = rows.filter(F.col(activity) > 0).groupBy(F.col(activity).alias("a")).agg(F.countDistinct(user).alias("c"))
+    run = running_sum(per, [F.col("a")], ["c"])
+    total = per.agg(F.sum("c").alias("t"))
+    at = lambda q: F.floor(F.lit(q / 100) * (F.col("t") - 1))
+    edges = run.join(F.broadcast(total)).agg(*[F.max(F.when(F.col("c_before") <= at(q), F.col("a"))).alias(f"e{q}") for q in percentiles])
+    bounds = [0, *percentiles, 100]
+    name = F.when(F.col(activity) == 0, "new")
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        name = name.when(F.col(activity) <= F.col(f"e{b}"), f"p{a}-{b}") if b < 100 else name.otherwise(f"p{a}-{b}")
+    b = rows.join(F.broadcast(edges)).withColumns({"bucket": name, "hit": (F.col(rank) < k).cast("double")})
+    each = b.groupBy("bucket", user).agg(F.avg("hit").alias("h")).groupBy("bucket").agg(F.count(F.lit(1)).alias("users"), F.round(F.avg((F.col("h") > 0).cast("double")), 6).alias("user_hits"), F.round(F.avg("h"), 6).alias("user_recall"))
+    return b.groupBy("bucket").agg(F.min(activity).alias("least"), F.max(activity).alias("most"), F.count(F.lit(1)).alias("n"), F.round(F.avg("hit"), 6).alias(f"recall_{k}")).join(each, "bucket")
+
+
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """(auc): of all rows at once, by counts of each score and running sums over ranges of scores."""
     per = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("n"))

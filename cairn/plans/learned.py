@@ -25,12 +25,12 @@ def tag_clusters(spark: SparkSession, d: str) -> DataFrame:
     return models.clusters(p, ["s", "p"], 5).select("p_partkey", "cluster")
 
 
-@query("implicit_item_vectors", "V07 V01")
+@query("implicit_item_vectors", "")
 def implicit_item_vectors(spark: SparkSession, d: str) -> DataFrame:
     return models.item_vectors(M.ledger(spark, d).filter("is_positive"), "user_id", "game_id", 8)
 
 
-@query("ranker_importances", "V20 V34 E18")
+@query("ranker_importances", "V20 V34")
 def ranker_importances(spark: SparkSession, d: str) -> DataFrame:
     o = read(spark, d, "orders").select((F.col("o_orderstatus") == "F").cast("double").alias("label"), F.col("o_totalprice"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).cast("double").alias("t"))
     _, share = models.ranker(o, ["o_totalprice", "t"], "label", trees=5, depth=3)

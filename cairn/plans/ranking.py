@@ -36,7 +36,7 @@ def history_before(spark: S, d: str) -> DataFrame:
     return h.select("review_id", F.array_join(real.cast("array<string>"), "|").alias("recent"), (F.size(real) > 0).alias("warm"))
 
 
-@query("reviewed_before", "J21 R12", M.with_model("""
+@query("reviewed_before", "J21", M.with_model("""
 SELECT r.review_id, coalesce(string_agg(DISTINCT CAST(e.game_id AS VARCHAR), '|' ORDER BY CAST(e.game_id AS VARCHAR)), '') AS games FROM ledger r LEFT JOIN ledger e ON e.user_id = r.user_id AND e.reviewed_at < r.reviewed_at AND e.game_id <> r.game_id GROUP BY 1"""))
 def reviewed_before(spark: S, d: str) -> DataFrame:
     e = M.ledger(spark, d)
@@ -74,7 +74,7 @@ def splits(spark: S, d: str) -> DataFrame:
     return r.join(F.broadcast(cuts)).select("o_orderkey", F.when(at < F.col("t1"), "train").when(at < F.col("t2"), "validation").otherwise("test").alias("by_share"), F.when(at < back(42), "train").when(at < back(14), "validation").otherwise("test").alias("by_weeks"))
 
 
-@query("catalog_at", "H16 H17 A18 F23 F24 F25 F19 F21 K21", M.with_model("""
+@query("catalog_at", "H16 H17 A18 K21", M.with_model("""
 SELECT game_id, arg_max(positives, ts) AS positives, arg_max(negatives, ts) AS negatives, max(ts) AS as_of FROM features WHERE ts < TIMESTAMP '1996-01-01' AND game_id NOT IN (SELECT p_partkey FROM part WHERE p_size > 45 OR p_retailprice > 1900) GROUP BY game_id"""))
 def catalog_at(spark: S, d: str) -> DataFrame:
     """Each game's latest features strictly before a time, excluded games left out."""
@@ -94,7 +94,7 @@ def snapshot_lists(spark: S, d: str) -> DataFrame:
     return sets.select("user_id", F.size("s").cast("long").alias("seen"), F.size(F.array_except("r", "s")).cast("long").alias("relevant")).filter("seen > 0 AND relevant > 0")
 
 
-@query("query_groups", "H23 H24 H27 V26 V42", M.with_model("""
+@query("query_groups", "H23 H24", M.with_model("""
 WITH f AS (SELECT *, min(reviewed_at) FILTER (is_positive) OVER (PARTITION BY user_id) AS first_liked FROM ledger)
 SELECT review_id, user_id, CASE WHEN reviewed_at < TIMESTAMP '1997-01-01' THEN 'train' ELSE 'test' END AS part FROM f WHERE is_positive AND first_liked < reviewed_at AND reviewed_at >= TIMESTAMP '1996-01-01'
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ((review_id % 1000003) * 2654435761 + 97 * 4 + 12345) % 1000003, review_id) <= 4"""))
@@ -118,7 +118,7 @@ def nearest_items(spark: S, d: str) -> DataFrame:
     return out.select("query_id", "item_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query("recommend_top_k", "T01 T02 T03 T08 T09 T10 V02 V06 V08", f"""
+@query("recommend_top_k", "T01 T02 T09 T10 V06", f"""
 WITH e AS ({_EMB_SQL}), m AS (SELECT label, k, avg(v[k]) AS x FROM e, (SELECT unnest(range(1, 65)) AS k) GROUP BY ALL), q AS (SELECT CAST(label AS BIGINT) AS query_id, list(x ORDER BY k) AS v FROM m GROUP BY label),
 s AS (SELECT query_id, vec_id AS item_id, list_dot_product(q.v, e.v) AS s FROM q JOIN e ON e.label <> q.query_id)
 SELECT query_id, item_id, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item_id) AS rank FROM s QUALIFY rank <= 20""")
@@ -131,14 +131,14 @@ def recommend_top_k(spark: S, d: str) -> DataFrame:
     return out.select("query_id", "item_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query("popular_items", "T06 V04 O02 K23 T34", M.with_model("""
+@query("popular_items", "T06 V04 O02", M.with_model("""
 SELECT game_id, n, row_number() OVER (ORDER BY n DESC, game_id) AS rank, round(n / max(n) OVER (), 4) AS score FROM (SELECT game_id, count(*) AS n FROM ledger WHERE is_positive GROUP BY 1) ORDER BY n DESC, game_id LIMIT 50"""))
 def popular_items(spark: S, d: str) -> DataFrame:
     counts = M.ledger(spark, d).filter("is_positive").groupBy("game_id").agg(F.count(F.lit(1)).alias("n"))
     return retrieval.popular(counts, "game_id", "n", 50).select("game_id", "n", "rank", "score")
 
 
-@query("online_top_k", "T04 T05 O06 O03 E33", """
+@query("online_top_k", "T04", """
 WITH s AS (SELECT o_custkey AS user_id, o_orderkey AS item, round(ln(o_totalprice), 4) AS score FROM orders)
 SELECT user_id, item, score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item) AS rank FROM s QUALIFY rank <= 5""")
 def online_top_k(spark: S, d: str) -> DataFrame:
@@ -156,7 +156,7 @@ def rerank_and_blend(spark: S, d: str) -> DataFrame:
     return retrieval.blended(retrieval.rerank(second, "user_id", "rank", "second"), "user_id", "new_rank", "rank", 0.25).select("user_id", "item", "rank", "new_rank", "blend_rank")
 
 
-@query("list_overlap", "T12 T32 E07", """
+@query("list_overlap", "T12 E07", """
 WITH a AS (SELECT o_custkey AS u, o_orderkey AS i FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 5), b AS (SELECT o_custkey AS u, o_orderkey AS i FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) <= 5)
 SELECT count(*) AS users, round(avg(o), 6) AS overlap_5 FROM (SELECT a.u, count(b.i) / count(*) AS o FROM a LEFT JOIN b USING (u, i) GROUP BY 1)""")
 def list_overlap(spark: S, d: str) -> DataFrame:
@@ -166,7 +166,7 @@ def list_overlap(spark: S, d: str) -> DataFrame:
     return retrieval.overlap(a, b, "user_id", "item", 5)
 
 
-@query("retrieval_features", "V09 V15 V17 V18 V24", """
+@query("retrieval_features", "V09", """
 WITH a AS (SELECT o_custkey AS g, o_orderkey AS item, o_totalprice AS s, row_number() OVER w AS rank, count(*) OVER (PARTITION BY o_custkey) AS n, max(o_totalprice) OVER (PARTITION BY o_custkey) AS top, min(o_totalprice) OVER (PARTITION BY o_custkey) AS low FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey))
 SELECT g, item, rank, round(1 - (rank - 1) / nullif(n - 1, 0), 6) AS percentile, round((s - top) / nullif(top - low, 0), 6) AS gap FROM a""")
 def retrieval_features(spark: S, d: str) -> DataFrame:
@@ -176,7 +176,7 @@ def retrieval_features(spark: S, d: str) -> DataFrame:
     return a.select(F.col("user_id").alias("g"), "item", F.col("rank").cast("long").alias("rank"), F.round(1 - F.try_divide(F.col("rank") - 1, F.col("n") - 1), 6).alias("percentile"), F.round(F.try_divide(F.col("s") - F.col("top"), F.col("top") - F.col("low")), 6).alias("gap"))
 
 
-@query("tag_affinity", "V12 V13 V14 V16 V19 V39", M.with_model("""
+@query("tag_affinity", "V12 V13 V39", M.with_model("""
 WITH h AS (SELECT user_id, game_id FROM ledger WHERE is_positive QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY reviewed_at DESC, review_id DESC) <= 20), t AS (SELECT p_partkey AS game_id, p_brand, unnest(list_distinct(string_split(p_name, ' '))) AS tag FROM part),
 tw AS (SELECT *, 1 / sqrt(count(*) OVER (PARTITION BY game_id)) AS w FROM t), pr AS (SELECT user_id, tag, sum(w) AS w FROM h JOIN tw USING (game_id) GROUP BY ALL), pn AS (SELECT user_id, sqrt(sum(w * w)) AS norm FROM pr GROUP BY 1), c AS (SELECT user_id, game_id FROM ledger WHERE NOT is_positive),
 cs AS (SELECT c.user_id, c.game_id, sum(pr.w * tw.w) AS s FROM c JOIN tw ON tw.game_id = c.game_id JOIN pr ON pr.user_id = c.user_id AND pr.tag = tw.tag GROUP BY ALL), bh AS (SELECT user_id, p_brand, count(*) AS k FROM h JOIN part ON p_partkey = game_id GROUP BY ALL), bn AS (SELECT user_id, count(*) AS n FROM h GROUP BY 1)
@@ -198,7 +198,7 @@ def tag_affinity(spark: S, d: str) -> DataFrame:
     return out.select("user_id", "game_id", F.round(F.coalesce("s", F.lit(0.0)) / F.col("norm"), 6).alias("cosine"), F.round(F.coalesce("k", F.lit(0)) / F.col("n"), 6).alias("brand_share"))
 
 
-@query("ranking_metrics", "E01 E02 E03 E04 E05 E10 E11", """
+@query("ranking_metrics", "E01 E04 E05", """
 WITH a AS (SELECT o_custkey AS g, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) - 1 AS p, o_orderpriority FROM orders), t AS (SELECT g, min(p) FILTER (o_orderpriority = '1-URGENT') AS p, count(*) > 10 AS warm FROM a GROUP BY g)
 SELECT warm, count(*) AS n, round(avg(CASE WHEN p < 1 THEN 1.0 ELSE 0 END), 6) AS recall_1, round(avg(CASE WHEN p < 1 THEN 1 / log2(p + 2) ELSE 0 END), 6) AS ndcg_1, round(avg(CASE WHEN p < 1 THEN 1 / (p + 1) ELSE 0 END), 6) AS mrr_1,
  round(avg(CASE WHEN p < 10 THEN 1.0 ELSE 0 END), 6) AS recall_10, round(avg(CASE WHEN p < 10 THEN 1 / log2(p + 2) ELSE 0 END), 6) AS ndcg_10, round(avg(CASE WHEN p < 10 THEN 1 / (p + 1) ELSE 0 END), 6) AS mrr_10 FROM t GROUP BY warm""")
@@ -223,7 +223,7 @@ def group_auc(spark: S, d: str) -> DataFrame:
     return E.group_auc(_orders(spark, d).select("user_id", F.floor(F.col("o_totalprice") / 50000).alias("s"), (F.col("o_orderstatus") == "F").alias("l")), "user_id", "s", "l")
 
 
-@query("auc_and_spearman", "E16 E17 N07 N16", """
+@query("auc_and_spearman", "E16 E17 N07", """
 WITH r AS (SELECT o_orderstatus = 'F' AS l, rank() OVER (ORDER BY floor(o_totalprice / 1000)) + (count(*) OVER (PARTITION BY floor(o_totalprice / 1000)) - 1) / 2.0 AS a, rank() OVER (ORDER BY CAST(o_orderdate AS DATE)) + (count(*) OVER (PARTITION BY CAST(o_orderdate AS DATE)) - 1) / 2.0 AS b FROM orders)
 SELECT count(*) AS n, round((sum(a) FILTER (l) - count(*) FILTER (l) * (count(*) FILTER (l) + 1) / 2) / (count(*) FILTER (l) * count(*) FILTER (NOT l)), 6) AS auc, round(corr(a, b), 6) AS spearman FROM r""")
 def auc_and_spearman(spark: S, d: str) -> DataFrame:
@@ -277,7 +277,7 @@ def profile_fit(spark: S, d: str) -> DataFrame:
     return t.join(k, ["user_id", "tag"]).join(n, "user_id").groupBy("review_id").agg(F.round(F.avg(F.try_divide((F.col("k") - 1).cast("double"), (F.col("n") - 1).cast("double"))), 6).alias("fit"))
 
 
-@query("lag_similarity", "N04 N05 W16 W17 N10 U08", M.with_model("""
+@query("lag_similarity", "N04 N05 W16 W17 U08", M.with_model("""
 WITH s AS (SELECT user_id, row_number() OVER w - 1 AS pos, list_distinct(string_split(p_name, ' ')) AS t, lag(list_distinct(string_split(p_name, ' ')), 1) OVER w AS t1, lag(list_distinct(string_split(p_name, ' ')), 2) OVER w AS t2, lag(list_distinct(string_split(p_name, ' ')), 3) OVER w AS t3
 FROM ledger JOIN part ON p_partkey = game_id WINDOW w AS (PARTITION BY user_id ORDER BY reviewed_at, review_id)), f AS (SELECT * FROM s WHERE pos >= 3), u AS (SELECT 1 AS lag, t, t1 AS o FROM f UNION ALL SELECT 2, t, t2 FROM f UNION ALL SELECT 3, t, t3 FROM f)
 SELECT lag, count(*) AS n, round(avg(len(list_intersect(t, o)) / len(list_distinct(list_concat(t, o)))), 6) AS similarity FROM u GROUP BY lag"""))
@@ -291,7 +291,7 @@ def lag_similarity(spark: S, d: str) -> DataFrame:
     return u.groupBy("x.lag").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(N.jaccard(F.col("t"), F.col("x.o"))), 6).alias("similarity"))
 
 
-@query("early_and_late", "N08 N14 Y14", M.with_model("""
+@query("early_and_late", "N08 Y14", M.with_model("""
 WITH f AS (SELECT *, min(reviewed_at) OVER (PARTITION BY game_id) AS first_at FROM ledger), a AS (SELECT *, reviewed_at < first_at + INTERVAL 365 DAY AS early FROM f)
 SELECT game_id, count(*) FILTER (early) AS n_early, count(*) FILTER (NOT early) AS n_late, round(avg(CAST(is_positive AS INT)) FILTER (early) - avg(CAST(is_positive AS INT)) FILTER (NOT early), 6) AS diff, round(least(365 / greatest(datediff('day', min(first_at), TIMESTAMP '1999-01-01'), 1), 1), 6) AS expected FROM a GROUP BY 1"""))
 def early_and_late(spark: S, d: str) -> DataFrame:
@@ -301,7 +301,7 @@ def early_and_late(spark: S, d: str) -> DataFrame:
     return f.groupBy("game_id").agg(F.count_if("early").alias("n_early"), F.count_if(~F.col("early")).alias("n_late"), F.round(rate(F.col("early")) - rate(~F.col("early")), 6).alias("diff"), F.round(F.least(365 / F.greatest(days, F.lit(1)), F.lit(1.0)), 6).alias("expected"))
 
 
-@query("cluster_lift", "V33 T35 N11", """
+@query("cluster_lift", "V33 T35", """
 WITH t AS (SELECT p_brand AS cluster, unnest(list_distinct(string_split(p_name, ' '))) AS tag FROM part), c AS (SELECT cluster, tag, count(*) AS c FROM t GROUP BY ALL), s AS (SELECT p_brand AS cluster, count(*) AS size FROM part GROUP BY 1), o AS (SELECT tag, count(*) / (SELECT count(*) FROM part) AS o FROM t GROUP BY 1)
 SELECT cluster, tag, round((c / size) / o, 6) AS lift FROM c JOIN s USING (cluster) JOIN o USING (tag) QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY round((c / size) / o, 6) DESC, tag) <= 3""")
 def cluster_lift(spark: S, d: str) -> DataFrame:
@@ -313,7 +313,7 @@ def cluster_lift(spark: S, d: str) -> DataFrame:
     return ordering.top_per_group(lift, ["cluster"], [F.col("lift").desc(), F.col("tag")], 3).drop("rank")
 
 
-@query("user_documents", "O01 O05 O11 K19 K17 O21 K14 X12", """
+@query("user_documents", "O11 O21 K14 X12", """
 WITH a AS (SELECT o_custkey AS u, o_orderkey AS i, o_totalprice AS s, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders)
 SELECT u AS user_id, string_agg(i || ':' || r, ',' ORDER BY r) AS items, count(*) AS n, substr(sha256(u || '|' || string_agg(CAST(i AS VARCHAR), ',' ORDER BY r)), 1, 32) AS content FROM a WHERE r <= 5 GROUP BY u""")
 def user_documents(spark: S, d: str) -> DataFrame:
@@ -326,7 +326,7 @@ def user_documents(spark: S, d: str) -> DataFrame:
     return docs.select("user_id", items.alias("items"), F.size("l").cast("long").alias("n"), content_hash(F.col("user_id"), F.array_join(F.col("l.item").cast("array<string>"), ",")).alias("content"))
 
 
-@query("fallback_lists", "O01 O04 V40 T08", M.with_model("""
+@query("fallback_lists", "O04", M.with_model("""
 SELECT c_custkey AS user_id, coalesce(a.reviews, 0) AS reviews, CASE WHEN a.reviews >= 30 THEN 'own' ELSE 'popular' END AS source FROM customer LEFT JOIN activity a ON a.user_id = c_custkey"""))
 def fallback_lists(spark: S, d: str) -> DataFrame:
     """Users with enough reviews get their own list, others the popular one."""

@@ -27,14 +27,14 @@ def sql_text(spark: S, d: str) -> DataFrame:
     return run_sql(spark, "SELECT n_name, count(*) AS customers, round(sum(c_acctbal), 2) AS balance FROM {c} JOIN {n} ON c_nationkey = n_nationkey GROUP BY n_name HAVING count(*) > 10", c="v_customer", n="v_nation")
 
 
-@query("capped_users", "F17 N02", M.with_model("SELECT user_id, game_id FROM ledger WHERE user_id IN (SELECT user_id FROM activity WHERE reviews <= 40)"))
+@query("capped_users", "F17", M.with_model("SELECT user_id, game_id FROM ledger WHERE user_id IN (SELECT user_id FROM activity WHERE reviews <= 40)"))
 def capped_users(spark: S, d: str) -> DataFrame:
     """Without the users of more than 40 reviews, who may be machines."""
     e = M.ledger(spark, d)
     return e.join(M.activity(e).filter("reviews <= 40").select("user_id"), "user_id", "left_semi").select("user_id", "game_id")
 
 
-@query("weighted_partners", "T19 N11", M.with_model("""
+@query("weighted_partners", "T19", M.with_model("""
 WITH c AS (SELECT game_id, count(*) AS w FROM ledger GROUP BY 1), l AS (SELECT game_id, sum(w) OVER (ORDER BY game_id) - w AS lo, sum(w) OVER (ORDER BY game_id) AS hi FROM c), p AS (SELECT o_orderkey, floor(((((o_orderkey % 1000003) * 2654435761 + 97 * 9 + 12345) % 1000003) * (SELECT sum(w) FROM c)::DOUBLE) / 1000003) AS x FROM orders)
 SELECT o_orderkey, game_id FROM p JOIN l ON x >= lo AND x < hi"""))
 def weighted_partners(spark: S, d: str) -> DataFrame:
@@ -54,7 +54,7 @@ def merged_weeks(spark: S, d: str) -> DataFrame:
     return one.select(F.explode(F.arrays_zip(F.col("x.m").alias("m"), ordering.merged_buckets(F.col("x.n"), 500).alias("b"))).alias("z")).select(F.col("z.m").alias("month"), F.col("z.b").alias("bucket"))
 
 
-@query("work_plan", "I19 T22 T24 J34 I17 K32", """
+@query("work_plan", "I19 T24 J34 I17", """
 WITH c AS (SELECT c_custkey AS id, count(o_orderkey) AS stored, max(o_orderdate) AS newest FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1)
 SELECT id, stored, CASE WHEN stored = 0 THEN 'new' WHEN stored >= 20 THEN 'capped' ELSE 'pending' END AS state, greatest(0, least(10, 20 - stored)) AS budget, CAST(ceil((greatest(0, least(10, 20 - stored)) + 1) / 5.0) AS BIGINT) AS requests FROM c""")
 def work_plan(spark: S, d: str) -> DataFrame:
@@ -65,7 +65,11 @@ def work_plan(spark: S, d: str) -> DataFrame:
     return c.select("id", "stored", F.when(F.col("stored") == 0, "new").when(F.col("stored") >= 20, "capped").otherwise("pending").alias("state"), budget.alias("budget"), F.ceil((budget + 1) / 5).alias("requests"))
 
 
-@query("work_bins", "T23")
+@query("work_bins", "T23", """
+WITH RECURSIVE c AS (SELECT c_nationkey AS nation, CAST(count(*) AS DOUBLE) AS customers, row_number() OVER (ORDER BY count(*) DESC, c_nationkey) AS i FROM customer GROUP BY 1),
+r AS (SELECT CAST(0 AS BIGINT) AS i, [0.0::DOUBLE, 0.0, 0.0, 0.0] AS loads, CAST(NULL AS BIGINT) AS worker UNION ALL
+  SELECT c.i, list_transform(range(1, 5), lambda k: CASE WHEN k = list_position(loads, list_min(loads)) THEN loads[k] + c.customers ELSE loads[k] END), CAST(list_position(loads, list_min(loads)) - 1 AS BIGINT) FROM r JOIN c ON c.i = r.i + 1)
+SELECT nation, worker, customers FROM r JOIN c USING (i)""")
 def work_bins(spark: S, d: str) -> DataFrame:
     """Nations dealt to 4 workers, the heaviest first to the lightest worker; a plan over 25 rows, on the driver."""
     n = [(r["c_nationkey"], float(r["n"])) for r in read(spark, d, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n")).collect()]
@@ -91,7 +95,7 @@ def promotion_report(spark: S, d: str) -> DataFrame:
     return row.withColumn("decision", R.promotion(F.col("candidate"), F.col("champion"), F.lit(0.1), 0.01))
 
 
-@query("rollback_version", "E24", """
+@query("rollback_version", "", """
 SELECT CAST(o_orderkey AS BIGINT) AS version FROM orders WHERE o_orderpriority = '1-URGENT' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1 OFFSET 1""")
 def rollback_version(spark: S, d: str) -> DataFrame:
     """Of a history of decisions the promoted version before the current one: the second newest."""
@@ -111,7 +115,7 @@ def beta_sweep(spark: S, d: str) -> DataFrame:
     return t.groupBy("beta", "long").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.coalesce(F.col("p") < 3, F.lit(False)).cast("double")), 6).alias("recall_3"))
 
 
-@query("game_cards", "P22 K25 K28 H31 P21", M.with_model("""
+@query("game_cards", "P22 K28 H31 P21", M.with_model("""
 SELECT p_partkey AS game_id, p_name || ' | ' || p_brand || ' | ' || split_part(p_name, ' ', 1) AS card, coalesce(n, 0) AS reviews, coalesce(datediff('day', first_at, TIMESTAMP '1996-01-01') BETWEEN 0 AND 900, false) AS young
 FROM part LEFT JOIN (SELECT game_id, count(*) AS n, min(reviewed_at) AS first_at FROM ledger GROUP BY 1) ON game_id = p_partkey"""))
 def game_cards(spark: S, d: str) -> DataFrame:
@@ -122,7 +126,7 @@ def game_cards(spark: S, d: str) -> DataFrame:
     return p.join(c, "game_id", "left").select("game_id", "card", F.coalesce("reviews", F.lit(0)).alias("reviews"), F.coalesce(days.between(0, 900), F.lit(False)).alias("young"))
 
 
-@query("attention_users", "V41 V02 O07 Z13")
+@query("attention_users", "V41 O07 Z13")
 def attention_users(spark: S, d: str) -> DataFrame:
     """Users from the last 8 items of their histories through one attention layer and a dense layer with fixed weights."""
     e = read(spark, d, "embeddings").select((F.col("vec_id") % 200).alias("user_id"), "vec_id", "embedding")
@@ -141,7 +145,7 @@ def attention_users(spark: S, d: str) -> DataFrame:
     return lists.mapInArrow(run, "user_id long, vector array<double>")
 
 
-@query("recency_columns", "H18 V05 V36 V37 V38 G04 G05", M.with_model("""
+@query("recency_columns", "H18 V05 G04 G05", M.with_model("""
 WITH n AS (SELECT max(reviewed_at) AS t FROM ledger), g AS (SELECT game_id, count(*) FILTER (reviewed_at > t - INTERVAL 90 DAY) AS last90, min(reviewed_at) AS first_at, any_value(t) AS t FROM ledger, n GROUP BY 1)
 SELECT game_id, CASE WHEN ((game_id % 1000003) * 2654435761 + 97 * 6 + 12345) % 1000003 < 100000 THEN 0 ELSE round(ln(1 + last90) * 0.1, 6) END AS recent, round(ln(1 + datediff('day', first_at, t)) * 0.1, 6) AS age FROM g"""))
 def recency_columns(spark: S, d: str) -> DataFrame:
@@ -152,7 +156,7 @@ def recency_columns(spark: S, d: str) -> DataFrame:
     return g.select("game_id", F.when(dropped, 0.0).otherwise(F.round(F.log1p("last90") * 0.1, 6)).alias("recent"), F.round(F.log1p(F.datediff("t", "first_at")) * 0.1, 6).alias("age"))
 
 
-@query("published_catalog", "K20 K21 K22 K05 S05 S11 O09 V27 K09", """
+@query("published_catalog", "K20 K21 K22 K05 S05 S11 O09 K09", """
 SELECT p_partkey AS row_id, octet_length(encode(p_name)) AS bytes, CAST(coalesce(sum(octet_length(encode(p_name))) OVER (ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_offset FROM part WHERE p_size <= 45""")
 def published_catalog(spark: S, d: str) -> DataFrame:
     """The items to serve with the places of their names in one run of bytes, published with a card and checked against it when read."""
