@@ -6,6 +6,9 @@ new manifest, which appears whole by a rename: readers see whole versions, a run
 fails anywhere leaves the table as it was, and of two writers that started from the same
 manifest the second fails. Version numbers are never given twice, so a pinned version
 stays what it was for as long as vacuum() leaves it.
+
+A table of `buckets` is dealt by a hash of its keys: a merge reads and writes only the
+buckets that its updates fall into, and the new version takes the others as they are.
 """
 
 from __future__ import annotations
@@ -28,8 +31,8 @@ class Conflict(RuntimeError):
 
 
 class Table:
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType | str | None = None):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType | str | None = None, buckets: int = 0, by: list[str] | None = None):
+        self.spark, self.path, self.buckets, self.by = spark, path.rstrip("/"), buckets, by or []
         self.declared = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
 
     def _fs(self):
@@ -67,10 +70,36 @@ class Table:
             if self.declared is None:
                 raise FileNotFoundError(self.path)
             return self.spark.createDataFrame([], self.declared)
-        parts = self.manifest_of(v)["parts"]
-        schema = T.StructType.fromJson(self.manifest_of(v)["schema"])
+        m = self.manifest_of(v)
+        return self._read(m["parts"], T.StructType.fromJson(m["schema"]))
+
+    def _read(self, parts: list[str], schema: T.StructType) -> DataFrame:
+        if not parts:
+            return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*[f"{self.path}/{p}" for p in parts])
 
+    def note(self) -> dict:
+        """What the writer of the current version noted with it."""
+        v = self.version()
+        return self.manifest_of(v).get("note", {}) if v else {}
+
+    def near(self, updates: DataFrame) -> DataFrame:
+        """The stored rows of the buckets that updates fall into; all rows of a table without buckets."""
+        hit, _ = self._touched(updates)
+        return self._read(hit, T.StructType.fromJson(self.manifest_of(self.version())["schema"]))
+
+    def _bucket(self):
+        return F.pmod(F.xxhash64(*self.by), F.lit(self.buckets))
+
+    def _touched(self, updates: DataFrame) -> tuple[list[str], list[str]]:
+        parts = self.manifest_of(self.version())["parts"]
+        if not self.buckets:
+            return parts, []
+        # At most `buckets` numbers.
+        hit = {r["b"] for r in updates.select(self._bucket().alias("b")).distinct().collect()}
+        mine = lambda p: int(p.rsplit("=", 1)[1]) in hit
+        return [p for p in parts if mine(p)], [p for p in parts if not mine(p)]
+
     def manifest_of(self, version: str) -> dict:
         return json.loads(self._text(f"{version}.json"))
 
@@ -86,42 +115,51 @@ class Table:
             fs.delete(tmp, False)
             raise Conflict(f"{self.path}/{name} is there already")
 
-    def _commit(self, df: DataFrame, parts: list[str], after: dict | None = None) -> None:
+    def _commit(self, df: DataFrame, parts: list[str], after: dict | None = None, note: dict | None = None) -> None:
         m = after or self.manifest()
         v = f"v{m['next']:06d}"
         # A version file that a failed commit left behind is of no manifest: it goes.
-        self._put(f"{v}.json", json.dumps({"parts": parts, "schema": df.schema.jsonValue()}), replace=True)
+        self._put(f"{v}.json", json.dumps({"parts": parts, "schema": df.schema.jsonValue(), "note": note or {}}), replace=True)
         self._swap(m, [*m["versions"], v], m["next"] + 1)
 
     def _swap(self, before: dict, versions: list[str], following: int) -> None:
         self._put(f"manifest-{before['number'] + 1:010d}.json", json.dumps({"versions": versions, "next": following}))
 
-    def _write(self, df: DataFrame, rows_per_file: int | None = None) -> str:
+    def _write(self, df: DataFrame, rows_per_file: int | None = None) -> list[str]:
+        """The new data folders: one, or one a bucket."""
         part = f"data-{uuid.uuid4().hex}"
+        if self.buckets:
+            df = df.withColumn("__b", self._bucket()).repartition("__b")
         w = df.write.option("compression", "zstd")
         if rows_per_file:
             w = w.option("maxRecordsPerFile", rows_per_file)
-        w.parquet(f"{self.path}/{part}")
-        return part
+        if not self.buckets:
+            w.parquet(f"{self.path}/{part}")
+            return [part]
+        w.partitionBy("__b").parquet(f"{self.path}/{part}")
+        found = self._fs().globStatus(self._path(f"{part}/__b=*")) or []
+        return sorted(f"{part}/{x.getPath().getName()}" for x in found)
 
-    def overwrite(self, df: DataFrame, rows_per_file: int | None = None) -> None:
-        self._commit(df, [self._write(df, rows_per_file)])
+    def overwrite(self, df: DataFrame, rows_per_file: int | None = None, note: dict | None = None) -> None:
+        self._commit(df, self._write(df, rows_per_file), note=note)
 
     def append(self, df: DataFrame) -> None:
         v = self.version()
         old = self.manifest_of(v)["parts"] if v else []
-        self._commit(df, [*old, self._write(df)])
+        self._commit(df, [*old, *self._write(df)])
 
-    def merge(self, updates: DataFrame, keys: list[str], on_schema_change: str = "fail", newer: str | None = None) -> None:
+    def merge(self, updates: DataFrame, keys: list[str], on_schema_change: str = "fail", newer: str | None = None, note: dict | None = None) -> None:
         """Rows of updates replace those of the same keys. newer: only where this column is larger than the stored one's.
 
         on_schema_change: fail, append_new_columns (old rows get nulls), or
         sync_all_columns (columns that updates lack go, too).
         """
         if not self.exists():
-            self.overwrite(updates)
+            self.overwrite(updates, note=note)
             return
-        old = self.read()
+        before = self.manifest()
+        hit, rest = self._touched(updates)
+        old = self._read(hit, T.StructType.fromJson(self.manifest_of(before["versions"][-1])["schema"]))
         if set(old.columns) != set(updates.columns):
             if on_schema_change == "fail":
                 raise SchemaChanged(sorted(set(old.columns) ^ set(updates.columns)))
@@ -132,7 +170,8 @@ class Table:
             same = [updates[k].eqNullSafe(F.col(f"__{k}")) for k in keys]
             updates = updates.join(stored, same, "left").filter(F.col("__newer").isNull() | (F.col(newer) > F.col("__newer"))).select(updates.columns)
         kept = old.join(updates.select(*[F.col(k).alias(f"__{k}") for k in keys]), [old[k].eqNullSafe(F.col(f"__{k}")) for k in keys], "left_anti")
-        self.overwrite(kept.unionByName(updates, allowMissingColumns=True))
+        merged = kept.unionByName(updates, allowMissingColumns=True)
+        self._commit(merged, [*rest, *self._write(merged)], before, note)
 
     def high_water(self, column: str, default):
         """The largest stored value of a column, or the default for an empty table."""

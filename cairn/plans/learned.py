@@ -19,10 +19,10 @@ def tree_scores(spark: SparkSession, d: str) -> DataFrame:
     return t.score(p, ["p_size", "p_retailprice"]).select("p_partkey", "score")
 
 
-@query("tag_clusters", "")
+@query("tag_clusters", "V32")
 def tag_clusters(spark: SparkSession, d: str) -> DataFrame:
     p = read(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("s"), (F.col("p_retailprice") / 100).alias("p"))
-    return models.clusters(p, ["s", "p"], 5).select("p_partkey", "cluster")
+    return models.mapped(models.clusters(p, ["s", "p"], 5), ["s", "p"]).select("p_partkey", "cluster", "x", "y")
 
 
 @query("implicit_item_vectors", "")

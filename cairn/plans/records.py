@@ -46,7 +46,7 @@ def running_state(spark: S, d: str) -> DataFrame:
     e = M.ledger(spark, d)
     count = lambda df: df.groupBy("game_id").agg(F.count(F.lit(1)).alias("reviews"), F.count_if("is_positive").alias("positives"))
     cut = F.col("reviewed_at") < _t("1997-01-01")
-    table = Table(spark, scratch(spark, "totals"))
+    table = Table(spark, scratch(spark, "totals"), buckets=16, by=["game_id"])
     table.overwrite(count(e.filter(cut)).withColumn("state", F.lit("unchanged")))
     stored = table.read().select("game_id", F.col("reviews").alias("r0"), F.col("positives").alias("p0"))
     add = count(e.filter(~cut)).join(stored, "game_id", "left")

@@ -39,7 +39,7 @@ def stream_weekly_counts(spark: SparkSession, d: str) -> DataFrame:
     """Tumbling ISO weeks; each update of a window replaces what the table holds of it."""
     out = shared(spark, "weekly")
     e = _events(spark, d).withColumn("ts", F.col("ts").cast("timestamp")).withColumn("good", F.col("value") > 10)
-    table = Table(spark, f"{out}/table")
+    table = Table(spark, f"{out}/table", buckets=16, by=["user_id"])
 
     def put(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
@@ -53,7 +53,7 @@ def stream_weekly_counts(spark: SparkSession, d: str) -> DataFrame:
 def stream_running_counts(spark: SparkSession, d: str) -> DataFrame:
     out = shared(spark, "running")
     e = _events(spark, d).select("user_id", F.when(F.col("value") > 10, 1).otherwise(0).cast("long").alias("good"), F.lit(1).cast("long").alias("n"))
-    table = Table(spark, f"{out}/table")
+    table = Table(spark, f"{out}/table", buckets=16, by=["user_id"])
     I.running_counts(e, table, "user_id", ["good", "n"], f"{out}/checkpoint").awaitTermination()
     return table.read().select("user_id", "good", "n")
 

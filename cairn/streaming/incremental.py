@@ -66,17 +66,16 @@ def append_ledger(stream: DataFrame, table: Table, keys: list[str], order: list,
 
 
 def running_counts(stream: DataFrame, table: Table, key: str, counts: list[str], checkpoint: str) -> StreamingQuery:
-    """Stateful totals by key: what a batch adds is put on top of the stored state, and only touched keys are rewritten. A batch that is run again after a failure adds nothing: the batch number is stored with the state."""
+    """Stateful totals by key: what a batch adds is put on top of the stored state, and only the buckets of touched keys are read and written. A batch that is run again after a failure adds nothing: its number is noted with the version."""
 
     def put(batch: DataFrame, number: int) -> None:
         add = batch.groupBy(key).agg(*[F.sum(c).alias(c) for c in counts])
         if table.exists():
-            if table.high_water("batch", -1) >= number:
+            if table.note().get("batch", -1) >= number:
                 return
-            old = table.read().select(key, *[F.col(c).alias(f"__{c}") for c in counts])
+            old = table.near(add).select(key, *[F.col(c).alias(f"__{c}") for c in counts])
             add = add.join(old, key, "left").select(key, *[(F.col(c) + F.coalesce(f"__{c}", F.lit(0))).alias(c) for c in counts])
-        add = add.withColumn("batch", F.lit(number).cast("long"))
         if not add.isEmpty():
-            table.merge(add, [key])
+            table.merge(add, [key], note={"batch": number})
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

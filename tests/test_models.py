@@ -79,6 +79,9 @@ def test_clusters_are_nearest_centres(spark):
     x, c = np.array([p[r["p_partkey"]] for r in rows]), np.array([r["cluster"] for r in rows])
     centres = np.stack([x[c == k].mean(0) for k in range(c.max() + 1)])
     d = ((x[:, None] - centres[None]) ** 2).sum(-1)
+    u, s, v = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    xy = np.array([(r["x"], r["y"]) for r in rows])
+    assert np.allclose(np.abs(xy), np.abs(x @ v.T))  # signs of components are free
     assert len(rows) == len(p) and c.max() == 4 and (d[np.arange(len(x)), c] <= d.min(1) + 0.5).all()
 
 

@@ -64,6 +64,24 @@ def test_a_failed_commit_changes_nothing(spark, tmp_path, monkeypatch):
     assert rows(t.read()) == [(3,)]
 
 
+def test_a_merge_writes_touched_buckets_only(spark, tmp_path):
+    t = Table(spark, f"file://{tmp_path}/b", buckets=8, by=["k"])
+    t.merge(spark.range(100).selectExpr("id AS k", "id AS v"), ["k"])
+    first = set(t.manifest_of(t.version())["parts"])
+    assert len(first) == 8
+    t.merge(spark.createDataFrame([(3, -3), (500, 5)], "k long, v long"), ["k"], note={"batch": 4})
+    second = set(t.manifest_of(t.version())["parts"])
+    assert 6 <= len(first & second) < 8 and t.note() == {"batch": 4}
+    assert dict(rows(t.read())) == {k: k for k in range(100)} | {3: -3, 500: 5}
+    t.merge(spark.createDataFrame([(4, 4, "x")], "k long, v long, n string"), ["k"], on_schema_change="append_new_columns")
+    assert t.read().filter("n IS NOT NULL").count() == 1 and t.read().count() == 101
+    t.vacuum()
+    assert t.read().count() == 101 and t.near(spark.createDataFrame([(4,)], "k long")).count() < 101
+    empty = Table(spark, f"file://{tmp_path}/e", buckets=8, by=["k"])
+    empty.overwrite(spark.createDataFrame([], "k long, v long"))
+    assert empty.read().count() == 0
+
+
 def test_dictionaries_only_grow(spark, tmp_path):
     t = Table(spark, f"file://{tmp_path}/d")
     first = spark.createDataFrame([("plum",), ("fig",), (None,), ("quince",), ("apple",), ("plum",)], "name string")
