@@ -27,7 +27,7 @@ def _best(ids: np.ndarray, item: np.ndarray, scores: np.ndarray, k: int) -> pa.T
     return pa.table({"query_id": pa.array(a, pa.int64()), "item_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.float64())})
 
 
-def dense_top_k(queries: DataFrame, items: DataFrame, k: int, vector: str = "vector", exclude_self: bool = False, exclude: DataFrame | None = None, at: str | None = None, query_rows: int = QUERIES, item_rows: int = ITEMS) -> DataFrame:
+def dense_top_k(queries: DataFrame, items: DataFrame, k: int, vector: str = "vector", exclude_self: bool = False, exclude: DataFrame | None = None, at: str | None = None, query_rows: int = QUERIES, item_rows: int = ITEMS, digits: int | None = None) -> DataFrame:
     """query_id, item_id, score, rank: the k items of the largest dot product for each query, ties to the lowest item.
 
     queries (query_id, vector), items (item_id, vector). Both are dealt to blocks of about
@@ -36,7 +36,8 @@ def dense_top_k(queries: DataFrame, items: DataFrame, k: int, vector: str = "vec
     queries and items come from their counts. at: a column of both; a query meets only
     the items of its own value (such as those of its week), and item rows are dealt within
     it. exclude: (query_id, item_id) pairs that may not appear; a query gets those of a
-    block with it, so its list is as long as its own exclusions at most.
+    block with it, so its list is as long as its own exclusions at most. digits: scores
+    are rounded before they are ranked, so that equal vectors tie whatever block they are in.
     """
     by = [at] if at else []
     n_queries, n_items = (max(1, -(-df.count() // rows)) for df, rows in ((queries, query_rows), (items, item_rows)))
@@ -55,6 +56,8 @@ def dense_top_k(queries: DataFrame, items: DataFrame, k: int, vector: str = "vec
         if not len(ids) or not len(item):
             return _best(ids[:0], item, np.zeros((0, 0)), k)
         s = _matrix(left.column("qv")) @ _matrix(right.column("iv")).T
+        if digits is not None:
+            s = np.round(s, digits)
         if exclude_self:
             s[ids[:, None] == item[None, :]] = -np.inf
         for row, out in enumerate(left.column("gone").to_pylist()):

@@ -135,14 +135,14 @@ def past_and_future(spark: S, d: str) -> DataFrame:
 
 
 @query("candidate_groups", "V26 V19 R12 T18 T29 H27", M.with_model(f"""
-WITH pop AS (SELECT game_id FROM ledger WHERE is_positive GROUP BY 1 ORDER BY count(*) DESC, game_id LIMIT 8), q AS (SELECT review_id, user_id, game_id AS target, reviewed_at AS t FROM ledger WHERE is_positive AND review_id % 50 = 0 AND {_draw("review_id", 12)} < 700000),
+WITH pop AS (SELECT game_id FROM ledger WHERE is_positive GROUP BY 1 ORDER BY count(*) DESC, game_id LIMIT 8), q AS (SELECT review_id, user_id, game_id AS target, reviewed_at AS t FROM ledger WHERE is_positive AND {_draw("review_id", 12)} < 700000),
 c AS (SELECT q.*, game_id FROM q CROSS JOIN pop UNION SELECT q.*, target FROM q), k AS (SELECT c.* FROM c WHERE game_id = target OR NOT EXISTS (SELECT 1 FROM ledger l WHERE l.user_id = c.user_id AND l.is_positive AND l.reviewed_at > c.t AND l.game_id = c.game_id))
 SELECT review_id, k.game_id, k.game_id = target AS label, row_number() OVER (PARTITION BY review_id ORDER BY {_draw("review_id * 31 + k.game_id", 13)}, k.game_id) - 1 AS position, len(list_filter(g.tags, lambda x: x IN ('small', 'large', 'z1'))) AS hot FROM k JOIN games g ON g.game_id = k.game_id"""))
 def candidate_groups(spark: S, d: str) -> DataFrame:
-    """Groups for a ranker from a sample of every 50th liked review: popular games and the target, what the user likes later left out, in an order of its own for each group, with chosen tags counted in long form."""
+    """Groups for a ranker from a hash sample of the liked reviews: popular games and the target, what the user likes later left out, in an order of its own for each group, with chosen tags counted in long form."""
     e = staged(M.ledger(spark, d), "ledger")
     pop = e.filter("is_positive").groupBy("game_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "game_id").limit(8).agg(F.collect_list("game_id").alias("pop"))
-    q = e.filter("is_positive AND review_id % 50 = 0").filter(N.draw(F.col("review_id"), 12) < 700_000)
+    q = e.filter("is_positive").filter(N.draw(F.col("review_id"), 12) < 700_000)
     later = pit.events_before(q, e.filter("is_positive"), "user_id", "reviewed_at", "game_id", "review_id", target="game_id", after=True)
     c = q.join(later, "review_id").join(F.broadcast(pop)).select("review_id", F.col("game_id").alias("target"), F.explode(F.array_union(F.array_except("pop", "items"), F.array("game_id"))).alias("game_id"))
     tags = M.games(spark, d).select("game_id", F.explode("tags").alias("tag")).filter(F.col("tag").isin("small", "large", "z1")).groupBy("game_id").agg(F.count(F.lit(1)).alias("hot"))

@@ -104,10 +104,10 @@ def text_predicates(spark: S, d: str) -> DataFrame:
 
 
 @query("fuzzy_search", "X17", """
-SELECT p_partkey, p_name FROM part WHERE len(list_filter(string_split(lower(p_name), ' '), lambda w: starts_with(w, 'gre'))) > 0
-AND len(list_filter(string_split(lower(p_name), ' '), lambda w: starts_with(w, 'waget') OR levenshtein(w, 'waget') <= 1)) > 0""")
+SELECT p_partkey, p_name FROM part WHERE len(list_filter(string_split(lower(p_name), ' '), lambda w: starts_with(w, 'sma'))) > 0
+AND len(list_filter(string_split(lower(p_name), ' '), lambda w: starts_with(w, 'widgit') OR levenshtein(w, 'widgit') <= 1)) > 0""")
 def fuzzy_search(spark: S, d: str) -> DataFrame:
-    return read(spark, d, "part").filter(X.fuzzy_all(F.col("p_name"), "gre waget")).select("p_partkey", "p_name")
+    return read(spark, d, "part").filter(X.fuzzy_all(F.col("p_name"), "sma widgit")).select("p_partkey", "p_name")
 
 
 def _hmac_sql(key: bytes) -> str:

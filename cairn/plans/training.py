@@ -108,20 +108,20 @@ _VECTORS = "v AS (SELECT p_partkey AS game_id, CAST(embedding AS DOUBLE[]) AS v
 
 
 @query("top_k_of_the_month", "T03 T05 E02 V08 V02", M.with_model("WITH " + _VECTORS + """,
-q AS (SELECT review_id, user_id, game_id AS target, reviewed_at AS t, date_trunc('month', reviewed_at) AS m FROM ledger WHERE is_positive AND review_id % 50 = 0),
+q AS (SELECT review_id, user_id, game_id AS target, reviewed_at AS t, date_trunc('month', reviewed_at) AS m FROM ledger WHERE is_positive AND user_id % 50 = 0),
 h AS (SELECT q.review_id, l.game_id FROM q JOIN ledger l ON l.user_id = q.user_id AND l.is_positive AND l.reviewed_at < q.t QUALIFY row_number() OVER (PARTITION BY q.review_id ORDER BY l.reviewed_at DESC, l.review_id DESC) <= 3),
 u AS (SELECT review_id, list(x ORDER BY k) AS u FROM (SELECT review_id, k, avg(v[k]) AS x FROM h JOIN v USING (game_id), (SELECT unnest(range(1, 65)) AS k) GROUP BY ALL) GROUP BY 1),
 mw AS (SELECT DISTINCT m, CAST(date_trunc('week', m) AS DATE) AS wk FROM q),
 r AS (SELECT m, v.game_id, ln(1 + coalesce(sum(positives), 0)) AS lp FROM mw CROSS JOIN v LEFT JOIN weekly w ON w.game_id = v.game_id AND w.week_start < wk AND w.week_start >= wk - 91 GROUP BY ALL),
 z AS (SELECT m, game_id, (lp - avg(lp) OVER ()) / greatest(stddev_pop(lp) OVER (), 1e-9) AS z FROM r),
-s AS (SELECT q.review_id, q.target, z.game_id, list_dot_product(u.u, v.v) / sqrt(list_dot_product(u.u, u.u)) + 0.1 * z AS s FROM q JOIN u USING (review_id) JOIN z ON z.m = q.m JOIN v ON v.game_id = z.game_id
+s AS (SELECT q.review_id, q.target, z.game_id, round(list_dot_product(u.u, v.v) / sqrt(list_dot_product(u.u, u.u)) + 0.1 * z, 9) AS s FROM q JOIN u USING (review_id) JOIN z ON z.m = q.m JOIN v ON v.game_id = z.game_id
   WHERE NOT EXISTS (SELECT 1 FROM ledger l WHERE l.user_id = q.user_id AND l.reviewed_at < q.t AND l.game_id = z.game_id)),
 k AS (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY s DESC, game_id) AS rank FROM s QUALIFY rank <= 10)
 SELECT review_id, game_id, round(s, 5) AS score, rank, min(rank) FILTER (game_id = target) OVER (PARTITION BY review_id) - 1 AS target_rank FROM k"""))
 def top_k_of_the_month(spark: S, d: str) -> DataFrame:
-    """For every 50th liked review the ten best games as of its month: mean of the last three liked vectors, plus standardised recent positives; what the user had reviewed is left out. And the target's place among them."""
+    """For every liked review of every 50th user the ten best games as of its month: mean of the last three liked vectors, plus standardised recent positives; what the user had reviewed is left out. And the target's place among them."""
     e, v = staged(M.ledger(spark, d), "ledger"), _vectors(spark, d)
-    q = e.filter("is_positive AND review_id % 50 = 0").select("review_id", "user_id", F.col("game_id").alias("target"), "reviewed_at", F.date_trunc("month", "reviewed_at").cast("date").alias("m"))
+    q = e.filter("is_positive AND user_id % 50 = 0").select("review_id", "user_id", F.col("game_id").alias("target"), "reviewed_at", F.date_trunc("month", "reviewed_at").cast("date").alias("m"))
     likes = e.filter("is_positive").withColumn("game_id", F.col("game_id") + N.FIRST_ID)
     hist = pit.history(q.select("review_id", "user_id", "reviewed_at"), likes, "user_id", "reviewed_at", "game_id", 3, tie="review_id")
     h = hist.select("review_id", F.explode(F.filter("history", lambda x: x > 0)).alias("x")).select("review_id", (F.col("x") - N.FIRST_ID).alias("game_id"))
@@ -137,7 +137,7 @@ def top_k_of_the_month(spark: S, d: str) -> DataFrame:
     items = z.join(v, "game_id").select("m", F.col("game_id").alias("item_id"), F.concat("v", F.array(0.1 * F.col("z"))).alias("vector"))
     users = q.join(user, "review_id").select(F.col("review_id").alias("query_id"), "m", F.concat("u", F.array(F.lit(1.0))).alias("vector"))
     known = pit.events_before(q, e, "user_id", "reviewed_at", "game_id", "review_id").select(F.col("review_id").alias("query_id"), F.explode("items").alias("item_id"))
-    top = retrieval.dense_top_k(users, items, 10, exclude=known, at="m").join(q.select(F.col("review_id").alias("query_id"), "target"), "query_id")
+    top = retrieval.dense_top_k(users, items, 10, exclude=known, at="m", digits=9).join(q.select(F.col("review_id").alias("query_id"), "target"), "query_id")
     place = F.min(F.when(F.col("item_id") == F.col("target"), F.col("rank") - 1)).over(Window.partitionBy("query_id"))
     return top.select(F.col("query_id").alias("review_id"), F.col("item_id").alias("game_id"), F.round("score", 5).alias("score"), "rank", place.cast("long").alias("target_rank"))
 
@@ -253,7 +253,7 @@ def hard_negatives(spark: S, d: str) -> DataFrame:
 n AS (SELECT count(*) AS n FROM part), a AS (SELECT user_id, game_id, row_number() OVER (PARTITION BY user_id ORDER BY reviewed_at DESC, review_id DESC) AS r FROM ledger WHERE is_positive AND user_id % 50 = 0 QUALIFY r <= 6),
 asked AS (SELECT c_custkey AS user_id, coalesce(list(game_id ORDER BY r) FILTER (game_id IS NOT NULL AND c_custkey % 200 <> 0), []) AS liked FROM customer LEFT JOIN a ON a.user_id = c_custkey WHERE c_custkey % 50 = 0 GROUP BY 1),
 used AS (SELECT user_id, unnest(liked[1:3]) AS game_id FROM asked), u AS (SELECT user_id, list(x ORDER BY k) AS u FROM (SELECT user_id, k, avg(v[k]) AS x FROM used JOIN v USING (game_id), (SELECT unnest(range(1, 65)) AS k) GROUP BY ALL) GROUP BY 1),
-s AS (SELECT user_id, v.game_id, list_dot_product(u, v) / sqrt(list_dot_product(u, u)) AS s FROM u JOIN asked USING (user_id), v WHERE NOT list_contains(liked, v.game_id)),
+s AS (SELECT user_id, v.game_id, round(list_dot_product(u, v) / sqrt(list_dot_product(u, u)), 9) AS s FROM u JOIN asked USING (user_id), v WHERE NOT list_contains(liked, v.game_id)),
 k AS (SELECT user_id, game_id, row_number() OVER (PARTITION BY user_id ORDER BY s DESC, game_id) AS r FROM s QUALIFY r <= 4), own AS (SELECT user_id, string_agg(game_id, ',' ORDER BY r) AS items FROM k GROUP BY 1),
 pop AS (SELECT string_agg(game_id, ',' ORDER BY c DESC, game_id) AS items FROM (SELECT game_id, count(*) AS c FROM ledger WHERE is_positive GROUP BY 1 ORDER BY c DESC, game_id LIMIT 4))
 SELECT user_id, CASE WHEN own.items IS NULL THEN 'popular' ELSE 'online' END AS source, coalesce(own.items, pop.items) AS items, array_to_string(liked[1:3], ',') AS used, CAST(user_id + 1000000000 AS VARCHAR) AS ignored FROM asked CROSS JOIN pop LEFT JOIN own USING (user_id)"""))
@@ -273,7 +273,7 @@ def online_recommendations(spark: S, d: str) -> DataFrame:
     used = sides.select("user_id", F.explode(F.slice("liked", 1, 3)).alias("game_id"))
     user = _mean(used.join(v, "game_id"), "user_id", "v").select(F.col("user_id").alias("query_id"), F.col("u").alias("vector"))
     gone = sides.select(F.col("user_id").alias("query_id"), F.explode("liked").alias("item_id"))
-    top = retrieval.dense_top_k(user, v.select(F.col("game_id").alias("item_id"), F.col("v").alias("vector")), 4, exclude=gone)
+    top = retrieval.dense_top_k(user, v.select(F.col("game_id").alias("item_id"), F.col("v").alias("vector")), 4, exclude=gone, digits=9)
     text = lambda c: F.array_join(c.cast("array<string>"), ",")
     own = top.groupBy(F.col("query_id").alias("user_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "item_id"))), lambda x: x["item_id"]).alias("own"))
     pop = retrieval.popular(e.groupBy("game_id").agg(F.count(F.lit(1)).alias("n")), "game_id", "n", 4).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "game_id"))), lambda x: x["game_id"]).alias("pop"))
@@ -312,23 +312,25 @@ def after_a_negative(spark: S, d: str) -> DataFrame:
 
 
 @query("candidate_families", "V17 V18", M.with_model("""
-WITH c AS (SELECT review_id, user_id, game_id, reviewed_at AS t FROM ledger WHERE review_id % 50 = 0),
-h AS (SELECT c.review_id, l.game_id AS g, l.is_positive AS pos, l.reviewed_at AS at_ FROM c JOIN ledger l ON l.user_id = c.user_id AND l.reviewed_at < c.t),
-x AS (SELECT c.review_id, c.game_id, c.t, a.developer AS d, a.price AS pr, b.developer AS hd, b.price AS hp, b.is_free AS hf, h.pos, h.at_ FROM c JOIN h USING (review_id) JOIN games a ON a.game_id = c.game_id JOIN games b ON b.game_id = h.g)
-SELECT review_id, game_id, count_if(pos) AS n_pos, count_if(NOT pos) AS n_neg, round(count_if(pos) / count(*), 6) AS pos_rate, round(epoch(any_value(t) - max(at_)) / 86400, 6) AS days_since_last, round(count_if(pos AND d = hd) / nullif(count_if(pos), 0), 6) AS dev_share,
- round(count_if(NOT pos AND d = hd) / nullif(count_if(NOT pos), 0), 6) AS dev_neg_share, round(ln(1 + any_value(pr)) - median(ln(1 + hp)) FILTER (pos), 6) AS price_fit, round(avg(CAST(hf AS INT)) FILTER (pos), 6) AS free_share, count_if(pos) > 5 AS long_history FROM x GROUP BY ALL HAVING count(*) > 0""").replace("GROUP BY ALL HAVING", "GROUP BY review_id, game_id HAVING"))
+WITH g AS (SELECT l.*, developer, ln(1 + price) AS lp, CAST(is_free AS INT) AS free FROM ledger l JOIN games USING (game_id)),
+x AS (SELECT c.review_id, c.game_id, c.reviewed_at AS t, c.developer AS d, c.lp, h.is_positive AS pos, h.developer AS hd, h.lp AS hp, h.free, h.reviewed_at AS seen FROM g c JOIN g h ON h.user_id = c.user_id AND h.reviewed_at < c.reviewed_at)
+SELECT review_id, game_id, count_if(pos) AS n_pos, count_if(NOT pos) AS n_neg, round(count_if(pos) / count(*), 6) AS pos_rate, round(epoch(any_value(t) - max(seen)) / 86400, 6) AS days_since_last, round(count_if(pos AND d = hd) / nullif(count_if(pos), 0), 6) AS dev_share,
+ round(count_if(NOT pos AND d = hd) / nullif(count_if(NOT pos), 0), 6) AS dev_neg_share, round(any_value(lp) - avg(hp) FILTER (pos), 5) AS price_fit, round(avg(free) FILTER (pos), 6) AS free_share, count_if(pos) > 5 AS long_history FROM x GROUP BY review_id, game_id"""))
 def candidate_families(spark: S, d: str) -> DataFrame:
-    """Families of features of every 50th review against all that its user had reviewed before: counts, rates, times, equal developers, prices."""
-    e = M.ledger(spark, d)
-    g = _games(spark, d).select("game_id", "developer", "price", "is_free")
-    c = e.filter("review_id % 50 = 0").select("review_id", "user_id", "game_id", F.col("reviewed_at").alias("t")).join(g.select("game_id", F.col("developer").alias("d"), F.col("price").alias("pr")), "game_id")
-    h = e.select("user_id", F.col("game_id").alias("g"), F.col("is_positive").alias("pos"), "reviewed_at").join(g.select(F.col("game_id").alias("g"), F.col("developer").alias("hd"), F.col("price").alias("hp"), F.col("is_free").alias("hf")), "g")
-    x = c.join(h, "user_id").filter("reviewed_at < t")
-    pos, same = F.col("pos"), F.col("d") == F.col("hd")
-    share = lambda a, b: F.round(F.try_divide(F.count_if(a), F.count_if(b)), 6)
-    return x.groupBy("review_id", "game_id").agg(
-        F.count_if("pos").alias("n_pos"), F.count_if(~pos).alias("n_neg"), F.round(F.count_if("pos") / F.count(F.lit(1)), 6).alias("pos_rate"), F.round(N.days_between(F.max("t"), F.max("reviewed_at")), 6).alias("days_since_last"), share(pos & same, pos).alias("dev_share"), share(~pos & same, ~pos).alias("dev_neg_share"),
-        F.round(F.log1p(F.max("pr")) - F.median(F.when(pos, F.log1p("hp"))), 6).alias("price_fit"), F.round(F.avg(F.when(pos, F.col("hf").cast("int"))), 6).alias("free_share"), (F.count_if("pos") > 5).alias("long_history"),
+    """Families of features of each review against all that its user had reviewed strictly before: counts, rates, times, equal developers, prices. Running sums over a user's time, not pairs of its rows."""
+    g = _games(spark, d).select("game_id", "developer", F.log1p("price").alias("lp"), F.col("is_free").cast("int").alias("free"))
+    e = M.ledger(spark, d).join(g, "game_id").withColumn("s", N.seconds(F.col("reviewed_at")))
+    past = Window.partitionBy("user_id").orderBy("s").rangeBetween(Window.unboundedPreceding, -1)
+    same = Window.partitionBy("user_id", "developer").orderBy("s").rangeBetween(Window.unboundedPreceding, -1)
+    pos = F.col("is_positive")
+    x = e.withColumns({
+        "n_pos": F.count_if(pos).over(past), "n_neg": F.count_if(~pos).over(past), "last": F.max("reviewed_at").over(past), "d_pos": F.count_if(pos).over(same), "d_neg": F.count_if(~pos).over(same),
+        "hp": F.avg(F.when(pos, F.col("lp"))).over(past), "hf": F.avg(F.when(pos, F.col("free"))).over(past),
+    }).filter("n_pos + n_neg > 0")
+    share = lambda a, b: F.round(F.try_divide(F.col(a), F.col(b)), 6)
+    return x.select(
+        "review_id", "game_id", "n_pos", "n_neg", F.round(F.col("n_pos") / (F.col("n_pos") + F.col("n_neg")), 6).alias("pos_rate"), F.round(N.days_between(F.col("reviewed_at"), F.col("last")), 6).alias("days_since_last"), share("d_pos", "n_pos").alias("dev_share"), share("d_neg", "n_neg").alias("dev_neg_share"),
+        F.round(F.col("lp") - F.col("hp"), 5).alias("price_fit"), F.round("hf", 6).alias("free_share"), (F.col("n_pos") > 5).alias("long_history"),
     )
 
 
