@@ -3,7 +3,10 @@
 from datetime import datetime
 
 import duckdb
+import numpy as np
+import pytest
 
+from cairn.operators import retrieval
 from cairn.plans import catalog
 
 
@@ -30,3 +33,33 @@ def test_target_positions_of_users_without_orders(spark, tmp_path):
     db = tables(spark, tmp_path, orders=(orders, "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate timestamp_ntz"), customer=([(k,) for k in (1, 2, 3, 3, 4, 5, 6)], "c_custkey long"))
     got = {r["user_id"]: (r["position"], r["hits"]) for r in same_as_sql(spark, db, tmp_path, "target_positions")}
     assert got[5] == (-1, None) and got[1] == (1, 1) and got[2] == (-1, 1)
+
+
+@pytest.mark.parametrize("blocks", [(8192, 8192, 4096), (7, 3, 4)])
+def test_shared_top_k_against_all_scores(spark, monkeypatch, blocks):
+    query_rows, vector_rows, shared = blocks
+    monkeypatch.setattr(retrieval, "SHARED", shared)
+    rng = np.random.default_rng(5)
+    v, u = rng.integers(-2, 3, (9, 3)).astype(float), rng.integers(-2, 3, (40, 3)).astype(float)
+    vec, bias = {i: int(rng.integers(9)) if i % 3 else 4 for i in range(60)}, {}
+    for i in range(60):
+        for at in rng.permutation(4)[: rng.integers(4)].tolist():
+            bias[i, at] = float(rng.integers(1, 4)) / 4
+    gone = {q: sorted(rng.permutation(70)[: rng.integers(25)].tolist()) if q % 4 else None for q in range(40)}
+    spare = max(sum(vec.get(i) == x for i in g or []) for g in gone.values() for x in range(9))
+    queries = spark.createDataFrame([(q, q % 4, u[q].tolist(), gone[q]) for q in range(40)], "query_id long, at int, vector array<double>, gone array<long>")
+    rows = [(i, vec[i], [a for j, a in bias if j == i] or None, [b for (j, _), b in bias.items() if j == i] or None) for i in range(60)]
+    items = spark.createDataFrame(rows, "item_id long, vec_id long, ats array<int>, biases array<double>")
+    vectors = spark.createDataFrame([(i, v[i].tolist()) for i in range(9)], "vec_id long, vector array<double>")
+    got = {(r["query_id"], r["rank"]): (r["item_id"], r["score"]) for r in retrieval.shared_top_k(queries, items, vectors, 5, -0.25, spare, query_rows=query_rows, vector_rows=vector_rows).collect()}
+    want = {}
+    for q in range(40):
+        s = sorted((-float(u[q] @ v[vec[i]] + bias.get((i, q % 4), -0.25)), i) for i in range(60) if i not in (gone[q] or []))
+        want |= {(q, rank + 1): (i, -x) for rank, (x, i) in enumerate(s[:5])}
+    assert got == want
+
+
+def test_top_k_of_the_month_sends_no_row_for_each_month_and_game(spark, monkeypatch):
+    """Every row that meets a query is of a vector, or of the first games of a bucket and month."""
+    monkeypatch.setattr(retrieval, "dense_top_k", None)
+    assert catalog.QUERIES["top_k_of_the_month"](spark, "/root/testdata/sf0.001").count() > 0
