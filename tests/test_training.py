@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from cairn.operators import retrieval
+from cairn.operators import models, retrieval
 from cairn.plans import catalog
 
 
@@ -63,3 +63,22 @@ def test_top_k_of_the_month_sends_no_row_for_each_month_and_game(spark, monkeypa
     """Every row that meets a query is of a vector, or of the first games of a bucket and month."""
     monkeypatch.setattr(retrieval, "dense_top_k", None)
     assert catalog.QUERIES["top_k_of_the_month"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_svd_of_many_items_with_equal_singular_values(spark):
+    """Two copies of the same events: each singular value comes twice."""
+    rng = np.random.default_rng(2)
+    one = sorted({(int(a), int(b)) for a, b in zip(rng.integers(0, 80, 3000), rng.integers(0, 300, 3000) ** 2 // 300, strict=True)})
+    likes = one + [(u + 80, i + 300) for u, i in one]
+    count = np.bincount([i for _, i in likes], minlength=600)
+    got = {r["id"]: np.array(r["vector"]) for r in models.svd_items(spark.createDataFrame(likes, "u long, i long"), "u", "i", 6).collect()}
+    m = np.zeros((160, 600))
+    for u, i in likes:
+        m[u, i] = 1 / np.sqrt(count[i])
+    _, s, v = np.linalg.svd(m, full_matrices=False)
+    want = v[:6].T * np.sqrt(s[:6])
+    want = want / np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-9)
+    assert set(got) == set(np.flatnonzero(count).tolist()) and max(got) >= 512
+    ids = [i for i in got if count[i] >= 5][::3]
+    a, b = np.stack([got[i] for i in ids]), want[ids]
+    assert np.allclose(a @ a.T, b @ b.T, atol=1e-5) and not any(got[i].any() for i in got if count[i] < 5)
